@@ -6,20 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .op4_token_files import token_files
 from .op7_token_counts import token_counts
+from .op8_decontamination import contamination
 from .op10_fingerprints import fingerprints
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(spark, read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_token_files": op4_token_files,
     "op7_token_counts": op7_token_counts,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
