@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .op3_toxicity import toxicity
 from .op4_token_files import token_files
+from .op5_near_dedup import near_duplicates
 from .op7_token_counts import token_counts
 from .op8_decontamination import contamination
 from .op10_fingerprints import fingerprints
@@ -21,6 +22,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,6 +41,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
+    "op5_near_dedup": op5_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_document_fingerprints": op10_document_fingerprints,

@@ -9,10 +9,6 @@ import xxhash
 CACHE_WORDS = 1_000_000
 WORDS_PER_SHINGLE = 5
 
-# Odd multipliers for the places of a shingle, from the fractional part of the golden ratio.
-PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & 0xFFFFFFFFFFFFFFFF for i in range(64)], np.uint64)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit over the output."""
     h = h ^ (h >> np.uint64(30))
@@ -23,6 +19,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Odd multipliers for the places of a shingle, without linear relations between them.
+PLACES = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, the same in every process."""
 
