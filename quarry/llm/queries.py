@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .op1_main_text import main_text
 from .op3_toxicity import toxicity
 from .op4_token_files import token_files
 from .op5_near_dedup import near_duplicates
@@ -14,6 +15,10 @@ from .op8_decontamination import contamination
 from .op10_fingerprints import fingerprints
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(spark, read(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -39,6 +44,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op5_near_dedup": op5_near_dedup,
