@@ -12,6 +12,7 @@ from .op4_token_files import token_files
 from .op5_near_dedup import near_duplicates
 from .op7_token_counts import token_counts
 from .op8_decontamination import contamination
+from .op9_mixing import MIXTURE_SQL, mixture
 from .op10_fingerprints import fingerprints
 
 
@@ -39,6 +40,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(spark, read(spark, sf_dir, "documents"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(spark, read(spark, sf_dir, "documents"))
 
@@ -50,8 +55,11 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_source_mixing": op9_source_mixing,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_source_mixing": MIXTURE_SQL.format(text="text", docs="documents"),
+}
