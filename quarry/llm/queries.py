@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .op1_main_text import main_text
+from .op2_secrets import secrets
 from .op3_toxicity import toxicity
 from .op4_token_files import token_files
 from .op5_near_dedup import near_duplicates
@@ -20,6 +21,10 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(spark, read(spark, sf_dir, "pages"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(spark, read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -50,6 +55,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_main_text": op1_main_text,
+    "op2_secrets": op2_secrets,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op5_near_dedup": op5_near_dedup,
