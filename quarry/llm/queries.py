@@ -11,6 +11,7 @@ from .op2_secrets import secrets
 from .op3_toxicity import toxicity
 from .op4_token_files import token_files
 from .op5_near_dedup import near_duplicates
+from .op6_licenses import licenses
 from .op7_token_counts import token_counts
 from .op8_decontamination import contamination
 from .op9_mixing import MIXTURE_SQL, mixture
@@ -37,6 +38,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, read(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(spark, read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op5_near_dedup": op5_near_dedup,
+    "op6_licenses": op6_licenses,
     "op7_token_counts": op7_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_source_mixing": op9_source_mixing,
