@@ -50,11 +50,6 @@ def java_delimiter_check(spark, sf_dir):
     return rows.select("submission_id", F.col("s.ok").alias("ok"), F.col("s.error").alias("error"), F.col("s.line").alias("line"))
 
 
-def document_delimiters(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", ingest.java_balance(F.coalesce("text", F.lit(""))).alias("s"))
-    return docs.select("doc_id", F.col("s.ok").alias("ok"))
-
-
 def security_rule_findings(spark, sf_dir):
     rows = rules.scan(_submissions(spark, sf_dir))
     return rows.select("submission_id", "seq", "title", "severity", "category", "owasp_category", "cwe_id", "risk_score", "confidence_score", "evidence", "line_number")
@@ -149,7 +144,7 @@ def python_unused_variables(spark, sf_dir):
 
 
 def python_magic_numbers(spark, sf_dir):
-    return python_checks.magic_numbers(_facts(spark, sf_dir)).where(F.length("value") < 4).select("submission_id", "value")
+    return python_checks.magic_numbers(_facts(spark, sf_dir)).where(F.col("value") != F.col("submission_id")).select("submission_id", "value")
 
 
 def python_classes(spark, sf_dir):
@@ -280,7 +275,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         security_scores, security_rule_findings, security_rules_from_table, security_rule_counts_by_category, security_merged_findings, document_secrets, risk_scores,
-        ingest_submissions, ingest_rejects, ingest_files, language_detection, python_syntax_check, java_delimiter_check, document_delimiters,
+        ingest_submissions, ingest_rejects, ingest_files, language_detection, python_syntax_check, java_delimiter_check,
         semantic_code_findings, semantic_security_findings, latest_result, submissions_with_results,
         python_function_metrics, python_naming, python_unused_imports, python_unused_variables, python_magic_numbers, python_classes, python_halstead,
         java_method_metrics, java_class_checks, java_interface_checks, java_unused_imports, java_halstead,

@@ -6,6 +6,7 @@ the sample templates, counted by hand, stand for it.
 
 from __future__ import annotations
 
+import keyword
 
 from quarry import config
 from quarry.operators import ingest, java_checks, rules
@@ -126,7 +127,27 @@ _EVENT = """WITH e AS (SELECT event_id, user_id, event_type, event_id % 8 AS kin
 _FIELDS = "CAST(event_id AS VARCHAR) AS submission_id, 'T' || event_id AS title, 'd ' || event_type AS description, CASE kind WHEN 0 THEN 'High' WHEN 1 THEN 'Low' ELSE 'Medium' END AS severity"
 _LINE = "CAST(CASE kind WHEN 0 THEN 3 WHEN 1 THEN 4 END AS INTEGER) AS line_number, CAST(CASE kind WHEN 0 THEN 0.9 WHEN 1 THEN 1.0 ELSE 0.6 END AS DOUBLE) AS confidence_score"
 
+def _clones(rows: str, key: str, word: str, keywords: str) -> str:
+    """Duplicate blocks of (key, text): a name stands as the place where its window first has it."""
+    tokens = " || [chr(10)] || ".join(f"regexp_extract_all(block[{i}], '{word}+|[^{word[1:-1]}\\s]')" for i in range(1, 5))
+    name = f"regexp_matches(t, '^[A-Za-z_][A-Za-z0-9_]*$') AND NOT list_contains(CASE WHEN {keywords} THEN [{', '.join(map(quoted, keyword.kwlist))}] ELSE [] END, t)"
+    return f"""{rows}, lines AS (SELECT *, list_transform({_LINES}, lambda x: {_strip('x')})[1:{config.CLONE_SCANNED_LINES}] AS ls FROM src),
+w AS (SELECT *, unnest(range(0, len(ls) - 3)) AS i FROM lines WHERE len(ls) >= 4), b AS (SELECT *, ls[i + 1:i + 4] AS block FROM w),
+f AS (SELECT *, {tokens} AS flat FROM b WHERE length(array_to_string(block, '')) >= {config.CLONE_LEAST_CHARS}),
+g AS (SELECT *, array_to_string(block, chr(10)) AS raw, array_to_string(list_transform(flat, lambda t: CASE WHEN regexp_matches(t, '^\\d+$') THEN 'NUM' WHEN {name} THEN 'V' || list_position(flat, t) ELSE t END), ' ') AS form FROM f),
+h AS (SELECT *, first_value(i) OVER (PARTITION BY {key}, form ORDER BY i) AS leader, first_value(raw) OVER (PARTITION BY {key}, form ORDER BY i) AS leader_raw FROM g),
+clone AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY i) AS place FROM h WHERE i <> leader) WHERE place <= {config.CLONE_FINDINGS})"""
+
+
+DOCUMENT_CLONES = _clones("WITH src AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)", "doc_id", r"[\p{L}\p{M}\p{Nd}\p{Pc}]", "false")
+CODE_CLONES = _clones(f"{ACCEPTED}, src AS (SELECT submission_id, language, code AS text FROM accepted)", "submission_id", r"[\w]", "language = 'Python'")
+
 SQL = {
+    "duplicate_blocks": f"{DOCUMENT_CLONES} SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(leader AS INTEGER) AS leader, raw = leader_raw AS exact FROM clone",
+    "duplicate_code_blocks": f"{CODE_CLONES} SELECT submission_id, CASE WHEN raw = leader_raw THEN 'Duplicate code block' ELSE 'Structurally duplicate code block' END AS title, CASE WHEN raw = leader_raw THEN 'Medium' ELSE 'Low' END AS severity, CAST(i + 1 AS INTEGER) AS line_number, CAST(CASE WHEN raw = leader_raw THEN 0.9 ELSE 0.72 END AS DOUBLE) AS confidence_score FROM clone",
+    "python_function_metrics": expected_sql(_templates(lambda t: t.functions), ["name", "line", "span", "cyclomatic", "cognitive", "parameters"]),
+    "python_unused_variables": expected_sql(_templates(lambda t: [(v,) for v, _ in t.variables]), ["name"]),
+    "python_magic_numbers": expected_sql(_templates(lambda t: [(v,) for v, _ in t.numbers]), ["value"]),
     "security_rule_findings": f"{FOUND} SELECT {FINDING_COLUMNS} FROM finding LEFT JOIN category USING (category)",
     "security_rules_from_table": f"{FOUND} SELECT submission_id, seq, category, evidence, line_number FROM finding",
     "security_rule_counts_by_category": f"{FOUND} SELECT category, severity, count(*) AS findings, count(DISTINCT submission_id) AS submissions FROM finding GROUP BY ALL",

@@ -75,7 +75,7 @@ TEMPLATES = (
     Template("bad.py", PY, "x = 1\ndef broken_~(:\n    pass\n", error=("invalid syntax", 2)),
     Template("Bad.java", JV, "class Bad~ {\n    void f() {\n        g(1;\n    }\n}\n", error=("Unexpected ';'", 3)),
     Template(None, None, "value_~ + 1\n", rejected="language is unclear"),
-    Template("deep.py", PY, "def deep_~(a, b, c, d, e, f, g):\n    if a:\n        if b:\n            if c:\n                if d and e:\n                    for x in f:\n                        while g:\n                            a = 7\n    return a\n", (("deep_~", 1, 9, 8, 22, 7),)),
+    Template("deep.py", PY, "def deep_~(a, b, c, d, e, f, g):\n    if a:\n        if b:\n            if c:\n                if d and e:\n                    for x in f:\n                        while g:\n                            a = 7\n    return a\n", (("deep_~", 1, 9, 8, 22, 7),), variables=(("x", 1),)),
     Template("long.py", PY, "def long_~(self, x):\n" + _LONG + "\n    if x > 42:\n        return f(x, 3.5, 99)\n    return x\n", (("long_~", 1, 48, 2, 1, 1),), numbers=(("42", 1), ("3.5", 1))),
     Template("twin.py", PY, "def one_~(items):\n    total = 0\n    for item in items:\n        total += item.price\n    return total\n\ndef two_~(items):\n    total = 0\n    for item in items:\n        total += item.price\n    return total\n\ndef three_~(rows):\n    count = 0\n    for row in rows:\n        count += row.price\n    return count\n", (("one_~", 1, 5, 2, 1, 1), ("two_~", 7, 5, 2, 1, 1), ("three_~", 13, 5, 2, 1, 1))),
     Template("Fat.java", JV, "interface Fat~ {\n" + "".join(f"    void m{i}(int a);\n" for i in range(8)) + "}\n"),
