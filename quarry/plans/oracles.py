@@ -175,14 +175,14 @@ SELECT doc_id, left({_strip('m[k]')}, 200) AS evidence, CAST(1 + {_NEWLINES.form
     "java_interface_checks": f"{INTERFACES} SELECT submission_id, name, line, CAST({_count(java_checks.INTERFACE_METHOD, 'body')} AS INTEGER) AS methods FROM bodied WHERE body IS NOT NULL",
     "java_unused_imports": f"{_found(java_checks.IMPORT)} SELECT submission_id, name, line FROM found WHERE len(regexp_extract_all(code, '\\b' || regexp_extract(name, '[^.]*$') || '\\b')) <= 1",
     "java_halstead": f"{_java_rows}, t AS (SELECT submission_id, list_filter(regexp_extract_all(code, {quoted(java_checks.TOKEN)}), lambda x: x IN ({', '.join(map(quoted, config.JAVA_OPERATORS))}) OR regexp_matches(x, '^[A-Za-z_]\\w*$') OR regexp_matches(x, '^\\d+$')) AS t FROM j) SELECT submission_id, CASE WHEN len(t) = 0 THEN 1.0 ELSE len(t) * log2(len(list_distinct(t))) END AS volume FROM t",
-    "maintainability_index": f"WITH d AS (SELECT doc_id, len({_LINES}) AS loc, regexp_extract_all(text, '[A-Za-z]+') AS t FROM documents WHERE length(text) > 0), v AS (SELECT doc_id, CAST(loc AS INTEGER) AS loc, CASE WHEN len(t) > 0 THEN len(t) * log2(len(list_distinct(t))) ELSE 1.0 END AS v FROM d) SELECT doc_id, loc, round(greatest(0, least(100, (171 - 5.2 * ln(greatest(v, 1)) - 0.23 * 2.5 - 16.2 * ln(greatest(loc, 1))) * 100 / 171)), 1) AS maintainability_index FROM v",
+    "maintainability_index": f"WITH d AS (SELECT doc_id, len({_LINES}) AS loc, regexp_extract_all(text, '[A-Za-z]+') AS t FROM documents WHERE length(text) > 0), v AS (SELECT doc_id, CAST(loc AS INTEGER) AS loc, CASE WHEN len(t) > 0 THEN len(t) * log2(len(list_distinct(t))) ELSE 1.0 END AS v FROM d) SELECT doc_id, loc, CAST(printf('%.1f', greatest(0, least(100, (171 - 5.2 * ln(greatest(v, 1)) - 0.23 * 2.5 - 16.2 * ln(greatest(loc, 1))) * 100 / 171))) AS DOUBLE) AS maintainability_index FROM v",
     "scoring_formulas": f"WITH g AS (SELECT l_orderkey, avg(CAST(l_quantity AS BIGINT) % 30 + 1) AS mean, sum({_case('l_returnflag', {'A': 2, 'N': 5, 'R': 10}, 3)}) AS cost FROM lineitem GROUP BY 1), s AS (SELECT l_orderkey, CAST(round_even(least(100, greatest(10, 100 - (mean - 1) * 5)), 0) AS BIGINT) AS a, CAST(greatest(0, 100 - cost) AS BIGINT) AS b FROM g) SELECT l_orderkey, a AS complexity_score, b AS maintainability_score, CAST(round_even((a + b) / 2.0, 0) AS BIGINT) AS quality_score FROM s",
     "document_profile": f"WITH d AS (SELECT doc_id, {_strip('coalesce(text, chr(32))')} AS content FROM documents) SELECT doc_id, sha256(content) AS content_hash, CAST(length(content) AS INTEGER) AS char_count, CAST({_WORDS} AS INTEGER) AS word_count FROM d",
     "document_chunks": f"{_chunks(config.CHUNK_CHARS, config.CHUNK_OVERLAP)} SELECT doc_id || '::chunk-' || chunk_index AS chunk_id, doc_id, chunk_index, CAST(length(text) AS INTEGER) AS chars, md5(text) AS text_md5, lang AS category, source AS source_title FROM chunk",
     "document_chunks_without_overlap": f"{_chunks(400, 0)} SELECT doc_id AS document_id, count(*) AS chunks, CAST(max(length(text)) AS INTEGER) AS longest FROM chunk GROUP BY doc_id",
     "corpus_manifest": "SELECT lang AS category, count(*) AS documents FROM documents GROUP BY lang",
     "corpus_manifest_documents": f"{KNOWLEDGE} SELECT doc_id AS id, source AS title, lang AS category, 'd/' || doc_id || '.md' AS file_path, sha256(content) AS content_hash, CAST({_WORDS} AS INTEGER) AS word_count FROM k",
-    "corpus_manifest_totals": f"{_chunks(config.CHUNK_CHARS, config.CHUNK_OVERLAP)}, n AS (SELECT (SELECT count(*) FROM documents) AS document_count, (SELECT count(*) FROM chunk) AS chunk_count) SELECT document_count, chunk_count, round(chunk_count / document_count, 2) AS average_chunks_per_document FROM n",
+    "corpus_manifest_totals": f"{_chunks(config.CHUNK_CHARS, config.CHUNK_OVERLAP)}, n AS (SELECT (SELECT count(*) FROM documents) AS document_count, (SELECT count(*) FROM chunk) AS chunk_count) SELECT document_count, chunk_count, CAST(printf('%.2f', chunk_count / document_count) AS DOUBLE) AS average_chunks_per_document FROM n",
     "duplicate_document_ids": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1",
     "front_matter_parse": f"SELECT 'd/' || doc_id AS file_path, 'doc-' || doc_id AS id, 'Title ' || source AS title, 'secure_coding' AS category, 'CWE-' || doc_id AS cwe_id, 'python,java' AS languages, '{config.DEFAULT_SOURCE}' AS source, 1 AS version, '2024-01-15' AS last_updated, sha256({_strip('coalesce(text, chr(32))')}) AS content_hash FROM documents WHERE doc_id % 5 IN (0, 4)",
     "prompt_assembly": "WITH p AS (SELECT conv_id, 'Be brief.' || chr(10) || chr(10) || string_agg(upper(coalesce(role, 'user')) || ': ' || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn, text) AS prompt FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(length(prompt) AS INTEGER) AS chars, md5(prompt) AS prompt_md5 FROM p",

@@ -43,12 +43,12 @@ TEMPLATES = (
     # One template for each rule.
     Template("db.py", PY, 'def load_~(cur, uid):\n    cur.execute(f"SELECT * FROM t WHERE id = {uid}")\n    return cur\n', (("load_~", 1, 3, 1, 0, 2),)),
     Template("Db.java", JV, 'public class Db~ {\n    public void run(String id) {\n        Statement s = c.createStatement(); s.executeQuery("SELECT " + id);\n    }\n}\n'),
-    Template("shell.py", PY, "import os\n\ndef run_~(cmd):\n    os.system(cmd)\n    return 0\n", (("run_~", 3, 3, 1, 0, 1),), halstead=(9, 8)),
+    Template("shell.py", PY, "import os\n\ndef run_~(cmd):\n    os.system(cmd)\n    return 0\n", (("run_~", 3, 3, 1, 0, 1),), halstead=(7, 6)),
     Template("Sh.java", JV, 'class Sh~ {\n    void go(String a) {\n        Runtime.getRuntime().exec("ls " + a);\n    }\n}\n'),
     Template(None, None, 'password = "hunter2~hunter"\nprint("~")\n'),
     Template("pk.py", PY, "import pickle, yaml\n\ndef read_~(data):\n    a = yaml.load(data, Loader=yaml.SafeLoader)\n    b = pickle.loads(data)\n    return a, yaml.load(data)\n", (("read_~", 3, 4, 1, 0, 1),), variables=(("b", 3),)),
     Template("Des.java", JV, "class Des~ {\n    Object get(java.io.InputStream in) {\n        return new ObjectInputStream(in).readObject();\n    }\n}\n"),
-    Template("cr.py", PY, "import hashlib\n\ndef digest_~(x):\n    return hashlib.md5(x)\n", (("digest_~", 3, 2, 1, 0, 1),), halstead=(7, 7)),
+    Template("cr.py", PY, "import hashlib\n\ndef digest_~(x):\n    return hashlib.md5(x)\n", (("digest_~", 3, 2, 1, 0, 1),), halstead=(6, 5)),
     Template("Cr.java", JV, 'class Cr~ {\n    void c() {\n        Cipher.getInstance("DES/CBC");\n    }\n}\n'),
     Template("pw.py", PY, "import hashlib\n\ndef store_~(password):\n    return hashlib.sha1(password.encode())\n", (("store_~", 3, 2, 1, 0, 1),)),
     Template("Pw.java", JV, 'class Pw~ {\n    byte[] h(String password) {\n        return MessageDigest.getInstance("MD5").digest(password.getBytes());\n    }\n}\n'),
@@ -60,12 +60,12 @@ TEMPLATES = (
     Template("Pt.java", JV, 'class Pt~ {\n    void f() {\n        new File(req.getParameter("p"));\n    }\n}\n'),
     Template("up.py", PY, 'def save_~(request, p):\n    request.files["f"].save(p)\n', (("save_~", 1, 2, 1, 0, 2),)),
     Template("Up.java", JV, "class Up~ {\n    void f(M m) {\n        m.transferTo(new File(n));\n    }\n}\n"),
-    Template("cs.py", PY, "@csrf_exempt\ndef view_~(request):\n    return request\n", (("view_~", 2, 2, 1, 0, 1),), halstead=(4, 4)),
+    Template("cs.py", PY, "@csrf_exempt\ndef view_~(request):\n    return request\n", (("view_~", 2, 2, 1, 0, 1),), halstead=(5, 4)),
     Template("Cs.java", JV, "class Cs~ {\n    void f(H http) {\n        http.csrf().disable();\n    }\n}\n"),
     Template("se.py", PY, "SESSION_COOKIE_SECURE = False\nSESSION_COOKIE_HTTPONLY = False\nKEY_~ = 1\n"),
     Template("Se.java", JV, "class Se~ {\n    void f(C c) {\n        c.setHttpOnly(false);\n    }\n}\n"),
     Template("lo.py", PY, 'def log_~(password):\n    print("login", password)\n', (("log_~", 1, 2, 1, 0, 1),)),
-    Template("xs.py", PY, "def page_~(x):\n    return mark_safe(x)\n", (("page_~", 1, 2, 1, 0, 1),), halstead=(6, 6)),
+    Template("xs.py", PY, "def page_~(x):\n    return mark_safe(x)\n", (("page_~", 1, 2, 1, 0, 1),), halstead=(6, 5)),
     # Many matches: the limit for each rule, and lines that are near enough to merge or not.
     Template("many.py", PY, "import os\nos.system(a)\nos.system(b)\nos.system(c)\nos.system(d)\nos.system(e)\n# ~\n"),
     Template("near.py", PY, "hashlib.md5(a)\n# ~\n#\nhashlib.md5(b)\n#\n#\nhashlib.sha1(c)\npassword = 'abcdefgh1'\n\n\n\n\npassword = 'abcdefgh2'\n"),
