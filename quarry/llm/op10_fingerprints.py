@@ -114,7 +114,8 @@ def with_next(spark: SparkSession, docs: DataFrame, buckets: int | None = None)
     n = buckets or shuffle_partitions(spark)
     ids = docs.select("doc_id")
     cuts = sorted(set(ids.dropna().approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)), reverse=True)
-    where = F.lit(len(cuts)) if not cuts else F.coalesce(F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("doc_id"))), F.lit(len(cuts) + 1))
+    above = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
+    where = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(above)
     ids = ids.withColumn("bucket", where.cast("int"))
     first = {r.bucket: r.top for r in ids.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(first)
