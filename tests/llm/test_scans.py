@@ -1,0 +1,126 @@
+"""Decontamination, licences, secrets, fingerprints: against brute force."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from quarry.llm import op2_secrets, op6_licenses, op8_decontamination, op10_fingerprints
+
+
+def _brute(docs, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for item, t in items:
+        w = split(t)
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(item)
+    out = []
+    for d, t in docs:
+        w, hit, found = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+                    found |= windows[tuple(w[k : k + n])]
+        names = sorted(str(x) for x in found if x is not None)
+        out.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+@pytest.mark.parametrize("block", [8 << 20, 900])
+def test_decontamination(spark, words, hard_docs, monkeypatch, block):
+    monkeypatch.setattr(op8_decontamination, "BLOCK_BYTES", block)
+    rng = random.Random(31)
+    items = [(i, words(rng, rng.choice([1, 2, 3, 9, 10, 11, 40]))) for i in range(30)] + [(3, words(rng, 15)), (None, words(rng, 12)), (40, None), (41, "..."), (42, "é Ñ x y z 1 2 3 4 5 6")]
+    docs = [(d, t) for d, t, *_ in hard_docs]
+    for d in range(100, 160):
+        t = words(rng, rng.randrange(80)).split()
+        for _ in range(rng.randrange(3)):
+            w = (rng.choice(items)[1] or "").split()
+            k = rng.randrange(len(w) + 1)
+            t[k:k] = w[k : k + rng.randrange(5, 30)]
+        docs.append((d, rng.choice([" ", ", ", "\n"]).join(t)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in op8_decontamination.contamination(spark, df, bench).collect()]
+    expected = _brute(docs, items)
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    kept = op8_decontamination.without_contaminated(spark, df, bench).collect()
+    assert sorted((tuple(r) for r in kept), key=repr) == sorted((d for d, e in zip(docs, expected, strict=True) if not e[5]), key=repr)
+
+
+def test_decontamination_of_empty_tables(spark, hard, empty):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert op8_decontamination.contamination(spark, hard, none).where("contaminated").count() == 0
+    assert op8_decontamination.contamination(spark, hard, none).count() == 9
+    assert op8_decontamination.without_contaminated(spark, hard, none).columns == hard.columns
+    assert op8_decontamination.contamination(spark, empty, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+def test_patience_alignment():
+    a, b = "x the cat sat on the mat y".split(), "the cat lay on the mat".split()
+    pairs = op6_licenses.aligned(a, b)
+    assert [a[i] for i, _ in pairs] == ["the", "cat", "on", "the", "mat"] and all(a[i] == b[j] for i, j in pairs)
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randrange(15))] for _ in range(2))
+        pairs = op6_licenses.aligned(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        assert len(op6_licenses.aligned(a, a)) == len(a)
+
+
+def test_licenses(spark, hard, empty, words):
+    rng = random.Random(5)
+    near = op6_licenses.TEMPLATES["MIT"].replace("without restriction", "with no restriction").replace("the Software", "this Work", 1)
+    rows = [(1, words(rng, 300) + " " + near + " " + words(rng, 200)), (2, words(rng, 400)), (3, words(rng, 9) + " Licensed under the Apache License, Version 2.0. " + words(rng, 90)), (4, op6_licenses.TEMPLATES["BSD-3-Clause"]), (5, op6_licenses.TEMPLATES["GPL-2.0 header"])]
+    got = {r.doc_id: r for r in op6_licenses.licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(1, 6)] == ["MIT", None, "Apache-2.0 notice", "BSD-3-Clause", "GPL-2.0 header"]
+    assert got[1].first_word == 300 and 0.9 < got[1].coverage < 1 and got[4].coverage == 1.0
+    assert {r.license for r in op6_licenses.licenses(spark, hard).collect()} == {None}
+    assert op6_licenses.licenses(spark, empty).count() == 0
+
+
+def test_secrets_held_out(spark, hard, empty):
+    model = op2_secrets.train(spark)
+    fresh = op2_secrets.labelled_findings(spark, 8_000).where("doc_id >= 4000")
+    got = op2_secrets.secrets(spark, fresh, model).join(fresh.select("doc_id", "label"), "doc_id")
+    right, n = got.selectExpr("sum(int(predicted = label))", "count(*)").first()
+    assert n > 3_000 and right / n > 0.95
+    assert op2_secrets.secrets(spark, hard, model).count() == 0 and op2_secrets.secrets(spark, empty, model).count() == 0
+    rows = [(1, 'token = "' + hashlib.sha1(b"1").hexdigest() + '"'), (2, "commit " + hashlib.sha1(b"2").hexdigest()), (3, "see theaouorthlyndenshlythat there")]
+    out = {r.doc_id: r.predicted for r in op2_secrets.secrets(spark, spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert out == {1: 1, 2: 0, 3: 0}
+    plan = op2_secrets.secrets(spark, fresh, model)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_fingerprints(spark, hard, empty, hard_docs, words):
+    rng = random.Random(6)
+    docs = [(d, t) for d, t, *_ in hard_docs] + [(d, words(rng, rng.choice([3, 20, 200, 900]))) for d in range(50, 90)]
+    got = {}
+    for r in op10_fingerprints.fingerprints(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    order = sorted(docs, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] or ""))
+    expected = {}
+    for k, (d, t) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        expected.setdefault(d, []).append((len(t), hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()))
+    assert {d: sorted((r.n_chars, r.edited_sha256) for r in rs) for d, rs in got.items()} == {d: sorted(x) for d, x in expected.items()}
+    long = [r for rs in got.values() for r in rs if r.n_chars > 2_000 and r.doc_id != 5]
+    assert long and all(0.3 < r.near_edited and r.near_next < 0.1 for r in long)  # near 1 where the next text is short
+    assert got[1][0].fingerprint == got[6][0].fingerprint and got[3][0].fingerprint == "1:"
+    assert op10_fingerprints.fingerprints(spark, hard).count() == 9 and op10_fingerprints.fingerprints(spark, empty).count() == 0
+
+
+def test_sketches_merge_and_estimate_containment(words):
+    rng = random.Random(7)
+    whole = words(rng, 6_000)
+    part = whole[5_000:12_000]
+    a, b = op10_fingerprints.sketch(whole), op10_fingerprints.sketch(part)
+    assert op10_fingerprints.containment(b, a) > 0.95 and abs(op10_fingerprints.containment(a, b) - len(part) / len(whole)) < 0.08
+    x, y = whole[:20_000], whole[20_000 - 15 :]
+    joined = op10_fingerprints.merged(op10_fingerprints.sketch(x), op10_fingerprints.sketch(y))
+    assert joined[0] == a[0] and op10_fingerprints.containment(a, joined) == 1.0
+    assert op10_fingerprints.encoded(op10_fingerprints.decoded(op10_fingerprints.encoded(a))) == op10_fingerprints.encoded(a)
