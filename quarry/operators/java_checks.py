@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.functions import text
-from quarry.operators.python_checks import PASCAL, _finding, say
+from quarry.operators.python_checks import PASCAL, finding, found_in, say
 
 # What counts as a method, class, interface, field, import, branch and token.
 METHOD = r"(?:public|private|protected|static|\s)+[\w<>\[\],\s]+?\s+(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w,\s]+)?\s*\{"
@@ -101,20 +101,27 @@ def halstead(submissions: DataFrame) -> DataFrame:
 
 def findings(submissions: DataFrame) -> DataFrame:
     """All findings of the Java submissions but for duplicate blocks."""
-    c, k, i, m = F.col, classes(submissions), interfaces(submissions), methods(submissions)
+    c, always, found = F.col, F.lit(True), []
+    k, i, m = classes(submissions), interfaces(submissions), methods(submissions)
     base = c("k") * 10
-    found = [
-        _finding(k.where(~c("name").rlike(PASCAL)), base, say("Naming convention: {n}", n=c("name")), say("Class '{n}' doesn't follow PascalCase, the standard Java convention.", n=c("name")), "Low", "Naming Convention", c("line"), F.lit("Rename the class using PascalCase."), 0.9),
-        _finding(k.where((c("methods") > config.GOD_CLASS_METHODS) | (c("span") > config.GOD_CLASS_LINES)), base + 1, say("Possible God Object: {n}", n=c("name")), say("Class '{n}' has approximately {m} methods, {f} fields, and spans {s} lines — it may be taking on too many responsibilities.", n=c("name"), m=c("methods"), f=c("fields"), s=c("span")), "Medium", "SOLID: Single Responsibility Principle", c("line"), F.lit("Split this class into smaller classes, each with a single, clearly-named responsibility."), 0.65),
-        _finding(k.where(F.size("concrete") > config.CONCRETE_CLASSES), base + 2, say("Possible Dependency Inversion violation: {n}", n=c("name")), say("Class '{n}' directly instantiates {k} concrete classes with 'new' ({x}).", n=c("name"), k=F.size("concrete"), x=F.left(F.array_join("concrete", ", "), F.lit(80))), "Low", "SOLID: Dependency Inversion Principle", c("line"), F.lit("Depend on interfaces injected via the constructor instead of instantiating concrete classes directly."), 0.45),
-        _finding(i.where(c("methods") > config.FAT_INTERFACE_METHODS), F.lit(_PHASE) + base, say("Possible fat interface: {n}", n=c("name")), say("Interface '{n}' declares approximately {m} methods — implementers may be forced to depend on methods they don't use.", n=c("name"), m=c("methods")), "Low", "SOLID: Interface Segregation Principle", c("line"), F.lit("Split this interface into smaller, more focused interfaces."), 0.6),
-        _finding(m.where(c("span") > config.LONG_METHOD_LINES), F.lit(2 * _PHASE) + base, say("Long method: {n}", n=c("name")), say("'{n}' spans approximately {s} lines, above " + str(config.LONG_METHOD_LINES) + ".", n=c("name"), s=c("span")), "Medium", "Long Method", c("line"), F.lit("Break this into smaller, single-purpose helper methods."), 0.85),
-        _finding(m.where(c("cyclomatic") > config.HIGH_CYCLOMATIC), F.lit(2 * _PHASE) + base + 1, say("High cyclomatic complexity: {n}", n=c("name")), say("'{n}' has an estimated cyclomatic complexity of {x}, above " + str(config.HIGH_CYCLOMATIC) + ".", n=c("name"), x=c("cyclomatic")), "High", "Complexity", c("line"), F.lit("Reduce nested conditionals/loops; extract branches into separate methods."), 0.8),
-        _finding(m.where(c("cognitive") > config.HIGH_COGNITIVE), F.lit(2 * _PHASE) + base + 2, say("High cognitive complexity: {n}", n=c("name")), say("'{n}' has an estimated cognitive complexity of {x}, above " + str(config.HIGH_COGNITIVE) + ".", n=c("name"), x=c("cognitive")), "Medium", "Cognitive Complexity", c("line"), F.lit("Reduce nesting depth — prefer early returns/guard clauses."), 0.7),
-        _finding(m.where(c("parameters") > config.LONG_PARAMETERS), F.lit(2 * _PHASE) + base + 3, say("Long parameter list: {n}", n=c("name")), say("'{n}' takes approximately {x} parameters, above " + str(config.LONG_PARAMETERS) + ".", n=c("name"), x=c("parameters")), "Low", "Design Anti-pattern", c("line"), F.lit("Group related parameters into a class/record, or split the method."), 0.8),
-        _finding(m.where(~c("name").rlike(CAMEL)), F.lit(2 * _PHASE) + base + 4, say("Naming convention: {n}", n=c("name")), say("Method '{n}' doesn't follow camelCase, the standard Java convention.", n=c("name")), "Low", "Naming Convention", c("line"), F.lit("Rename the method using camelCase."), 0.9),
-        _finding(unused_imports(submissions), F.lit(3 * _PHASE) + base, say("Unused import: {n}", n=c("name")), say("'{n}' is imported but doesn't appear to be used elsewhere in the file.", n=c("name")), "Low", "Unused Import", c("line"), say("Remove the unused import '{n}'.", n=c("name")), 0.85),
-    ]
+    found.append(found_in(k,
+        finding(~c("name").rlike(PASCAL), base, say("Naming convention: {n}", n=c("name")), say("Class '{n}' doesn't follow PascalCase, the standard Java convention.", n=c("name")), "Low", "Naming Convention", c("line"), F.lit("Rename the class using PascalCase."), 0.9),
+        finding((c("methods") > config.GOD_CLASS_METHODS) | (c("span") > config.GOD_CLASS_LINES), base + 1, say("Possible God Object: {n}", n=c("name")), say("Class '{n}' has approximately {m} methods, {f} fields, and spans {s} lines — it may be taking on too many responsibilities.", n=c("name"), m=c("methods"), f=c("fields"), s=c("span")), "Medium", "SOLID: Single Responsibility Principle", c("line"), F.lit("Split this class into smaller classes, each with a single, clearly-named responsibility."), 0.65),
+        finding(F.size("concrete") > config.CONCRETE_CLASSES, base + 2, say("Possible Dependency Inversion violation: {n}", n=c("name")), say("Class '{n}' directly instantiates {k} concrete classes with 'new' ({x}).", n=c("name"), k=F.size("concrete"), x=F.left(F.array_join("concrete", ", "), F.lit(80))), "Low", "SOLID: Dependency Inversion Principle", c("line"), F.lit("Depend on interfaces injected via the constructor instead of instantiating concrete classes directly."), 0.45),
+    ))
+    found.append(found_in(i,
+        finding(c("methods") > config.FAT_INTERFACE_METHODS, F.lit(_PHASE) + base, say("Possible fat interface: {n}", n=c("name")), say("Interface '{n}' declares approximately {m} methods — implementers may be forced to depend on methods they don't use.", n=c("name"), m=c("methods")), "Low", "SOLID: Interface Segregation Principle", c("line"), F.lit("Split this interface into smaller, more focused interfaces."), 0.6),
+    ))
+    found.append(found_in(m,
+        finding(c("span") > config.LONG_METHOD_LINES, F.lit(2 * _PHASE) + base, say("Long method: {n}", n=c("name")), say("'{n}' spans approximately {s} lines, above " + str(config.LONG_METHOD_LINES) + ".", n=c("name"), s=c("span")), "Medium", "Long Method", c("line"), F.lit("Break this into smaller, single-purpose helper methods."), 0.85),
+        finding(c("cyclomatic") > config.HIGH_CYCLOMATIC, F.lit(2 * _PHASE) + base + 1, say("High cyclomatic complexity: {n}", n=c("name")), say("'{n}' has an estimated cyclomatic complexity of {x}, above " + str(config.HIGH_CYCLOMATIC) + ".", n=c("name"), x=c("cyclomatic")), "High", "Complexity", c("line"), F.lit("Reduce nested conditionals/loops; extract branches into separate methods."), 0.8),
+        finding(c("cognitive") > config.HIGH_COGNITIVE, F.lit(2 * _PHASE) + base + 2, say("High cognitive complexity: {n}", n=c("name")), say("'{n}' has an estimated cognitive complexity of {x}, above " + str(config.HIGH_COGNITIVE) + ".", n=c("name"), x=c("cognitive")), "Medium", "Cognitive Complexity", c("line"), F.lit("Reduce nesting depth — prefer early returns/guard clauses."), 0.7),
+        finding(c("parameters") > config.LONG_PARAMETERS, F.lit(2 * _PHASE) + base + 3, say("Long parameter list: {n}", n=c("name")), say("'{n}' takes approximately {x} parameters, above " + str(config.LONG_PARAMETERS) + ".", n=c("name"), x=c("parameters")), "Low", "Design Anti-pattern", c("line"), F.lit("Group related parameters into a class/record, or split the method."), 0.8),
+        finding(~c("name").rlike(CAMEL), F.lit(2 * _PHASE) + base + 4, say("Naming convention: {n}", n=c("name")), say("Method '{n}' doesn't follow camelCase, the standard Java convention.", n=c("name")), "Low", "Naming Convention", c("line"), F.lit("Rename the method using camelCase."), 0.9),
+    ))
+    found.append(found_in(unused_imports(submissions),
+        finding(always, F.lit(3 * _PHASE) + base, say("Unused import: {n}", n=c("name")), say("'{n}' is imported but doesn't appear to be used elsewhere in the file.", n=c("name")), "Low", "Unused Import", c("line"), say("Remove the unused import '{n}'.", n=c("name")), 0.85),
+    ))
     out = found[0]
     for rows in found[1:]:
         out = out.unionByName(rows)

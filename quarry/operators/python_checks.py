@@ -80,8 +80,14 @@ def halstead(facts: DataFrame) -> DataFrame:
     return parsed.join(volume, "submission_id", "left").select("submission_id", F.coalesce("volume", F.lit(1.0)).alias("volume"))
 
 
-def _finding(rows: DataFrame, seq: Column, title: Column, description: Column, severity: str, category: str, line: Column, recommendation: Column, confidence: float) -> DataFrame:
-    return rows.select("submission_id", seq.cast("long").alias("seq"), title.alias("title"), description.alias("description"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), line.alias("line_number"), recommendation.alias("recommendation"), F.lit(confidence).alias("confidence_score"))
+def finding(when: Column, seq: Column, title: Column, description: Column, severity: str, category: str, line: Column, recommendation: Column, confidence: float) -> Column:
+    """A finding of a row as a struct, null unless ``when`` holds."""
+    return F.when(when, F.struct(seq.cast("long").alias("seq"), title.alias("title"), description.alias("description"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), line.alias("line_number"), recommendation.alias("recommendation"), F.lit(confidence).alias("confidence_score")))
+
+
+def found_in(rows: DataFrame, *cases: Column) -> DataFrame:
+    """The findings of rows, all cases in one pass over them."""
+    return rows.select("submission_id", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("x")).select("submission_id", "x.*")
 
 
 def say(template: str, **values: Column) -> Column:
@@ -96,27 +102,39 @@ def say(template: str, **values: Column) -> Column:
 
 def findings(facts: DataFrame, submissions: DataFrame) -> DataFrame:
     """All findings of the Python submissions but for duplicate blocks."""
-    c = F.col
+    c, always, found = F.col, F.lit(True), []
+    found.append(found_in(_of(facts, "error"),
+        finding(always, F.lit(0), F.lit("Code does not parse"), say("Python syntax error: {m} (line {n}).", m=c("name"), n=F.coalesce(c("line").cast("string"), F.lit("None"))), "High", "Maintainability", c("line"), F.lit("Fix the syntax error before further analysis can run."), 1.0),
+    ))
     m = function_metrics(facts)
     base = c("owner") * 100
-    found = [
-        _finding(_of(facts, "error"), F.lit(0), F.lit("Code does not parse"), say("Python syntax error: {m} (line {n}).", m=c("name"), n=F.coalesce(c("line").cast("string"), F.lit("None"))), "High", "Maintainability", c("line"), F.lit("Fix the syntax error before further analysis can run."), 1.0),
-        _finding(m.where(c("span") > config.LONG_METHOD_LINES), base, say("Long method: {f}", f=c("name")), say("'{f}' spans {n} lines, above the " + str(config.LONG_METHOD_LINES) + "-line guideline.", f=c("name"), n=c("span")), "Medium", "Long Method", c("line"), F.lit("Break this into smaller, single-purpose helper functions."), 0.95),
-        _finding(m.where(c("cyclomatic") > config.HIGH_CYCLOMATIC), base + 1, say("High cyclomatic complexity: {f}", f=c("name")), say("'{f}' has an estimated cyclomatic complexity of {n}, above " + str(config.HIGH_CYCLOMATIC) + ".", f=c("name"), n=c("cyclomatic")), "High", "Complexity", c("line"), F.lit("Reduce nested conditionals/loops; extract branches into separate functions."), 0.9),
-        _finding(m.where(c("cognitive") > config.HIGH_COGNITIVE), base + 2, say("High cognitive complexity: {f}", f=c("name")), say("'{f}' has an estimated cognitive complexity of {n}, above " + str(config.HIGH_COGNITIVE) + " — likely hard for a human to follow even if cyclomatic complexity looks moderate.", f=c("name"), n=c("cognitive")), "Medium", "Cognitive Complexity", c("line"), F.lit("Reduce nesting depth — prefer early returns/guard clauses over deeply nested conditionals."), 0.82),
-        _finding(m.where(c("parameters") > config.LONG_PARAMETERS), base + 3, say("Long parameter list: {f}", f=c("name")), say("'{f}' takes {n} parameters, above the " + str(config.LONG_PARAMETERS) + "-parameter guideline.", f=c("name"), n=c("parameters")), "Low", "Design Anti-pattern", c("line"), F.lit("Group related parameters into a dataclass/object, or split the function."), 0.9),
-    ]
+    found.append(found_in(m,
+        finding(c("span") > config.LONG_METHOD_LINES, base, say("Long method: {f}", f=c("name")), say("'{f}' spans {n} lines, above the " + str(config.LONG_METHOD_LINES) + "-line guideline.", f=c("name"), n=c("span")), "Medium", "Long Method", c("line"), F.lit("Break this into smaller, single-purpose helper functions."), 0.95),
+        finding(c("cyclomatic") > config.HIGH_CYCLOMATIC, base + 1, say("High cyclomatic complexity: {f}", f=c("name")), say("'{f}' has an estimated cyclomatic complexity of {n}, above " + str(config.HIGH_CYCLOMATIC) + ".", f=c("name"), n=c("cyclomatic")), "High", "Complexity", c("line"), F.lit("Reduce nested conditionals/loops; extract branches into separate functions."), 0.9),
+        finding(c("cognitive") > config.HIGH_COGNITIVE, base + 2, say("High cognitive complexity: {f}", f=c("name")), say("'{f}' has an estimated cognitive complexity of {n}, above " + str(config.HIGH_COGNITIVE) + " — likely hard for a human to follow even if cyclomatic complexity looks moderate.", f=c("name"), n=c("cognitive")), "Medium", "Cognitive Complexity", c("line"), F.lit("Reduce nesting depth — prefer early returns/guard clauses over deeply nested conditionals."), 0.82),
+        finding(c("parameters") > config.LONG_PARAMETERS, base + 3, say("Long parameter list: {f}", f=c("name")), say("'{f}' takes {n} parameters, above the " + str(config.LONG_PARAMETERS) + "-parameter guideline.", f=c("name"), n=c("parameters")), "Low", "Design Anti-pattern", c("line"), F.lit("Group related parameters into a dataclass/object, or split the function."), 0.9),
+    ))
     named = m.select("submission_id", "owner", c("name").alias("function"), "line")
-    found.append(_finding(magic_numbers(facts).join(named, ["submission_id", "owner"]), base + 10 + c("seq"), say("Magic number in {f}: {v}", f=c("function"), v=c("value")), say("The literal {v} is used directly in a condition/call inside '{f}' without a named constant.", f=c("function"), v=c("value")), "Low", "Maintainability", c("line"), say("Replace {v} with a named constant that explains what it represents.", v=c("value")), 0.7))
-    found.append(_finding(unused_variables(facts).join(named, ["submission_id", "owner"]), base + 20 + c("position"), say("Possibly unused variable: {v}", v=c("name")), say("'{v}' is assigned inside '{f}' but never read afterward (best-effort — doesn't model all control flow).", v=c("name"), f=c("function")), "Low", "Unused Variable", c("line"), F.lit("Remove the variable if unused, or use it / prefix with '_' to signal intent."), 0.7))
+    found.append(found_in(magic_numbers(facts).join(named, ["submission_id", "owner"]),
+        finding(always, base + 10 + c("seq"), say("Magic number in {f}: {v}", f=c("function"), v=c("value")), say("The literal {v} is used directly in a condition/call inside '{f}' without a named constant.", f=c("function"), v=c("value")), "Low", "Maintainability", c("line"), say("Replace {v} with a named constant that explains what it represents.", v=c("value")), 0.7),
+    ))
+    found.append(found_in(unused_variables(facts).join(named, ["submission_id", "owner"]),
+        finding(always, base + 20 + c("position"), say("Possibly unused variable: {v}", v=c("name")), say("'{v}' is assigned inside '{f}' but never read afterward (best-effort — doesn't model all control flow).", v=c("name"), f=c("function")), "Low", "Unused Variable", c("line"), F.lit("Remove the variable if unused, or use it / prefix with '_' to signal intent."), 0.7),
+    ))
     n = naming(facts)
-    found.append(_finding(n.where(c("kind") == "function"), F.lit(_PHASE) + c("line") * 1000 + c("owner"), say("Naming convention: {f}", f=c("name")), say("Function '{f}' doesn't follow snake_case (PEP 8).", f=c("name")), "Low", "Naming Convention", c("line"), say("Rename to '{s}'.", s=c("suggestion")), 0.95))
-    found.append(_finding(n.where(c("kind") == "class"), F.lit(_PHASE) + c("line") * 1000 + c("owner"), say("Naming convention: {f}", f=c("name")), say("Class '{f}' doesn't follow PascalCase (PEP 8).", f=c("name")), "Low", "Naming Convention", c("line"), F.lit("Rename the class using PascalCase."), 0.95))
-    found.append(_finding(unused_imports(facts, submissions), F.lit(2 * _PHASE) + c("seq"), say("Unused import: {i}", i=c("name")), say("'{i}' is imported but never referenced in the file.", i=c("name")), "Low", "Unused Import", c("line"), say("Remove the unused import '{i}'.", i=c("name")), 0.88))
+    found.append(found_in(n,
+        finding(c("kind") == "function", F.lit(_PHASE) + c("line") * 1000 + c("owner"), say("Naming convention: {f}", f=c("name")), say("Function '{f}' doesn't follow snake_case (PEP 8).", f=c("name")), "Low", "Naming Convention", c("line"), say("Rename to '{s}'.", s=c("suggestion")), 0.95),
+        finding(c("kind") == "class", F.lit(_PHASE) + c("line") * 1000 + c("owner"), say("Naming convention: {f}", f=c("name")), say("Class '{f}' doesn't follow PascalCase (PEP 8).", f=c("name")), "Low", "Naming Convention", c("line"), F.lit("Rename the class using PascalCase."), 0.95),
+    ))
+    found.append(found_in(unused_imports(facts, submissions),
+        finding(always, F.lit(2 * _PHASE) + c("seq"), say("Unused import: {i}", i=c("name")), say("'{i}' is imported but never referenced in the file.", i=c("name")), "Low", "Unused Import", c("line"), say("Remove the unused import '{i}'.", i=c("name")), 0.88),
+    ))
     k, base = classes(facts), F.lit(3 * _PHASE) + c("owner") * 10
-    found.append(_finding(k.where((c("methods") > config.GOD_CLASS_METHODS) | (c("span") > config.GOD_CLASS_LINES)), base, say("Possible God Object: {k}", k=c("name")), say("Class '{k}' has {n} methods and spans {s} lines — it may be taking on too many responsibilities.", k=c("name"), n=c("methods"), s=c("span")), "Medium", "SOLID: Single Responsibility Principle", c("line"), F.lit("Split this class into smaller classes, each with a single, clearly-named responsibility."), 0.7))
-    found.append(_finding(k.where(c("abstract_base") & (c("abstract_methods") > config.FAT_INTERFACE_METHODS)), base + 1, say("Possible fat interface: {k}", k=c("name")), say("Abstract class '{k}' declares {n} abstract methods — implementers may be forced to depend on methods they don't use.", k=c("name"), n=c("abstract_methods")), "Low", "SOLID: Interface Segregation Principle", c("line"), F.lit("Split this interface into smaller, more focused interfaces/protocols."), 0.6))
-    found.append(_finding(k.where(F.size("concrete") > config.CONCRETE_CLASSES), base + 2, say("Possible Dependency Inversion violation: {k}", k=c("name")), say("Class '{k}' directly instantiates {n} concrete classes inside its methods ({x}).", k=c("name"), n=F.size("concrete"), x=F.left(F.array_join("concrete", ", "), F.lit(80))), "Low", "SOLID: Dependency Inversion Principle", c("line"), F.lit("Depend on abstractions injected via the constructor instead of instantiating concrete classes directly inside methods."), 0.5))
+    found.append(found_in(k,
+        finding((c("methods") > config.GOD_CLASS_METHODS) | (c("span") > config.GOD_CLASS_LINES), base, say("Possible God Object: {k}", k=c("name")), say("Class '{k}' has {n} methods and spans {s} lines — it may be taking on too many responsibilities.", k=c("name"), n=c("methods"), s=c("span")), "Medium", "SOLID: Single Responsibility Principle", c("line"), F.lit("Split this class into smaller classes, each with a single, clearly-named responsibility."), 0.7),
+        finding(c("abstract_base") & (c("abstract_methods") > config.FAT_INTERFACE_METHODS), base + 1, say("Possible fat interface: {k}", k=c("name")), say("Abstract class '{k}' declares {n} abstract methods — implementers may be forced to depend on methods they don't use.", k=c("name"), n=c("abstract_methods")), "Low", "SOLID: Interface Segregation Principle", c("line"), F.lit("Split this interface into smaller, more focused interfaces/protocols."), 0.6),
+        finding(F.size("concrete") > config.CONCRETE_CLASSES, base + 2, say("Possible Dependency Inversion violation: {k}", k=c("name")), say("Class '{k}' directly instantiates {n} concrete classes inside its methods ({x}).", k=c("name"), n=F.size("concrete"), x=F.left(F.array_join("concrete", ", "), F.lit(80))), "Low", "SOLID: Dependency Inversion Principle", c("line"), F.lit("Depend on abstractions injected via the constructor instead of instantiating concrete classes directly inside methods."), 0.5),
+    ))
     out = found[0]
     for rows in found[1:]:
         out = out.unionByName(rows)
