@@ -57,3 +57,10 @@ def text_or_empty(name: str = "text"):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of at most so many rows, to keep few Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

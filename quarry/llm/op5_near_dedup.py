@@ -7,16 +7,23 @@ start, and only the class's smallest id goes on.
 1. The sketch of a class has 2**8 buckets by the top bits of the shingle hashes;
    a register compresses the smallest hash of its bucket into its leading-zero
    count and 10 mantissa bits.
-2. Bands of 5 registers are the keys of candidate search. At a similarity of
-   0.75 the chance that none of 51 bands agrees is 1e-6.
+2. Bands of 5 registers are the keys of candidate search. An empty register takes the
+   value of the first full one in an order fixed for its place (optimal densification,
+   Shrivastava 2017), so that short texts agree as seldom as their similarity says.
+   At a similarity of 0.75 the chance that none of 51 bands agrees is 1e-6.
 3. Candidates: each member of a band's bucket with the bucket's smallest member.
    The collision-corrected estimate of the sketches drops pairs that lie five
    standard errors below 0.75, and the full sets of the others are compared.
-4. Confirmed links give components. A bucket whose members already lie in one
-   component is done. In the others each member outside the smallest member's
-   component is compared with all members of other components in the same way,
-   so that no candidate link between components is left out, yet pairs inside a
-   group of copies are never made.
+4. Confirmed links give components. A bucket whose members lie in one component is
+   done. Of the members of the others, shingles that at most ``RARE`` of them have are
+   rare. Two members that share a rare one are compared outright, a bounded number for
+   each shingle; any others can share the rest of their shingles alone, which rules out
+   most pairs that only resemble each other. Rounds then compare each member with one of
+   another component, first with the member that has the fewest rare shingles and then
+   with a drawn one, which joins what belongs to large groups. At last every member
+   outside the drawn member's component is compared with all members of other
+   components, so that no candidate link between components is left out, yet pairs
+   inside a group of copies are never made.
 
 Buckets are counted before they are joined, and the joins on band, node or class
 are sort-merge joins whose hot keys Spark splits, so that no task gathers a group.
@@ -35,12 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import remove, slices, written
 from .components import components
 from .shingles import ascii_words, mixed, word_shingles
 
 BUCKET_BITS, MANTISSA_BITS, BAND_REGISTERS = 8, 10, 5
 PERCENT, ERRORS = 75, 5.0
+ROUNDS, RARE = 2, 24
 #: Up to so many ids (16 MB) a list of ids is broadcast; a longer one is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -63,14 +71,30 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the rows of a matrix of sketches: keys of their bands, and which bands are not empty."""
+# For each register, the order in which it looks for a full one.
+_LOOK = np.stack([np.random.default_rng(1000 + i).permutation(1 << BUCKET_BITS) for i in range(1 << BUCKET_BITS)])
+
+
+def densified(sketches: np.ndarray) -> np.ndarray:
+    """The sketches with each empty register filled from the first full one in its order."""
+    out = sketches.copy()
+    for row in out:
+        full = row != EMPTY
+        empty = np.flatnonzero(~full)
+        if len(empty) and full.any():
+            look = _LOOK[empty]
+            row[empty] = row[look[np.arange(len(empty)), full[look].argmax(axis=1)]]
+    return out
+
+
+def band_keys(sketches: np.ndarray) -> np.ndarray:
+    """Keys of the bands, for the rows of a matrix of densified sketches."""
     n, bands = len(sketches), (1 << BUCKET_BITS) // BAND_REGISTERS
     parts = sketches[:, : bands * BAND_REGISTERS].reshape(n, bands, BAND_REGISTERS)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(BAND_REGISTERS):
         key = mixed(key ^ (parts[:, :, i].astype(np.uint64) + np.uint64(i << 16)))
-    return key.view(np.int64), (parts != EMPTY).any(axis=2)
+    return key.view(np.int64)
 
 
 def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +119,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, cls, sk = [], [], []
             for text in batch.column("text").to_pylist():
                 h = word_shingles(ascii_words(text))
@@ -110,9 +134,9 @@ def sketched(docs: DataFrame) -> DataFrame:
 def _bands(nodes: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
-            key, full = band_keys(_matrix(batch.column("sketch")))
-            node = np.broadcast_to(batch.column("node").to_numpy()[:, None], full.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(key[full]), pa.array(node[full])], ["band", "node"])
+            key = band_keys(densified(_matrix(batch.column("sketch"))))
+            node = np.repeat(batch.column("node").to_numpy(), key.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(node)], ["band", "node"])
 
     return nodes.select("node", "sketch").mapInArrow(rows, "band long, node long")
 
@@ -133,17 +157,21 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(rows, "a long, b long").distinct()
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the rows whose ids are in ``ids``."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+
+
 def _confirmed(spark: SparkSession, docs: DataFrame, likely: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    if likely.count() <= BROADCAST_IDS // 2:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    texts = _texts(docs, likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct())
     pairs = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def rows(batches):
         last = (None, None)
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
                 if ta != last[0]:  # pairs come in the order of a
@@ -156,6 +184,72 @@ def _confirmed(spark: SparkSession, docs: DataFrame, likely: DataFrame) -> DataF
     return pairs.select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long")
 
 
+def _linked(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    likely = written(spark, _likely(pairs, nodes), "likely")
+    links = written(spark, _confirmed(spark, docs, likely), "links")
+    remove(spark, likely)
+    return links
+
+
+def _open(members: DataFrame, info: DataFrame, found: DataFrame, drawn: int) -> DataFrame:
+    """Members of the buckets that hold several components: band, node, n, shared, component, and
+    the bucket's drawn member with its size, shared shingles and component."""
+    placed = members.select("band", "node").join(info.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "node")
+    by = F.pmod(F.xxhash64("node", "band", F.lit(drawn)), F.lit(1 << 31))
+    if not drawn:
+        by = by + (F.col("n") - F.col("shared")) * F.lit(1 << 31)
+    kept = [F.min_by(c, by).alias(f"drawn_{c}") for c in ("node", "n", "shared", "component")]
+    buckets = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), *kept)
+    return placed.join(buckets.where("low < high").drop("low", "high"), "band")
+
+
+def _shingles(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """(node, shingle) of the members of ``held``."""
+
+    def rows(batches):
+        for batch in slices(batches):
+            sets = [word_shingles(ascii_words(t)).view(np.int64) for t in batch.column("text").to_pylist()]
+            node = np.repeat(batch.column("node").to_numpy(), [len(h) for h in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets))], ["node", "shingle"])
+
+    texts = _texts(docs, held.select(F.col("node").alias("doc_id")).distinct())
+    return texts.withColumnRenamed("doc_id", "node").mapInArrow(rows, "node long, shingle long")
+
+
+def _rare(spark: SparkSession, docs: DataFrame, held: DataFrame) -> DataFrame:
+    """(node, shingle) of the shingles that at most RARE members of ``held`` have."""
+    shingles = written(spark, _shingles(docs, held), "shingles")
+    few = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+    rare = written(spark, shingles.join(few, "shingle").select("node", "shingle", "df"), "rare")
+    remove(spark, shingles)
+    return rare
+
+
+def _sharing(rare: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) of members of different components that share a rare shingle; a list has RARE members at most."""
+    placed = rare.where("df > 1").join(held.select("node", "component").distinct(), "node")
+    lists = placed.groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("node", "component"))).alias("x")).select("x").distinct()
+    lists = lists.select("x", F.explode("x").alias("p")).select("p", F.explode("x").alias("q"))
+    return lists.where("p.node < q.node and p.component <> q.component").select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+
+
+def _fits(a: str, b: str, sa: str, sb: str):
+    """Whether sizes and shared shingles of a pair admit a link."""
+    return (100 + PERCENT) * F.least(sa, sb) >= PERCENT * (F.col(a) + F.col(b))
+
+
+def _between(held: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket's members of different components that sizes and shared
+    shingles admit, each from the first of the buckets that the two have in common."""
+    mine = held.groupBy("node").agg(F.collect_list("band").alias("bands"))  # at most one for each band and text
+    rows = held.select("band", "node", "n", "shared", "component", F.col("drawn_component").alias("home"))
+    x = rows.where(F.col("component") != F.col("home")).where(100 * F.col("shared") >= PERCENT * F.col("n")).drop("home").join(mine, "node").withColumnsRenamed({"node": "x", "n": "nx", "shared": "sx", "component": "cx", "bands": "bx"})
+    y = rows.join(x.select("band").distinct(), "band", "left_semi").join(mine, "node").withColumnsRenamed({"node": "y", "n": "ny", "shared": "sy", "component": "cy", "bands": "by"})
+    once = (F.col("cy") == F.col("home")) | (F.col("x") < F.col("y"))
+    first = F.col("band") == F.array_min(F.array_intersect("bx", "by"))
+    return x.join(y, "band").where((F.col("cx") != F.col("cy")) & once & _fits("nx", "ny", "sx", "sy") & first).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = written(spark, sketched(docs), "sketches")
@@ -166,25 +260,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = written(spark, bands.join(shared, "band"), "members")
     tried = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    likely = written(spark, _likely(tried, nodes), "likely")
-    links = written(spark, _confirmed(spark, docs, likely), "links")
-    first = written(spark, components(spark, links), "components")
-
-    # Candidates between components that share a bucket, but for those tried.
-    info = nodes.select("node", "n").join(first, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component")).distinct()
-    placed = members.join(info, "node")
-    outside = placed.join(info.select(F.col("node").alias("least"), F.col("component").alias("home")), "least").where("component <> home")
-    x = outside.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = placed.where("node <> least").select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    between = x.join(y, "band").where((F.col("ca") != F.col("cb")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(spark, _likely(between, nodes), "likely")
-    further = written(spark, _confirmed(spark, docs, more), "links")
-    if further.isEmpty():
-        found = first
-    else:
-        found = written(spark, components(spark, links.union(further)), "components")
-    remove(spark, members, likely, more)
+    links = _linked(spark, docs, nodes, tried)
+    found = written(spark, components(spark, links), "components")
+    info = nodes.select("node", "n", F.col("n").alias("shared"))
+    for drawn in range(ROUNDS + 1):
+        held = written(spark, _open(members, info, found, drawn), "open")
+        if not drawn:
+            several = nodes.groupBy("node").count().where("count > 1")  # ids of several texts
+            rare = _rare(spark, docs, held)
+            own = rare.groupBy("node").agg(F.count("*").alias("own")).join(several, "node", "left_anti")
+            info = written(spark, nodes.select("node", "n").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), "sizes")
+            sharing = written(spark, _sharing(rare, held), "sharing")
+            remove(spark, held, rare)
+            held = written(spark, _open(members, info, found, drawn), "open")
+        if drawn < ROUNDS:
+            pairs = held.where(F.col("component") != F.col("drawn_component")).where(_fits("n", "drawn_n", "shared", "drawn_shared"))
+            pairs = pairs.select(F.least("node", "drawn_node").alias("a"), F.greatest("node", "drawn_node").alias("b"))
+            pairs = (pairs if drawn else pairs.union(sharing)).distinct()
+        else:
+            pairs = _between(held)
+        more = _linked(spark, docs, nodes, pairs)
+        remove(spark, held)
+        if not more.isEmpty():
+            links = links.union(more)
+            remove(spark, found)
+            found = written(spark, components(spark, links), "components")
+    remove(spark, members)
 
     named = nodes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
     kind = docs.schema["doc_id"].dataType
@@ -205,3 +306,17 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     some = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
     first = out.join(some, "doc_id", "left_semi").orderBy("text").dropDuplicates(["doc_id"])
     return out.join(some, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+
+
+#: The same for DuckDB by a join of all shingles, where ids are unique.
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, t.b FROM r JOIN t ON t.a = r.y)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) USING (doc_id)
+"""
