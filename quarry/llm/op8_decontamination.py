@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 WINDOW, SHINGLE = 10, 3
 BLOCK_BYTES = 8 << 20
@@ -158,7 +158,7 @@ def _ordered(spark: SparkSession, docs: DataFrame, windows: Windows) -> Windows:
 
     def count(batches):
         total = {s: np.zeros(len(k), np.int64) for s, k in shared.value.keys.items()}
-        for batch in batches:
+        for batch in slices(batches, 2048):
             for step in _steps(batch.column("text").to_pylist()):
                 for s, n in shared.value.counted(shared.value.ids(step)[0]).items():
                     total[s] += n
@@ -194,7 +194,7 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFram
 
         def mark(batches, shared=shared):
             w = shared.value
-            for batch in batches:
+            for batch in slices(batches, 2048):
                 spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
                 k = 0
                 for step in _steps(batch.column("text").to_pylist()):
@@ -219,7 +219,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
 
     def summed(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             out = []
             for text, spans, items in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items")), strict=True):
                 hit = set()
@@ -241,7 +241,7 @@ def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFr
 
         def clean(batches, shared=shared):
             w = shared.value
-            for batch in batches:
+            for batch in slices(batches, 2048):
                 keep, k = np.ones(batch.num_rows, bool), 0
                 for step in _steps(batch.column("text").to_pylist()):
                     ids, begin = w.ids(step)
@@ -251,3 +251,18 @@ def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFr
 
         out = out.mapInArrow(clean, docs.schema)
     return out
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The same for DuckDB by a join of all windows, where ids of documents are unique.
+CONTAMINATION_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[k:k + {WINDOW - 1}], ' ') AS win FROM (SELECT *, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS k FROM i WHERE len(w) > 0)),
+p AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM v) WHERE len(w) >= n)),
+m AS (SELECT p.doc_id, p.k, p.n, v.item_id FROM p JOIN v USING (n, win)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS q FROM m) GROUP BY doc_id),
+f AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)
+"""

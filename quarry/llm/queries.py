@@ -10,10 +10,10 @@ from .op1_main_text import main_text
 from .op2_secrets import secrets
 from .op3_toxicity import toxicity
 from .op4_token_files import token_files
-from .op5_near_dedup import near_duplicates
+from .op5_near_dedup import NEAR_DUPLICATES_SQL, near_duplicates
 from .op6_licenses import licenses
 from .op7_token_counts import token_counts
-from .op8_decontamination import contamination
+from .op8_decontamination import CONTAMINATION_SQL, contamination
 from .op9_mixing import MIXTURE_SQL, mixture
 from .op10_fingerprints import fingerprints
 
@@ -73,5 +73,7 @@ QUERIES = {
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
+    "op5_near_dedup": NEAR_DUPLICATES_SQL,
+    "op8_benchmark_decontamination": CONTAMINATION_SQL,
     "op9_source_mixing": MIXTURE_SQL.format(text="text", docs="documents"),
 }
