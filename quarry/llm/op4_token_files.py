@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffle_partitions, text_or_empty
+from .common import new_path, shuffle_partitions, slices, text_or_empty
 from .pretokens import ids_for
 
 STRIPE_BYTES, INDEX_ROWS, FILTER_FPP = 64 << 20, 1_000, 0.01
@@ -40,7 +40,7 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, p
 
     def encode(batches):
         cache, at = ids_for(tokenizer_path), 0
-        for batch in batches:
+        for batch in slices(batches):
             texts, k = batch.column("text").to_pylist(), 0
             while k < len(texts):
                 stop, chars = k, 0
@@ -77,9 +77,9 @@ def digests(rows: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def digest(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("ids")
-            flat, offsets = memoryview(ids.values.to_numpy().astype("<u4", copy=False)), ids.offsets.to_pylist()
+            flat, offsets = memoryview(ids.values.to_numpy().view("<u4")), ids.offsets.to_pylist()
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -25,7 +26,7 @@ BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+|
 WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
 
 #: Entries that a worker's cache may hold before it starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 
 _open: dict = {}
 
@@ -48,18 +49,41 @@ def fast(text: str) -> bool:
     return "<|" not in text and not UNSAFE.search(text)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printing Latin-1
+    characters stand for themselves, the other bytes for the letters from U+0100 on."""
+    printing = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256))
+    return [chr(b) if b in printing else chr(256 + next(others)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+
+
+def _model_encode(path: str):
+    """The ids of one pre-token, by the library's model without its text pipeline."""
+    tokenize = tokenizer(path).model.tokenize
+
+    def encode(piece: str) -> list[int]:
+        if not piece.isascii() or not piece.isprintable() or " " in piece:
+            piece = "".join([_LETTERS[b] for b in piece.encode()])
+        return [t.id for t in tokenize(piece)]
+
+    return encode
+
+
 class Lengths(dict):
     """Pre-token -> number of ids; misses are encoded by the library."""
 
     def __init__(self, path: str, known: dict[str, int]):
         super().__init__(known)
-        self.known, self.encode = known, tokenizer(path).encode
+        self.known, self.encode, self.piece_ids = known, tokenizer(path).encode, _model_encode(path)
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= CACHE_ENTRIES + len(self.known):
             self.clear()
             self.update(self.known)
-        n = self[piece] = len(self.encode(piece, add_special_tokens=False).ids)
+        n = self[piece] = len(self.piece_ids(piece))
         return n
 
     def count(self, text: str) -> int:
@@ -73,27 +97,21 @@ class Ids(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.encode = tokenizer(path).encode
+        self.encode, self.piece_ids = tokenizer(path).encode, _model_encode(path)
         self._empty()
 
     def _empty(self) -> None:
         self.clear()
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.place, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.place, self.size = array("i"), array("q"), array("q")
 
     def __missing__(self, piece: str) -> int:
-        return self._add(piece, self.encode(piece, add_special_tokens=False).ids)
+        return self._add(piece, self.piece_ids(piece))
 
     def _add(self, piece, ids: list[int]) -> int:
-        k, n = len(self), len(ids)
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if k >= len(self.place):
-            self.place, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.place, self.size))
-        self.flat[self.used : self.used + n] = ids
-        self.place[k], self.size[k] = self.used, n
-        self.used += n
-        self[piece] = k
+        k = self[piece] = len(self)
+        self.place.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
         return k
 
     def batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,11 +139,12 @@ class Ids(dict):
         if not waiting:
             return np.zeros(0, np.int32)
         at = np.concatenate(waiting).astype(np.int64)
-        size = self.size[at]
+        flat, place, size = (np.frombuffer(x, t) for x, t in ((self.flat, np.int32), (self.place, np.int64), (self.size, np.int64)))
+        size = size[at]
         stop = np.cumsum(size)
         last = stop[np.cumsum([len(a) + 1 for a in waiting[::2]]) - 1]
         n[len(n) - n.count(None) :] = np.diff(last, prepend=0).tolist()
-        return self.flat[np.repeat(self.place[at] - (stop - size), size) + np.arange(stop[-1])]
+        return flat[np.repeat(place[at] - (stop - size), size) + np.arange(stop[-1])]
 
 
 def lengths_for(path: str, key: str, known: dict[str, int]) -> Lengths:
