@@ -3,14 +3,30 @@ folder and the reading of the standard input tables."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch at most: whole texts of any length pass through, a few at a time.
+BATCH_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches at ``BATCH_ROWS`` rows, on both sides of a worker's pipe."""
+    now = int(spark.conf.get(_ROWS))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -37,6 +53,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives
     the loss of any executor."""
+    bounded_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -60,7 +77,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def slices(batches, rows: int = 512):
-    """Arrow batches in parts of at most so many rows, to keep few Python objects at a time."""
+    """Arrow batches in parts of at most so many rows, to keep few Python objects at a time.
+    At the end of a task its freed memory goes back to the system, since workers live on."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_or_empty
+from .common import shuffle_partitions, slices, text_or_empty
 from .shingles import mixed
 
 SHINGLE_CHARS, SCALE, LEAST = 16, 64, 32
@@ -142,7 +142,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def sketched(batches):
         held = None  # (bucket, doc_id, text, sketch) that waits for its next row
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for bucket, ahead, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "ahead", "doc_id", "text")), strict=True):
                 if ahead and held is None:

@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import remove, slices, written
 
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 4_000, 6_000, 20_000
 FEATURES, LEAST_DOCS, LEAST_Z = 3_000, 4, 4.0
 PREFIXES = range(3, 9)
 STEPS, RATE, DECAY, NEGLIGIBLE = 300, 0.1, 3e-5, 0.25
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 50_000
+#: Features that a task counts before it hands on its sums.
+TASK_FEATURES = 50_000
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n|]+")
@@ -109,14 +111,20 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
         remove(spark, sample)
         return Model()
 
+    def counts(seen: dict[str, list[int]]) -> pa.RecordBatch:
+        rows = list(seen.items())
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in rows], pa.string()), pa.array([n[0] for _, n in rows], pa.int64()), pa.array([n[1] for _, n in rows], pa.int64())], ["f", "clean", "toxic"])
+
     def count(batches):
         seen: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in slices(batches, 64):
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for f in {f for w in set(WORD.findall(text.lower())) for f in features(w)}:
                     seen.setdefault(f, [0, 0])[toxic] += 1
-        rows = list(seen.items())
-        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in rows], pa.string()), pa.array([n[0] for _, n in rows], pa.int64()), pa.array([n[1] for _, n in rows], pa.int64())], ["f", "clean", "toxic"])
+            if len(seen) >= TASK_FEATURES:
+                yield counts(seen)
+                seen = {}
+        yield counts(seen)
 
     counted = sample.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     n0, n1 = float(kinds[0]), float(kinds[1])
@@ -128,7 +136,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
 
     def named(batches):
         of: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 bags = []
@@ -136,6 +144,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
                     bag: Counter = Counter()
                     for w in set(WORD.findall(m[0])):
                         if w not in of:
+                            if len(of) >= CACHE_WORDS:
+                                of.clear()
                             of[w] = [known[f] for f in features(w) if f in known]
                         bag.update(of[w])
                     if bag:
@@ -186,7 +196,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches):
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 found = m.sentences(text)
@@ -205,7 +215,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Da
 
     def clean(batches):
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([m.score(m.sentences(t)) < 0.5 for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -24,6 +24,8 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import slices
+
 COVERAGE = 0.8
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
@@ -157,7 +159,7 @@ def licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | N
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [shared.value.best(t) for t in batch.column("text").to_pylist()]
             name, share, first, last, n = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(name, pa.string()), pa.array(share, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["doc_id", "n_words", "license", "coverage", "first_word", "last_word"])

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
 from .pretokens import BYTE_LEVEL, fast, lengths_for, tokenizer
 
 #: The table is taken from so many texts of at most so many characters. It is a
@@ -42,7 +43,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, max_tokens: in
 
     def count(batches):
         lengths = lengths_for(path, key, table.value)
-        for batch in batches:
+        for batch in slices(batches):
             n = [lengths.count(t) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

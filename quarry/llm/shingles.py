@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker's cache may hold before it starts anew.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 50_000
 WORDS_PER_SHINGLE = 5
 
 def mixed(h: np.ndarray) -> np.ndarray:
