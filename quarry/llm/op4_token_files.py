@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import new_path, shuffle_partitions, slices, text_or_empty
 from .pretokens import ids_for
 
-STRIPE_BYTES, INDEX_ROWS, FILTER_FPP = 64 << 20, 1_000, 0.01
+STRIPE_BYTES, INDEX_ROWS, FILTER_FPP = 16 << 20, 1_000, 0.01
 #: Texts of so many characters are encoded together.
-STEP_CHARS = 1 << 21
+STEP_CHARS = 1 << 19
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, partitions: int | None = None) -> None:

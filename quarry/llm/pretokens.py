@@ -26,7 +26,7 @@ BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+|
 WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
 
 #: Entries that a worker's cache may hold before it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 _open: dict = {}
 
