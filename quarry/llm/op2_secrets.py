@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 FINDINGS, TREES, DEPTH, SEED = 4_000, 30, 7, 7
 
 _RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}={0,2}"
-#: A candidate with up to two words and marks before it, and the word after it.
-_CANDIDATE = r"(?:[\p{L}\p{N}_.\-]{1,60}[\s]{1,3})?(?:[\p{L}\p{N}_.\-]{1,60}[\"'\]]{0,2}\s{0,3}(?:=>|:=|==|=|:)?\s{0,3}[\"'`]{0,3})?" + _RUN + r"(?:[\"'`;,.)]{0,3}\s{1,3}[\p{L}\p{N}_]{1,40})?"
-_PARTS = r"(?s)^(.*?)(" + _RUN + r")([\"'`;,.)]{0,3}\s{0,3})([\p{L}\p{N}_]*)$"
+#: Up to two words and marks before a run, and the word after it; the text around a run that these can reach.
+_BEFORE = r"(?:[\p{L}\p{N}_.\-]{1,60}[\s]{1,3})?(?:[\p{L}\p{N}_.\-]{1,60}[\"'\]]{0,2}\s{0,3}(?:=>|:=|==|=|:)?\s{0,3}[\"'`]{0,3})?\z"
+_AFTER = r"^[\"'`;,.)]{0,3}\s{1,3}([\p{L}\p{N}_]{1,40})"
+_REACH, _SHORTEST = 140, 20
 
 # Words that stand near secrets and near harmless runs, and frequent parts of names.
 SECRET_WORDS = "token secret key apikey api_key password passwd pwd pass auth authorization bearer credential credentials private access signing client".split()
@@ -69,9 +70,18 @@ def with_features(found: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, ordinal, before, run, after of every candidate."""
     hit = docs.select("doc_id", "text").where(F.col("text").rlike(_RUN))
-    pieces = hit.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_CANDIDATE), F.lit(0))).alias("ordinal", "piece"))
-    part = lambda i: F.regexp_extract("piece", _PARTS, i)
-    return pieces.select("doc_id", "ordinal", part(1).alias("before"), part(2).alias("run"), part(4).alias("after"))
+    cut = hit.select("doc_id", F.regexp_extract_all("text", F.lit(_RUN), F.lit(0)).alias("runs"), F.split("text", _RUN, -1).alias("gaps"))
+    # Each run with the gap before it; the last gap has no run. A run is context of its neighbours, too.
+    whole = F.zip_with("gaps", "runs", lambda gap, run: F.concat(gap, F.coalesce(run, F.lit(""))))
+    cut = cut.withColumn("whole", whole)
+    cut = cut.withColumns({"ends": F.transform("whole", lambda x: F.right(x, F.lit(_REACH))), "starts": F.transform("whole", lambda x: F.left(x, F.lit(_REACH)))})
+    near = range(1, -(-_REACH // _SHORTEST) + 1)
+    shifted = [F.concat(F.array_repeat(F.lit(""), k), "ends").alias(f"b{k}") for k in near] + [F.slice("starts", F.lit(k + 1), F.size("starts")).alias(f"a{k}") for k in near]
+    pieces = cut.select("doc_id", F.posexplode(F.arrays_zip("runs", "gaps", *shifted)).alias("ordinal", "piece")).where(F.col("piece.runs").isNotNull())
+    joined = lambda names: F.concat(*[F.coalesce(F.col(f"piece.{n}"), F.lit("")) for n in names])
+    before = F.right(joined([*(f"b{k}" for k in reversed(near)), "gaps"]), F.lit(_REACH))
+    after = joined([f"a{k}" for k in near])
+    return pieces.select("doc_id", "ordinal", F.regexp_extract(before, _BEFORE, 0).alias("before"), F.col("piece.runs").alias("run"), F.regexp_extract(after, _AFTER, 1).alias("after"))
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
