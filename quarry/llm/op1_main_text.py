@@ -4,11 +4,12 @@
    notice, advert, form, script, style or comments goes, and the articles (or else
    main, or else the body) are the main content.
 2. Of the element subtrees of that content, hashes are counted per host: in how many
-   different pages they occur. Pages of one context (the smallest hash among their
-   blocks, which copies and near-copies of a page share) count once, so that an article
-   published many times is no template. Only 64-bit hashes are shuffled.
-3. Subtrees that occur in at least ``LEAST_PAGES`` contexts and ``LEAST_SHARE`` of all
-   contexts of the host are templates. Pages are read again and their templates deleted.
+   different pages they occur. Pages of the same main content count once, and so do
+   pages of which less than ``OWN_SHARE`` is text that the host doesn't share (the blocks
+   on fewer than ``LEAST_PAGES`` pages or ``LEAST_SHARE`` of them), so that an article
+   published many times is no template. Only 64-bit hashes and lengths are shuffled.
+3. Subtrees that occur in at least ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of all
+   pages of the host are templates. Pages are read again and their templates deleted.
 
 Templates found are broadcast as an array of hashes up to ``BROADCAST_KEYS`` (8 MB);
 beyond that each page gets its own list by a join on the page.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from . import html_blocks
 from .common import remove, slices, written
 
-LEAST_PAGES, LEAST_SHARE, BROADCAST_KEYS = 10, 0.5, 1_000_000
+LEAST_PAGES, LEAST_SHARE, OWN_SHARE, BROADCAST_KEYS = 10, 0.5, 0.1, 1_000_000
 #: Elements that hold a page's whole content are no templates.
 WHOLE = frozenset(("html", "body", "main", "article"))
 
@@ -51,49 +52,68 @@ def _keyed(of: str, h: int) -> int:
     return _signed(xxhash.xxh64_intdigest(f"{of}\x1f{h:x}"))
 
 
-def _subtrees(pages: DataFrame) -> DataFrame:
-    """(page_id, site, key, context) of the distinct subtrees of each page's main content; the site itself has key null."""
+def _contents(pages: DataFrame) -> DataFrame:
+    """(page_id, site, content, blocks, chars, keys) of each page with main content: hashes of the host and of all
+    of that content, of its distinct blocks with their lengths, and of its distinct subtrees."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def rows(batches):
         for batch in slices(batches):
-            page, site, key, context = [], [], [], []
+            page, site, content, blocks, chars, keys = [], [], [], [], [], []
             for p, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 read, of = html_blocks.read(html), host(url)
                 main = read.main()
                 if not main:
                     continue
-                seen, s = _signed(min(xxhash.xxh64_intdigest(read.blocks[i][0]) for i in main)), _signed(xxhash.xxh64_intdigest(of))
-                inside = set(main)
-                keys = {_keyed(of, h) for h, a, _, tag in read.subtrees if tag not in WHOLE and a in inside}
-                page += [p] * (len(keys) + 1)
-                site += [s] * (len(keys) + 1)
-                key += [None, *keys]
-                context += [seen] * (len(keys) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(page, batch.schema.field("page_id").type), *(pa.array(c, pa.int64()) for c in (site, key, context))], ["page_id", "site", "key", "context"])
+                inside, texts = set(main), [read.blocks[i][0] for i in main]
+                own = {_keyed(of, xxhash.xxh64_intdigest(t)): len(t) for t in texts}
+                page.append(p)
+                site.append(_signed(xxhash.xxh64_intdigest(of)))
+                content.append(_keyed(of, xxhash.xxh64_intdigest("\x1f".join(texts))))
+                blocks.append([*own])
+                chars.append([*own.values()])
+                keys.append([*{_keyed(of, h) for h, a, _, tag in read.subtrees if tag not in WHOLE and a in inside}])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(page, batch.schema.field("page_id").type), *(pa.array(c, pa.int64()) for c in (site, content)), *(pa.array(c, longs) for c in (blocks, chars, keys))], ["page_id", "site", "content", "blocks", "chars", "keys"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(rows, f"page_id {kind}, site long, content long, blocks array<bigint>, chars array<bigint>, keys array<bigint>")
+
+
+def _frequent(rows: DataFrame, of: str) -> DataFrame:
+    """(key) on enough pages of its host, of (site, key, page named ``of``); the site itself has key null."""
+    counts = rows.select("site", "key", of).distinct().groupBy("site", "key").agg(F.count("*").alias("n"))
+    sites = counts.where(F.col("key").isNull() & (F.col("n") >= LEAST_PAGES)).select("site", F.col("n").alias("pages"))
+    return counts.where(F.col("key").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(sites, "site").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("key")
+
 
-    return pages.select("page_id", "url", "html").mapInArrow(rows, f"page_id {kind}, site long, key long, context long")
+def _with_site(of: str):
+    return F.explode(F.concat(F.array(F.lit(None).cast("long")), of)).alias("key")
 
 
-def templates(subtrees: DataFrame) -> DataFrame:
+def templates(spark: SparkSession, contents: DataFrame) -> DataFrame:
     """(key) of the subtrees that recur across the pages of their host."""
-    counts = subtrees.select("site", "key", "context").distinct().groupBy("site", "key").agg(F.count("*").alias("n"))
-    sites = counts.where(F.col("key").isNull() & (F.col("n") >= LEAST_PAGES)).select("site", F.col("n").alias("pages"))
-    return counts.where(F.col("key").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(sites, "site").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("key")
+    shared = written(spark, _frequent(contents.select("site", "content", _with_site("blocks")), "content"), "shared")
+    blocks = contents.select("content", F.explode(F.arrays_zip("blocks", "chars")).alias("b")).select("content", F.col("b.blocks").alias("key"), F.col("b.chars").alias("chars")).distinct()
+    held = blocks.join(shared, "key").groupBy("content").agg(F.sum("chars").alias("held"), F.min("key").alias("copied"))
+    total = F.aggregate("chars", F.lit(0).cast("long"), lambda s, x: s + x)
+    near = contents.select("content", total.alias("total")).distinct().join(held, "content").where(F.col("total") - F.col("held") < OWN_SHARE * F.col("total")).select("content", "copied")
+    rows = contents.select("site", "content", "keys").join(near, "content", "left")
+    return _frequent(rows.select("site", F.coalesce("copied", "content").alias("page"), _with_site("keys")), "page")
 
 
 def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``."""
-    found = written(spark, templates(_subtrees(pages)), "templates")
+    contents = written(spark, _contents(pages), "contents")
+    found = written(spark, templates(spark, contents), "templates")
     rows = pages.select("page_id", "url", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
     if found.count() <= BROADCAST_KEYS:
         keys = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in found.collect()], np.int64)))
         rows = rows.withColumn("gone", F.lit(None).cast("array<bigint>"))
-        remove(spark, found)
+        remove(spark, found, contents)
     else:
         keys = spark.sparkContext.broadcast(np.zeros(0, np.int64))
-        lists = _subtrees(pages).join(found, "key").groupBy("page_id").agg(F.collect_set("key").alias("gone"))
+        lists = contents.select("page_id", F.explode("keys").alias("key")).join(found, "key").groupBy("page_id").agg(F.collect_set("key").alias("gone"))
         rows = rows.join(lists, "page_id", "left")
 
     def extract(batches):

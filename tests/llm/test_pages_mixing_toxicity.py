@@ -49,6 +49,23 @@ def test_templates_of_a_host_go(spark, words, monkeypatch):
     assert op1.main_text(spark, pages.limit(0)).count() == 0
 
 
+def test_templates_of_small_hosts_go_whatever_their_hashes(spark, words):
+    rng = random.Random(3)
+    block = lambda n: f"<p>{words(rng, n)}</p>"
+    rows, own, common = [], {}, {}
+    for h in range(40):
+        common[h] = [block(9) for _ in range(5)]
+        for i in range(15):
+            own[h, i] = [block(8), block(8)]
+            rows.append((100 * h + i, f"http://h{h}.example/{i}", f"<body>{''.join([*own[h, i], *common[h]])}</body>"))
+    article = [block(40) for _ in range(6)]
+    rows += [(9000 + i, "http://copies.example/", f"<body>{''.join(article)}<p>on day {i}</p></body>") for i in range(30)]
+    got = {r.page_id: r.text for r in op1.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    bare = lambda blocks: "\n\n".join(b[3:-4] for b in blocks)
+    assert all(got[100 * h + i] == bare(x) for (h, i), x in own.items())
+    assert all(got[9000 + i] == bare(article) + f"\n\non day {i}" for i in range(30))
+
+
 def test_mixing_has_the_rows_of_its_sql(spark, words, hard):
     rng = random.Random(9)
     rows = [(i, words(rng, rng.randrange(1, 30)), s) for i, s in enumerate("a" * 600 + "b" * 120 + "c" * 40 + "d" * 3)] + [(5, "x y", None), (5, None, None), (9000, "", "e"), (9001, "q r", "a"), (9001, "q r", "a")]
