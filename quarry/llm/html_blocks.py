@@ -35,64 +35,68 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 @dataclass(slots=True)
 class Page:
-    """``blocks``: (text, inside an article, inside main). ``subtrees``: (hash, first
-    block, end, tag) of the block elements with text."""
+    """``blocks``: (text, inside an article, inside main, no content by its names).
+    ``subtrees``: (hash, first block, end, tag) of the block elements with text."""
 
-    blocks: list[tuple[str, bool, bool]]
+    blocks: list[tuple[str, bool, bool, bool]]
     subtrees: list[tuple[int, int, int, str]]
 
     def kept(self, gone: frozenset | set = frozenset()) -> list[str]:
-        """Texts of the main content without the subtrees whose hashes are in ``gone``."""
+        """Texts of the main content of what stays without the subtrees whose hashes are in ``gone``."""
         out = set()
         if gone:
             for h, a, b, _ in self.subtrees:
                 if h in gone:
                     out.update(range(a, b))
-        return [self.blocks[i][0] for i in self.main() if i not in out]
+        return [self.blocks[i][0] for i in self.main(out)]
 
-    def main(self) -> list[int]:
-        """Places of the blocks of the articles, or else of main, or else of all."""
+    def content(self) -> list[int]:
+        """Places of the blocks that no name marks as no content, in articles or not."""
+        return [i for i, b in enumerate(self.blocks) if not b[3]]
+
+    def main(self, out: frozenset | set = frozenset()) -> list[int]:
+        """Places of the blocks of the articles, or else of main, or else of all content, but for those in ``out``."""
+        left = [i for i in self.content() if i not in out]
         for k in (1, 2):
-            if found := [i for i, b in enumerate(self.blocks) if b[k]]:
+            if found := [i for i in left if self.blocks[i][k]]:
                 return found
-        return [*range(len(self.blocks))]
+        return left
 
 
-def _noise(tag: str, attributes: str, in_article: bool) -> bool:
+def _noise(tag: str, attributes: str, in_article: bool, holder: bool) -> str | None:
+    """Why an element is no content: its ``name``, or that it is ``hidden``. A ``holder`` (article or main) has no such name."""
     if tag in ("html", "body", "main"):
-        return False
-    if tag in NOISE and not (tag == "header" and in_article):
-        return True
-    if not attributes:
-        return False
+        return None
+    named = not holder and tag in NOISE and not (tag == "header" and in_article)
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if _NOISE_NAME.search(value) or not in_article and tag != "article" and _HEAD_NAME.search(value):
-                return True
+            named = named or not holder and bool(_NOISE_NAME.search(value) or not in_article and _HEAD_NAME.search(value))
         elif name == "role":
-            if value.lower() in NOISE_ROLES:
-                return True
+            named = named or not holder and value.lower() in NOISE_ROLES
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+            return "hidden"
+    return "name" if named else None
 
 
 def read(html: str | None) -> Page:
-    """The blocks and subtrees of a page, without what its names mark as no content."""
+    """The blocks and subtrees of a page. What its names mark as no content is marked, unless an article or main is in it."""
     blocks: list = []
     subtrees: list = []
-    # Open elements: [tag, noise, in article, in main, in an article's header, first block, child digests]
-    stack: list[list] = [["", False, False, False, False, 0, []]]
+    # Open elements: [tag, innermost noisy element around, in article, in main, in an article's header, first block, child digests]
+    # A noisy element is [holds an article or main, the next one around]; what holds one is in elements that hold one.
+    stack: list[list] = [["", None, False, False, False, 0, []]]
     text: list[str] = []
+    hidden = [False, None]
 
     def flush() -> None:
         if text:
             joined = " ".join(_html.unescape("".join(text)).split())
             text.clear()
             top = stack[-1]
-            if joined and not top[1] and not (top[4] and not any(e[0] in HEADINGS for e in stack)):
-                blocks.append((joined, top[2], top[3]))
+            if joined:
+                byline = top[4] and not any(e[0] in HEADINGS for e in stack)
+                blocks.append((joined, top[2], top[3], hidden if byline else top[1]))
                 top[6].append(joined)
 
     def close() -> None:
@@ -153,11 +157,17 @@ def read(html: str | None) -> Page:
                 for _ in range(min(n, len(stack) - 1)):
                     close()
         top = stack[-1]
-        noise = top[1] or _noise(tag, m[3], top[2])
-        if noise and not top[1]:
+        holder = tag in ("article", "main") or 'role="main"' in m[3]
+        noise = top[1]
+        if holder:
+            around = noise
+            while around and around is not hidden and not around[0]:
+                around[0], around = True, around[1]
+        if noise is not hidden and (why := _noise(tag, m[3], top[2], holder)):
             flush()
-        stack.append([tag, noise, top[2] or tag == "article" and not noise, top[3] or not noise and (tag == "main" or "role" in m[3] and 'role="main"' in m[3]), top[4] or tag == "header", len(blocks), []])
+            noise = hidden if why == "hidden" else [False, noise]
+        stack.append([tag, noise, top[2] or tag == "article", top[3] or tag == "main" or 'role="main"' in m[3], (top[4] and not holder) or tag == "header", len(blocks), []])
     flush()
     while len(stack) > 1:
         close()
-    return Page(blocks, subtrees)
+    return Page([(t, a, b, bool(noise) and not noise[0]) for t, a, b, noise in blocks], subtrees)

@@ -1,15 +1,16 @@
 """Main text of web pages with removal of site templates.
 
-1. Each page is read once: what its markup names as menu, header, footer, sidebar,
-   notice, advert, form, script, style or comments goes, and the articles (or else
-   main, or else the body) are the main content.
-2. Of the element subtrees of that content, hashes are counted per host: in how many
-   different pages they occur. Pages of the same main content count once, and so do
+1. Each page is read once, as a whole. Of all its element subtrees, hashes are counted
+   per host: in how many different pages they occur.
+2. Pages are told apart by their content: all but what their markup names as menu, header,
+   footer, sidebar, notice, advert, form, script, style or comments, unless that is or
+   holds an article or main. Pages of the same content count once, and so do
    pages of which less than ``OWN_SHARE`` is text that the host doesn't share (the blocks
    on fewer than ``LEAST_PAGES`` pages or ``LEAST_SHARE`` of them), so that an article
    published many times is no template. Only 64-bit hashes and lengths are shuffled.
 3. Subtrees that occur in at least ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of all
-   pages of the host are templates. Pages are read again and their templates deleted.
+   pages of the host are templates. Pages are read again, their templates deleted, and
+   the articles (or else main, or else the body) of the content that stays are the text.
 
 Templates found are broadcast as an array of hashes up to ``BROADCAST_KEYS`` (8 MB);
 beyond that each page gets its own list by a join on the page.
@@ -53,8 +54,8 @@ def _keyed(of: str, h: int) -> int:
 
 
 def _contents(pages: DataFrame) -> DataFrame:
-    """(page_id, site, content, blocks, chars, keys) of each page with main content: hashes of the host and of all
-    of that content, of its distinct blocks with their lengths, and of its distinct subtrees."""
+    """(page_id, site, content, blocks, chars, keys) of each page with content: hashes of the host and of all of
+    that content, of its distinct blocks with their lengths, and of the distinct subtrees of the whole page."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def rows(batches):
@@ -62,17 +63,16 @@ def _contents(pages: DataFrame) -> DataFrame:
             page, site, content, blocks, chars, keys = [], [], [], [], [], []
             for p, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 read, of = html_blocks.read(html), host(url)
-                main = read.main()
-                if not main:
+                texts = [read.blocks[i][0] for i in read.content()]
+                if not texts:
                     continue
-                inside, texts = set(main), [read.blocks[i][0] for i in main]
                 own = {_keyed(of, xxhash.xxh64_intdigest(t)): len(t) for t in texts}
                 page.append(p)
                 site.append(_signed(xxhash.xxh64_intdigest(of)))
                 content.append(_keyed(of, xxhash.xxh64_intdigest("\x1f".join(texts))))
                 blocks.append([*own])
                 chars.append([*own.values()])
-                keys.append([*{_keyed(of, h) for h, a, _, tag in read.subtrees if tag not in WHOLE and a in inside}])
+                keys.append([*{_keyed(of, h) for h, _, _, tag in read.subtrees if tag not in WHOLE}])
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(page, batch.schema.field("page_id").type), *(pa.array(c, pa.int64()) for c in (site, content)), *(pa.array(c, longs) for c in (blocks, chars, keys))], ["page_id", "site", "content", "blocks", "chars", "keys"])
 

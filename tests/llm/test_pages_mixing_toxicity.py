@@ -49,6 +49,21 @@ def test_templates_of_a_host_go(spark, words, monkeypatch):
     assert op1.main_text(spark, pages.limit(0)).count() == 0
 
 
+def test_no_name_rule_removes_an_article(spark, words):
+    from quarry.llm import html_blocks
+
+    article = "<article class='post no-sidebar'><header><h1>T</h1></header><p>a<div class='share'>Share</div></article>"
+    for start, end in (("<div class='layout has-sidebar'>", "</div>"), ("<form>", "</form>"), ("<header>", "</header>"), ("<div role=banner><div id=comments-open>", "</div></div>")):
+        assert html_blocks.read(f"<body>{start}<div class=ad>Buy</div>{article}{end}<div class=ad>Buy</div></body>").kept() == ["T", "a"]
+        assert html_blocks.read(f"<body>{start}<p>x</p>{end}<main class=widget><p>b</main></body>").kept() == ["b"]
+    assert html_blocks.read(f"<div hidden>{article}</div><p>b").kept() == ["b"]
+    # An article that recurs on the whole host hides the pages' own content no more.
+    about = "<article><p>About us</p></article>"
+    rows = [(i, f"http://a.example/{i}", f"<body><nav><p>Menu</p></nav>{about}<div><p>{words(random.Random(i), 20)}</p></div></body>") for i in range(30)]
+    got = {r.page_id: r.text for r in op1.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: words(random.Random(i), 20) for i in range(30)}
+
+
 def test_templates_of_small_hosts_go_whatever_their_hashes(spark, words):
     rng = random.Random(3)
     block = lambda n: f"<p>{words(rng, n)}</p>"
