@@ -11,14 +11,15 @@ aligned words than words in common, each counted as often as it is in both. Each
 document is looked at by itself, in one pass and without a shuffle.
 
 Defined cases: a null text or one without words has no licence and coverage 0; repeated
-rows are scanned each; templates of equal coverage go by length and then by name, the
-longest first; other columns are ignored.
+rows are scanned each; every place of every template is a row of its own, except those
+whose words a fit of more words holds (then of higher coverage, of the longer template,
+of the first name); other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 
 import pyarrow as pa
@@ -113,9 +114,10 @@ class Scanner:
         self.templates = [(name, w, Counter(w)) for name, w in sorted(((n, words(t)) for n, t in templates.items()), key=lambda x: (-len(x[1]), x[0]))]
         self.known = frozenset().union(*(c for _, _, c in self.templates))
 
-    def windows(self, text: list[str], template: list[str], n: Counter) -> list[tuple[int, int]]:
+    def windows(self, text: list[str], template: list[str], n: Counter) -> tuple[list[tuple[int, int]], list[int]]:
         """Stretches of the text, of up to three template lengths, in which the template could lie
-        whole: an anchor there is unique even if the word occurs again far away."""
+        whole: an anchor there is unique even if the word occurs again far away. And the places of
+        the words that each fit must have one of, the rarest first."""
         rare = Counter(w for w in text if w in n)
         marks = sorted(n, key=lambda w: (rare[w], w))
         allowed = len(template) - int(-(-self.coverage * len(template) // 1))
@@ -132,36 +134,74 @@ class Scanner:
                 merged[-1][1] = high
             else:
                 merged.append([low, high])
-        return [tuple(x) for x in merged]
-
-    def best(self, text: str | None) -> tuple[str | None, float, int | None, int | None, int]:
-        """(name, coverage, first and last aligned word, number of words) of the best template that fits."""
-        found = words(text)
-        n = Counter(w for w in found if w in self.known)
-        best = (None, 0.0, None, None, len(found))
-        if not n:
-            return best
-        for name, template, own in self.templates:
-            if sum(min(k, n[w]) for w, k in own.items()) < self.coverage * len(template):
+        return [tuple(x) for x in merged], out
+
+    def places(self, text: list[str], template: list[str], n: Counter) -> list[list[int]]:
+        """The aligned places in the text of each fit of the template; fits don't overlap.
+
+        Where a mark is unique in its stretch the whole stretch is aligned; where it recurs, as with
+        copies side by side, first what the template's length leaves around it."""
+        stretches, marks = self.windows(text, template, n)
+        lows, size, tried, out = [x[0] for x in stretches], len(template), set(), []
+        offsets: dict = {}
+        for k, w in enumerate(template):
+            offsets.setdefault(w, []).append(k)
+        for i in marks:
+            k = bisect_right(out, [i])
+            before, after = out[k - 1][-1] + 1 if k else 0, out[k][0] if k < len(out) else len(text)
+            if before > i or k < len(out) and after == i:
                 continue
-            for low, high in self.windows(found, template, own):
-                part = found[low:high]
-                pairs = aligned(part, template)
-                share = len(pairs) / len(template)
-                if share >= self.coverage and share > best[1]:
-                    best = (name, share, low + pairs[0][0], low + pairs[-1][0], len(found))
-        return best
+            k = bisect_right(lows, i)
+            while k and stretches[k - 1][1] <= i:
+                k -= 1
+            wide = stretches[k - 1] if k else (i, i + 1)
+            tight = [(i - o - size // 4, i - o + size + size // 4) for o in offsets[text[i]]]
+            for low, high in [wide] if text[max(wide[0], before) : min(wide[1], after)].count(text[i]) == 1 else [*tight, wide]:
+                low, high = max(low, before), min(high, after)
+                if (low, high) in tried:
+                    continue
+                tried.add((low, high))
+                pairs = aligned(text[low:high], template)
+                if len(pairs) / size >= self.coverage:
+                    insort(out, [low + a for a, _ in pairs])
+                    break
+        return out
+
+    def found(self, text: str | None) -> tuple[int, list[tuple[str, float, int, int]]]:
+        """The number of words, and (name, coverage, first and last aligned word) of every place of every
+        template that fits, in order. A fit is left out if its words belong to a fit of more words."""
+        seen = words(text)
+        n, fits = Counter(w for w in seen if w in self.known), []
+        for name, template, own in self.templates if n else ():
+            if sum(min(k, n[w]) for w, k in own.items()) >= self.coverage * len(template):
+                fits += [(at, len(at) / len(template), name) for at in self.places(seen, template, own)]
+        fits.sort(key=lambda x: (-len(x[0]), -x[1]))
+        taken: dict[int, set] = {}
+        out = []
+        for k, (at, share, name) in enumerate(fits):
+            over = Counter(y for i in at for y in taken.get(i, ()))
+            if max(over.values(), default=0) < self.coverage * len(at):
+                out.append((name, share, at[0], at[-1]))
+                for i in at:
+                    taken.setdefault(i, set()).add(k)
+        return len(seen), sorted(out, key=lambda x: x[2:])
 
 
 def licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, n_words, license (null if none fits), coverage, first_word, last_word for every row."""
+    """doc_id, n_words, license, coverage, first_word, last_word of every licence found in each row; one
+    row with license null where none fits."""
     shared = spark.sparkContext.broadcast(Scanner(templates or TEMPLATES, coverage))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
         for batch in slices(batches):
-            rows = [shared.value.best(t) for t in batch.column("text").to_pylist()]
-            name, share, first, last, n = zip(*rows, strict=True) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(name, pa.string()), pa.array(share, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["doc_id", "n_words", "license", "coverage", "first_word", "last_word"])
+            at, rows = [], []
+            for k, t in enumerate(batch.column("text").to_pylist()):
+                n, found = shared.value.found(t)
+                for x in found or [(None, 0.0, None, None)]:
+                    at.append(k)
+                    rows.append((n, *x))
+            n, name, share, first, last = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(name, pa.string()), pa.array(share, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["doc_id", "n_words", "license", "coverage", "first_word", "last_word"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_words long, license string, coverage double, first_word long, last_word long")

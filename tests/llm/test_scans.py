@@ -81,6 +81,20 @@ def test_licenses(spark, hard, empty, words):
     assert op6_licenses.licenses(spark, empty).count() == 0
 
 
+def test_every_licence_of_a_text(spark, words):
+    rng, of = random.Random(8), op6_licenses.TEMPLATES
+    n = {k: len(op6_licenses.words(t)) for k, t in of.items()}
+    mit, apache, notice = "MIT", "Apache-2.0 header", "MIT notice"
+    rows = [(1, f"{of[mit]} {words(rng, 50)} {of[apache]}"), (2, " ".join([of[notice]] * 40)), (3, f"{of[mit]} {of[mit]} {words(rng, 500)} {of[mit]}"), (4, f"{of[apache]} {of[notice]} {of['BSD-3-Clause']}"), (5, words(rng, 30))]
+    got = {}
+    for r in op6_licenses.licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.coverage, r.first_word, r.last_word))
+    assert got[1] == [(mit, 1.0, 0, n[mit] - 1), (apache, 1.0, n[mit] + 50, n[mit] + 49 + n[apache])]
+    assert got[2] == [(notice, 1.0, 5 * k, 5 * k + 4) for k in range(40)]
+    assert [x[2] for x in got[3]] == [0, n[mit], 2 * n[mit] + 500] and {x[:2] for x in got[3]} == {(mit, 1.0)}
+    assert [x[0] for x in got[4]] == [apache, notice, "BSD-3-Clause"] and got[5] == [(None, 0.0, None, None)]
+
+
 def test_secrets_held_out(spark, hard, empty):
     model = op2_secrets.train(spark)
     fresh = op2_secrets.labelled_findings(spark, 8_000).where("doc_id >= 4000")
