@@ -136,7 +136,7 @@ def python_naming(spark, sf_dir):
 
 def python_unused_imports(spark, sf_dir):
     rows = _submissions(spark, sf_dir)
-    return python_checks.unused_imports(facts.kept_facts(rows), rows).select("submission_id", "name", "line").where(F.col("name").isin("system", "dumps", "yaml"))
+    return python_checks.unused_imports(facts.kept_facts(rows), rows).select("submission_id", "name", "line")
 
 
 def python_unused_variables(spark, sf_dir):

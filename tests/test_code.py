@@ -128,3 +128,11 @@ def test_quality_scores(spark):
     assert got == {"0": (98, 100, 95, 2.0), "1": (90, 90, 90, None), "2": (95, 100, 90, None), "3": (95, 100, 90, None)}
     assert all(r.source == "static_analysis" for r in found.collect())
     assert {r.submission_id: r.maintainability_index is None for r in scores.collect()} == {"0": False, "1": True, "2": False, "3": False}
+
+
+def test_registered_query_shows_every_unused_import(spark, monkeypatch):
+    from quarry.plans import catalogue
+
+    raw = spark.createDataFrame([("1", "a.py", "Python", "import json\nfrom os import path, sep\nprint(sep)\n")], "submission_id string, filename string, language string, code string")
+    monkeypatch.setattr(catalogue, "submissions_raw", lambda spark, sf_dir: raw)
+    assert sorted((r.name, r.line) for r in catalogue.python_unused_imports(spark, "").collect()) == [("json", 1), ("path", 2)]
