@@ -1,7 +1,8 @@
 """Secret scan with false-positive removal by a random forest, in DataFrame operations only.
 
-Candidates are runs of 20 or more characters of keys and hashes, with the words
-around them. Their features are their length and character classes, the transitions
+Candidates are runs of 20 or more characters of keys and hashes, and values of 8 or
+more that are assigned to a name with a word of secrets in it, with the words around
+them. Their features are their length and character classes, the transitions
 between characters, the share of them that dictionary words cover, whether they read
 as paths or identifiers, and the neighbouring words. A random forest over these
 features, trained from labelled findings, tells secrets from false positives; it runs
@@ -25,17 +26,25 @@ from pyspark.sql import functions as F
 
 FINDINGS, TREES, DEPTH, SEED = 4_000, 30, 7, 7
 
-_RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}={0,2}"
 #: Up to two words and marks before a run, and the word after it; the text around a run that these can reach.
 _BEFORE = r"(?:[\p{L}\p{N}_.\-]{1,60}[\s]{1,3})?(?:[\p{L}\p{N}_.\-]{1,60}[\"'\]]{0,2}\s{0,3}(?:=>|:=|==|=|:)?\s{0,3}[\"'`]{0,3})?\z"
 _AFTER = r"^[\"'`;,.)]{0,3}\s{1,3}([\p{L}\p{N}_]{1,40})"
-_REACH, _SHORTEST = 140, 20
+_REACH, _SHORTEST = 140, 8
 
 # Words that stand near secrets and near harmless runs, and frequent parts of names.
 SECRET_WORDS = "token secret key apikey api_key password passwd pwd pass auth authorization bearer credential credentials private access signing client".split()
 HARMLESS_WORDS = "commit sha sha1 sha256 sha512 md5 checksum hash digest etag uuid guid revision rev version integrity blob tree parent example sample dummy placeholder fingerprint build id".split()
 DICTIONARY = "about access account action address admin agent alpha and api app application array async auth back base batch beta block body buffer build button cache call case channel check class client cloud code color column command common component config connect container content context control controller copy core count create current custom data database date debug default delete demo design detail device dialog dir display document domain download driver edit element email enable end engine entity entry error event example exception export factory false feature field file filter final first flag folder font for form format frame from function generate get global group handler hash head header health helper here hidden home host html http icon image import index info init input install instance int interface internal invoice item java job json key label language last layout length level library line link list listener load local location log logger login main manager map mark master media member memory menu message method mobile mode model module monitor name network new next node not null number object offset open option order output package page panel parent parse part password path payload payment person phone plugin point policy port post prefix preview private process product profile project property provider proxy public query queue random range read record reference region register remote remove render replace report request reset resource response rest result return role root route rule run save scale schema search section secure select send sequence server service session set setting shared show simple single site size source spec stage start state static status step storage store stream string style sub submit summary support switch sync system table target task template test text that the theme this thread time title token tool total trace transaction transfer tree trigger type update upload url user util utils valid value vector version video view wait web widget width window with worker world write xml your".split()
 
+_LONG = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}={0,2}"
+#: A name with a word of secrets and its assignment; what is assigned, in quotes or up to a space or mark.
+_KEY = r"(?i:" + "|".join(w for w in SECRET_WORDS if w not in ("apikey", "api_key", "authorization", "credentials")) + r")[A-Za-z0-9_\-]{0,20}[\"'`\]]{0,2}\s{0,3}(?:=>|:=|==|=|:)\s{0,3}"
+_QUOTED, _BARE = r"[^\s\"'`][^\r\n\"'`]{7,}+(?=[\"'`])", r"[^\s\"'`,;&<>(){}\[\]=:][^\s\"'`,;&<>(){}\[\]]{7,}+"
+_ASSIGNED = _KEY + r"(?:[\"'`]" + _QUOTED + "|" + _BARE + ")"
+#: Short lookbehinds come first, since they are cheap. A value with a long run in it is left to that.
+_VALUE = r"(?<=[=:>\s\"'`])(?<=[=:>]\s{0,3}[\"'`]?)(?:(?<=[\"'`])(?<=" + _KEY + r"[\"'`])(?![^\r\n\"'`]*?" + _LONG + ")" + _QUOTED + "|(?<=" + _KEY + r")(?![^\s\"'`,;&<>(){}\[\]]*?" + _LONG + ")" + _BARE + ")"
+_RUN = "(?:" + _LONG + "|" + _VALUE + ")"
+
 FEATURES = ["length", "digits", "uppers", "lowers", "marks", "distinct", "entropy", "switches", "vowels", "alternations", "longest_lower", "hex", "uuid", "dictionary", "path", "assigned", "quoted", "secret_word", "harmless_word", "words"]
 
 
@@ -69,7 +78,7 @@ def with_features(found: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, ordinal, before, run, after of every candidate."""
-    hit = docs.select("doc_id", "text").where(F.col("text").rlike(_RUN))
+    hit = docs.select("doc_id", "text").where(F.col("text").rlike(_LONG) | F.col("text").rlike(_ASSIGNED))
     cut = hit.select("doc_id", F.regexp_extract_all("text", F.lit(_RUN), F.lit(0)).alias("runs"), F.split("text", _RUN, -1).alias("gaps"))
     # Each run with the gap before it; the last gap has no run. A run is context of its neighbours, too.
     whole = F.zip_with("gaps", "runs", lambda gap, run: F.concat(gap, F.coalesce(run, F.lit(""))))
@@ -104,6 +113,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     secret = F.concat_ws("", filler, F.lit(" "), pick(SECRET_WORDS, 62), mark, one(secrets, 63), F.lit('" '), filler)
     plain = F.concat_ws("", filler, F.lit(" "), F.when(k % 5 == 0, F.concat(pick(HARMLESS_WORDS, 64), mark)).when(k % 5 == 1, F.concat(pick(SECRET_WORDS, 65), mark)).otherwise(F.concat(filler, F.lit(" "))), one(harmless, 66), F.lit(" "), filler)
     hashes = F.concat_ws("", filler, F.lit(" "), pick(HARMLESS_WORDS, 67), one([F.lit(" "), F.lit(": "), F.lit(' = "')], 68), digest, F.lit(" "), filler)
+    word = lambda i: pick([w for w in DICTIONARY if len(w) > 3], i)
+    digits = lambda start: F.substring(F.conv(F.substring(h, start, 12), 16, 10), 1, 3)
+    short = [F.concat(word(70), digits(1)), F.concat(word(70), digits(1), word(71)), F.concat(F.initcap(word(70)), pick(["@", "!", "#", "$", ".", "%"], 72), word(71), digits(9)), sized(F.regexp_replace(b64, "[+/]", "x"), 10, 20), F.concat(F.substring(b64, 1, 7), pick(["@", "!", "#", "$", "%", "^"], 73), F.substring(b64, 9, 8)), sized(h, 10, 20)]
+    common = [F.concat(word(74), word(75)), F.concat_ws(".", word(74), word(75)), F.concat_ws("_", F.lit("your"), word(74)), F.concat_ws("-", word(74), word(75)), F.concat(syllable.substr(1, 8), F.lit("ing")), F.concat_ws(" ", word(74), word(75), word(76)), F.concat_ws("/", F.lit(""), word(74), word(75)), F.concat(F.lit("${"), F.upper(word(74)), F.lit("_"), F.upper(word(75)), F.lit("}")), F.concat(F.lit("********"), F.repeat(F.lit("*"), F.length(word(74))))]
+    assigned = lambda value: F.concat(filler, F.lit(" "), pick(SECRET_WORDS, 62), one([F.lit(' = "'), F.lit(': "'), F.lit(' := "')], 61), value, F.lit('" '), filler)
+    secret, plain = F.when(k % 8 == 3, assigned(one(short, 77))).otherwise(secret), F.when(k % 8 == 2, assigned(one(common, 78))).otherwise(plain)
     rows = spark.range(0, n, 1, 4)
     label = (k % 2).cast("double")
     return rows.select(k.alias("doc_id"), F.when(k % 2 == 1, secret).when(k % 6 == 0, hashes).otherwise(plain).alias("text"), label.alias("label"))
