@@ -54,19 +54,26 @@ def all_matches(p: str, c: Column, group: int = 0) -> Column:
 
 
 def matches(p: str, c: Column) -> Column:
-    """array<struct<line, text, before>> of all matches of ``p``, which must not match the
-    empty string: the line a match starts in, itself, and the text before it."""
+    """array<struct<line, text, end>> of all matches of ``p``, which must not match the
+    empty string: the line a match starts in, itself, and how many characters end with it."""
 
     def places(s: Column) -> Column:
-        start = F.struct(F.array().cast("array<struct<line:int,text:string,before:string>>").alias("out"), F.lit("").alias("before"))
+        none = F.array().cast("array<struct<line:int,text:string,end:int>>")
+        start = F.struct(none.alias("out"), F.lit(1).alias("line"), F.lit(0).alias("at"))
 
         def step(done: Column, pair: Column) -> Column:
-            before = F.concat(done.before, pair.part)
-            found = F.struct((newlines(before) + 1).cast("int").alias("line"), pair.match.alias("text"), before.alias("before"))
-            return F.struct(F.concat(done.out, F.array(found)).alias("out"), F.concat(before, pair.match).alias("before"))
-
-        pairs = F.zip_with(F.slice(s.parts, F.lit(1), F.size(s.found)), s.found, lambda a, b: F.struct(a.alias("part"), b.alias("match")))
-        return F.aggregate(pairs, start, step, lambda done: done.out)
+            line = done["line"] + newlines(pair["part"])
+            end = done["at"] + F.length(pair["part"]) + F.length(pair["match"])
+            found = F.struct(line.alias("line"), pair["match"].alias("text"), end.alias("end"))
+            return F.struct(
+                F.concat(done["out"], F.array(found)).alias("out"),
+                (line + newlines(pair["match"])).alias("line"),
+                end.alias("at"),
+            )
+
+        parts = F.slice(s["parts"], F.lit(1), F.size(s["found"]))
+        pairs = F.zip_with(parts, s["found"], lambda a, b: F.struct(a.alias("part"), b.alias("match")))
+        return F.aggregate(pairs, start, step, lambda done: done["out"])
 
     return let(F.struct(all_matches(p, c).alias("found"), F.split(c, pattern(p), -1).alias("parts")), places)
 

@@ -2,20 +2,25 @@
 
 A window's names become numbered places in the order they appear in it and its numbers
 one mark. The first window of each such form leads it; every later one is a finding,
-exact where its lines equal the leader's. Windows are hashed before they are shuffled.
+exact where its lines equal the leader's. A document is looked at by itself, as an
+expression of its row: nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import keyword
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.functions import text
+from quarry.operators import checks
+from quarry.operators.checks import Check
 
 _TOKEN = r"\w+|[^\w\s]"
+#: What ``blocks`` gives for a text.
+BLOCKS = "array<struct<i:int,leader:int,exact:boolean,line:int>>"
 
 
 def _form(block: Column, names: Column) -> Column:
@@ -36,47 +41,89 @@ def _shape(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, text.pattern(r"\w+"), "w"), text.pattern(r"\s+"), "")
 
 
-def windows(documents: DataFrame, key: str, code: str, keywords: Column) -> DataFrame:
-    """(key, i, raw, form): the windows that are long enough and share their shape with another
-    one of their document, with hashes of both forms. Row by row, without a shuffle."""
-    lines = F.slice(F.transform(text.lines(F.col(code)), text.strip), 1, config.CLONE_SCANNED_LINES)
-    rows = documents.select(key, lines.alias("lines"), keywords.alias("keywords")).where(F.size("lines") >= config.CLONE_LINES)
-    last = F.size("lines") - config.CLONE_LINES
-    hashed = lambda shapes: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(shapes, i + k) for k in range(config.CLONE_LINES)]))
-    rows = rows.withColumn("hashes", text.let(F.transform("lines", _shape), hashed))
-    again = lambda order: F.filter(F.zip_with(order, F.slice(order, F.lit(2), F.size(order)), lambda a, b: F.when(a == b, a)), lambda h: h.isNotNull())
-    twice = F.array_distinct(text.let(F.array_sort("hashes"), again))
-    rows = rows.withColumn("twice", twice).where(F.size("twice") > 0)
-    rows = rows.select(key, "lines", "keywords", "twice", F.posexplode("hashes").alias("i", "hash")).where(F.array_contains("twice", F.col("hash")))
-    rows = rows.select(key, "i", "keywords", F.slice("lines", F.col("i") + 1, F.lit(config.CLONE_LINES)).alias("block"))
-    rows = rows.where(F.length(F.array_join("block", "")) >= config.CLONE_LEAST_CHARS)
-    return rows.select(key, "i", F.sha2(F.array_join("block", "\n"), 256).alias("raw"), F.sha2(_form(F.col("block"), F.col("keywords")), 256).alias("form"))
+def _candidates(shapes: Column) -> Column:
+    """array of the places of the windows that share their shape with another window."""
+
+    def again(hashes: Column) -> Column:
+        def twice(order: Column) -> Column:
+            later = F.slice(order, F.lit(2), F.size(order))
+            equal = F.zip_with(order, later, lambda a, b: F.when(a == b, a))
+            return F.array_distinct(F.filter(equal, lambda h: h.isNotNull()))
+
+        def places(of: Column) -> Column:
+            marked = F.transform(hashes, lambda h, i: F.when(F.array_contains(of, h), i))
+            return F.filter(marked, lambda i: i.isNotNull())
+
+        return text.let(text.let(F.array_sort(hashes), twice), places)
+
+    last = F.size(shapes) - config.CLONE_LINES
+    window = lambda i: F.xxhash64(*[F.get(shapes, i + k) for k in range(config.CLONE_LINES)])
+    return text.let(F.transform(F.sequence(F.lit(0), last), window), again)
+
+
+def blocks(code: Column, names: Column) -> Column:
+    """array<struct<i, leader, exact, line>> of the first duplicate blocks of a text, by their lines.
+
+    Only windows whose shape recurs are looked at closely, by hashes of their lines and of
+    their form, so that a long text holds two short texts for each of them."""
+    def of_lines(lines: Column) -> Column:
+        def window(i: Column) -> Column:
+            def hashed(block: Column) -> Column:
+                joined = F.array_join(block, "\n")
+                raw, form = F.sha2(joined, 256), F.sha2(_form(block, names), 256)
+                long = F.length(F.array_join(block, "")) >= config.CLONE_LEAST_CHARS
+                return F.when(long, F.struct(i.alias("i"), raw.alias("raw"), form.alias("form")))
+
+            return text.let(F.slice(lines, i + 1, F.lit(config.CLONE_LINES)), hashed)
+
+        def against_first(windows: Column) -> Column:
+            def led(forms: Column) -> Column:
+                def found(w: Column) -> Column:
+                    first = F.get(windows, (F.array_position(forms, w["form"]) - 1).cast("int"))
+                    exact = w["raw"] == first["raw"]
+                    return F.struct(w["i"].alias("i"), first["i"].alias("leader"), exact.alias("exact"), (w["i"] + 1).alias("line"))
+
+                return F.filter(F.transform(windows, found), lambda x: x["i"] != x["leader"])
+
+            return text.let(F.transform(windows, lambda w: w["form"]), led)
+
+        places = text.let(F.transform(lines, _shape), _candidates)
+        some = F.filter(F.transform(places, window), lambda w: w.isNotNull())
+        found = F.slice(text.let(some, against_first), 1, config.CLONE_FINDINGS)
+        return F.when(F.size(lines) >= config.CLONE_LINES, found.cast(BLOCKS)).otherwise(F.array().cast(BLOCKS))
+
+    return text.let(F.slice(F.transform(text.lines(code), text.strip), 1, config.CLONE_SCANNED_LINES), of_lines)
 
 
 def duplicate_blocks(documents: DataFrame, key: str = "submission_id", code: str = "code", keywords: Column | None = None) -> DataFrame:
     """(key, i, leader, exact, line_number): the first findings of each document in line order."""
     names = F.array().cast("array<string>") if keywords is None else keywords
-    by = Window.partitionBy(key, "form").orderBy("i")
-    found = windows(documents, key, code, names).withColumns({"leader": F.first("i").over(by), "leader_raw": F.first("raw").over(by)}).where("i <> leader")
-    found = found.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("i"))).where(F.col("place") <= config.CLONE_FINDINGS)
-    return found.select(key, "i", "leader", (F.col("raw") == F.col("leader_raw")).alias("exact"), (F.col("i") + 1).alias("line_number"))
+    rows = documents.select(key, F.explode(blocks(F.col(code), names)).alias("x"))
+    return rows.select(key, "x.i", "x.leader", "x.exact", F.col("x.line").alias("line_number"))
+
+
+def keywords_of(language: Column) -> Column:
+    """The words of a language that are no names: Python's own."""
+    python = F.array(*[F.lit(k) for k in keyword.kwlist])
+    return F.when(language == "Python", python).otherwise(F.array().cast("array<string>"))
+
+
+def _span(i: Column) -> Column:
+    return F.concat((i + 1).cast("string"), F.lit("-"), (i + config.CLONE_LINES).cast("string"))
+
+
+def _spans(x: Column) -> dict[str, Column]:
+    return {"here": _span(x["i"]), "there": _span(x["leader"])}
 
 
-def python_keywords() -> Column:
-    return F.array(*[F.lit(k) for k in keyword.kwlist])
+#: The findings that ``blocks`` stand for.
+CHECKS = (
+    Check("equal_block", lambda x: x["exact"], _spans),
+    Check("alike_block", lambda x: ~x["exact"], _spans),
+)
 
 
 def clone_findings(submissions: DataFrame) -> DataFrame:
     """The duplicate blocks of submissions as code findings."""
-    words = F.when(F.col("language") == "Python", python_keywords()).otherwise(F.array().cast("array<string>"))
-    rows = duplicate_blocks(submissions, keywords=words)
-    span = lambda c: F.concat((c + 1).cast("string"), F.lit("-"), (c + config.CLONE_LINES).cast("string"))
-    here, there, exact = span(F.col("i")), span(F.col("leader")), F.col("exact")
-    return rows.select(
-        "submission_id", F.col("i").cast("long").alias("seq"),
-        F.when(exact, F.lit("Duplicate code block")).otherwise(F.lit("Structurally duplicate code block")).alias("title"),
-        F.when(exact, F.concat(F.lit("Lines "), here, F.lit(" are an exact duplicate of lines "), there, F.lit("."))).otherwise(F.concat(F.lit("Lines "), here, F.lit(" are structurally identical to lines "), there, F.lit(", possibly with renamed variables."))).alias("description"),
-        F.when(exact, F.lit("Medium")).otherwise(F.lit("Low")).alias("severity"), F.lit("Duplicate Code").alias("category"), "line_number",
-        F.when(exact, F.lit("Extract the repeated block into a shared function/method.")).otherwise(F.lit("Check whether this is intentional duplication; consider extracting a shared, parameterized function.")).alias("recommendation"),
-        F.when(exact, F.lit(0.9)).otherwise(F.lit(0.72)).alias("confidence_score"),
-    )
+    found = checks.found(blocks(F.col("code"), keywords_of(F.col("language"))), CHECKS)
+    return submissions.select("submission_id", F.posexplode(found).alias("seq", "x")).select("submission_id", F.col("seq").cast("long"), "x.*")

@@ -1,8 +1,9 @@
 """Code checks of Java sources by patterns and braces, as column expressions.
 
-Methods, classes and interfaces become rows; their bodies run from their brace to the
-one that closes it. Strings and comments count as code, and a method that follows blank
-lines is reported at the first of them: its pattern begins with white space.
+Methods, classes and interfaces are arrays beside the source; their bodies run from
+their brace to the one that closes it. Strings and comments count as code, and a method
+that follows blank lines is reported at the first of them: its pattern begins with
+white space. Nothing is joined or shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.functions import text
-from quarry.operators.python_checks import PASCAL, finding, found_in, say
+from quarry.operators import checks
+from quarry.operators.checks import Check
+from quarry.operators.python_checks import PASCAL, _named, concrete_values
 
 # What counts as a method, class, interface, field, import, branch and token.
 METHOD = r"(?:public|private|protected|static|\s)+[\w<>\[\],\s]+?\s+(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w,\s]+)?\s*\{"
@@ -26,17 +29,22 @@ DECISION = r"\b(?:if|for|while|case|catch)\b|&&|\|\|"
 NESTING = r"\b(?:if|for|while|catch)\b"
 TOKEN = r"\+\+|--|==|!=|<=|>=|&&|\|\||[+\-*/%=<>!]|\w+"
 CAMEL = r"^[a-z][a-zA-Z0-9]*$"
-_PHASE = 1_000_000_000
 
 
 def java(submissions: DataFrame) -> DataFrame:
     return submissions.where(F.coalesce(F.col("language") != "Python", F.lit(True)))
 
 
-def _found(submissions: DataFrame, p: str) -> DataFrame:
-    """(submission_id, code, k, line, match, name, end): the matches of a pattern with one group."""
-    rows = java(submissions).where(F.col("code").rlike(text.pattern(p))).select("submission_id", "code", F.posexplode(text.matches(p, F.col("code"))).alias("k", "m"))
-    return rows.select("submission_id", "code", "k", "m.line", F.col("m.text").alias("match"), F.regexp_extract("m.text", text.pattern(p), 1).alias("name"), (F.length("m.before") + F.length("m.text")).alias("end"))
+def _found(p: str, code: Column) -> Column:
+    """array<struct<line, name, text, end>>: the matches of a pattern with one group."""
+    none = F.array().cast("array<struct<line:int,name:string,text:string,end:int>>")
+
+    def with_name(m: Column) -> Column:
+        name = F.regexp_extract(m["text"], text.pattern(p), 1)
+        return F.struct(m["line"].alias("line"), name.alias("name"), m["text"].alias("text"), m["end"].alias("end"))
+
+    some = F.transform(text.matches(p, code), with_name)
+    return F.when(code.rlike(text.pattern(p)), some).otherwise(none)
 
 
 def _cognitive(body: Column) -> Column:
@@ -46,83 +54,171 @@ def _cognitive(body: Column) -> Column:
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("cost"))
 
     def step(s: Column, part: Column) -> Column:
-        depth = s.depth + open_braces(part)
-        return F.struct(depth.alias("depth"), (s.cost + 1 + F.greatest(depth - 1, F.lit(0))).alias("cost"))
+        depth = s["depth"] + open_braces(part)
+        return F.struct(depth.alias("depth"), (s["cost"] + 1 + F.greatest(depth - 1, F.lit(0))).alias("cost"))
 
-    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step).cost
+    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step)["cost"]
 
 
-def methods(submissions: DataFrame) -> DataFrame:
-    """One row for each method: k, name, line, span, cyclomatic, cognitive, parameters."""
-    rows = _found(submissions, METHOD).where(~F.col("name").isin(*config.JAVA_CONTROL))
-    rows = rows.withColumn("body", text.brace_block(F.substr("code", F.col("end"))))
-    inside = F.regexp_extract("match", r"(?s)\A[^(]*\((.*)\)[^)]*\z", 1)
-    parameters = F.size(F.filter(F.split(inside, ",", -1), text.not_blank))
-    return rows.select("submission_id", "k", "name", "line", (text.newlines(F.col("body")) + 1).alias("span"), (text.count(DECISION, F.col("body")) + 1).alias("cyclomatic"), _cognitive(F.col("body")).alias("cognitive"), parameters.alias("parameters"))
+def _parameters(match: Column) -> Column:
+    inside = F.regexp_extract(match, r"(?s)\A[^(]*\((.*)\)[^)]*\z", 1)
+    return F.size(F.filter(F.split(inside, ",", -1), text.not_blank))
+
+
+def method_array(code: Column) -> Column:
+    """array<struct<line, name, span, cyclomatic, cognitive, parameters>> of a source's methods."""
+
+    def measured(m: Column) -> Column:
+        def of_body(body: Column) -> Column:
+            return F.struct(
+                m["line"].alias("line"),
+                m["name"].alias("name"),
+                (text.newlines(body) + 1).alias("span"),
+                (text.count(DECISION, body) + 1).alias("cyclomatic"),
+                _cognitive(body).alias("cognitive"),
+                _parameters(m["text"]).alias("parameters"),
+            )
+
+        return text.let(text.brace_block(F.substr(code, m["end"])), of_body)
+
+    named = F.filter(_found(METHOD, code), lambda m: ~m["name"].isin(*config.JAVA_CONTROL))
+    return F.transform(named, measured)
+
+
+def _body(code: Column, m: Column) -> Column:
+    """The body that begins at the first brace after a match; null without one."""
+    at = F.position(F.lit("{"), code, m["end"] + 1)
+    return F.when(at > 0, text.brace_block(F.substr(code, at)))
+
+
+def class_array(code: Column) -> Column:
+    """array<struct<line, name, span, methods, fields, concrete>>; the last four null without a body."""
+    utilities = F.array(*[F.lit(x) for x in config.JAVA_UTILITIES])
 
+    def measured(m: Column) -> Column:
+        def of_body(body: Column) -> Column:
+            created = F.array_distinct(text.all_matches(CREATED, body, 1))
+            return F.struct(
+                m["line"].alias("line"),
+                m["name"].alias("name"),
+                (text.newlines(body) + 1).alias("span"),
+                text.count(METHOD, body).alias("methods"),
+                text.count(FIELD, body).alias("fields"),
+                F.array_sort(F.array_except(created, utilities)).alias("concrete"),
+            )
 
-def _with_body(rows: DataFrame) -> DataFrame:
-    """Adds the body that begins at the first brace after a match; null without one."""
-    rest = F.substr("code", F.col("end") + 1)
-    at = F.locate("{", rest)
-    return rows.withColumn("body", F.when(at > 0, text.brace_block(F.substr(rest, at)))).drop("code")
+        return text.let(_body(code, m), of_body)
+
+    return F.transform(_found(CLASS, code), measured)
+
+
+def interface_array(code: Column) -> Column:
+    """array<struct<line, name, methods>> of the interfaces with a body."""
+
+    def measured(m: Column) -> Column:
+        methods = text.count(INTERFACE_METHOD, _body(code, m))
+        return F.struct(m["line"].alias("line"), m["name"].alias("name"), methods.alias("methods"))
+
+    return F.filter(F.transform(_found(INTERFACE, code), measured), lambda x: x["methods"].isNotNull())
+
+
+def unused_import_array(code: Column) -> Column:
+    """array<struct<line, name>> of imports whose last part occurs once in the text."""
+
+    def left(s: Column) -> Column:
+        def unused(m: Column) -> Column:
+            last = F.substring_index(m["name"], ".", -1)
+            return (last != "") & (F.size(F.filter(s["words"], lambda w: w == last)) <= 1)
+
+        return F.transform(F.filter(s["found"], unused), lambda m: F.struct(m["line"].alias("line"), m["name"].alias("name")))
+
+    found = _found(IMPORT, code)
+    words = F.when(code.rlike(text.pattern(IMPORT)), text.all_matches(r"\w+", code))
+    return text.let(F.struct(found.alias("found"), words.alias("words")), left)
+
+
+def volume(code: Column) -> Column:
+    """Halstead's volume of a source's tokens; 1 without any."""
+    operators = F.array(*[F.lit(x) for x in config.JAVA_OPERATORS])
+    counted = lambda t: F.array_contains(operators, t) | t.rlike(r"(?U)^[A-Za-z_]\w*$|^\d+$")
+    tokens = F.filter(text.all_matches(TOKEN, code), counted)
+
+    def of_tokens(t: Column) -> Column:
+        vocabulary = F.size(F.array_distinct(t))
+        return F.when(vocabulary == 0, F.lit(1.0)).otherwise(F.size(t) * F.log2(vocabulary.cast("double")))
+
+    return text.let(tokens, of_tokens)
+
+
+def facts(code: Column) -> Column:
+    """struct<classes, interfaces, methods, unused_imports, volume> of a source."""
+    return F.struct(
+        class_array(code).alias("classes"),
+        interface_array(code).alias("interfaces"),
+        method_array(code).alias("methods"),
+        unused_import_array(code).alias("unused_imports"),
+        volume(code).alias("volume"),
+    )
+
+
+CLASSES = (
+    Check("java_class_name", lambda x: ~x["name"].rlike(PASCAL), _named("name")),
+    Check(
+        "java_god_class",
+        lambda x: (x["methods"] > config.GOD_CLASS_METHODS) | (x["span"] > config.GOD_CLASS_LINES),
+        _named("name", "methods", "fields", "span"),
+    ),
+    Check("java_concrete_classes", lambda x: F.size(x["concrete"]) > config.CONCRETE_CLASSES, concrete_values),
+)
+INTERFACES = (
+    Check("java_fat_interface", lambda x: x["methods"] > config.FAT_INTERFACE_METHODS, _named("name", "methods")),
+)
+METHODS = (
+    Check("java_long_method", lambda x: x["span"] > config.LONG_METHOD_LINES, _named("name", "span")),
+    Check("java_cyclomatic", lambda x: x["cyclomatic"] > config.HIGH_CYCLOMATIC, _named("name", "cyclomatic")),
+    Check("java_cognitive", lambda x: x["cognitive"] > config.HIGH_COGNITIVE, _named("name", "cognitive")),
+    Check("java_parameters", lambda x: x["parameters"] > config.LONG_PARAMETERS, _named("name", "parameters")),
+    Check("java_method_name", lambda x: ~x["name"].rlike(CAMEL), _named("name")),
+)
+IMPORTS = (Check("java_unused_import", lambda x: F.lit(True), _named("name")),)
+_PARTS = ("classes", CLASSES), ("interfaces", INTERFACES), ("methods", METHODS), ("unused_imports", IMPORTS)
+
+
+def findings(found: Column) -> Column:
+    """array of all findings but for duplicate blocks, from ``facts``; null without facts."""
+    return F.when(found.isNotNull(), F.concat(*[checks.found(found[name], of) for name, of in _PARTS]))
+
+
+def cost(found: Column) -> Column:
+    """The points that these findings cost, without their texts."""
+    costs = [checks.cost(found[name], of) for name, of in _PARTS]
+    return F.when(found.isNotNull(), sum(costs[1:], costs[0]))
+
+
+def _elements(submissions: DataFrame, array: Column) -> DataFrame:
+    return java(submissions).select("submission_id", F.explode(array).alias("x")).select("submission_id", "x.*")
+
+
+def methods(submissions: DataFrame) -> DataFrame:
+    """One row for each method: line, name, span, cyclomatic, cognitive, parameters."""
+    return _elements(submissions, method_array(F.col("code")))
 
 
 def classes(submissions: DataFrame) -> DataFrame:
-    """One row for each class: k, name, line, span, methods, fields, concrete (sorted names)."""
-    rows = _with_body(_found(submissions, CLASS))
-    concrete = F.array_sort(F.array_except(F.array_distinct(text.all_matches(CREATED, F.col("body"), 1)), F.array(*[F.lit(x) for x in config.JAVA_UTILITIES])))
-    return rows.select("submission_id", "k", "name", "line", (text.newlines(F.col("body")) + 1).alias("span"), text.count(METHOD, F.col("body")).alias("methods"), text.count(FIELD, F.col("body")).alias("fields"), concrete.alias("concrete"))
+    """One row for each class: line, name, span, methods, fields, concrete (sorted names)."""
+    return _elements(submissions, class_array(F.col("code")))
 
 
 def interfaces(submissions: DataFrame) -> DataFrame:
-    """One row for each interface with a body: k, name, line, methods."""
-    rows = _with_body(_found(submissions, INTERFACE)).where(F.col("body").isNotNull())
-    return rows.select("submission_id", "k", "name", "line", text.count(INTERFACE_METHOD, F.col("body")).alias("methods"))
+    """One row for each interface with a body: line, name, methods."""
+    return _elements(submissions, interface_array(F.col("code")))
 
 
 def unused_imports(submissions: DataFrame) -> DataFrame:
-    """(submission_id, k, name, line) of imports whose last part occurs once in the text."""
-    rows = _found(submissions, IMPORT)
-    word = F.concat(F.lit(r"(?dU)\b\Q"), F.substring_index("name", ".", -1), F.lit(r"\E\b"))
-    return rows.where(F.regexp_count("code", word) <= 1).select("submission_id", "k", "name", "line")
+    """(submission_id, line, name) of imports whose last part occurs once in the text."""
+    return _elements(submissions, unused_import_array(F.col("code")))
 
 
 def halstead(submissions: DataFrame) -> DataFrame:
-    """(submission_id, volume) of the tokens; 1 without any. Row by row, without a shuffle."""
-    code = F.col("code")
-    operators = F.array(*[F.lit(x) for x in config.JAVA_OPERATORS])
-    counted = lambda t: F.array_contains(operators, t) | t.rlike(r"(?U)^[A-Za-z_]\w*$|^\d+$")
-    tokens = F.filter(text.all_matches(TOKEN, code), counted)
-    vocabulary = F.size(F.array_distinct(tokens))
-    volume = F.when(vocabulary == 0, F.lit(1.0)).otherwise(F.size(tokens) * F.log2(vocabulary.cast("double")))
-    return java(submissions).select("submission_id", volume.alias("volume"))
-
-
-def findings(submissions: DataFrame) -> DataFrame:
-    """All findings of the Java submissions but for duplicate blocks."""
-    c, always, found = F.col, F.lit(True), []
-    k, i, m = classes(submissions), interfaces(submissions), methods(submissions)
-    base = c("k") * 10
-    found.append(found_in(k,
-        finding(~c("name").rlike(PASCAL), base, say("Naming convention: {n}", n=c("name")), say("Class '{n}' doesn't follow PascalCase, the standard Java convention.", n=c("name")), "Low", "Naming Convention", c("line"), F.lit("Rename the class using PascalCase."), 0.9),
-        finding((c("methods") > config.GOD_CLASS_METHODS) | (c("span") > config.GOD_CLASS_LINES), base + 1, say("Possible God Object: {n}", n=c("name")), say("Class '{n}' has approximately {m} methods, {f} fields, and spans {s} lines — it may be taking on too many responsibilities.", n=c("name"), m=c("methods"), f=c("fields"), s=c("span")), "Medium", "SOLID: Single Responsibility Principle", c("line"), F.lit("Split this class into smaller classes, each with a single, clearly-named responsibility."), 0.65),
-        finding(F.size("concrete") > config.CONCRETE_CLASSES, base + 2, say("Possible Dependency Inversion violation: {n}", n=c("name")), say("Class '{n}' directly instantiates {k} concrete classes with 'new' ({x}).", n=c("name"), k=F.size("concrete"), x=F.left(F.array_join("concrete", ", "), F.lit(80))), "Low", "SOLID: Dependency Inversion Principle", c("line"), F.lit("Depend on interfaces injected via the constructor instead of instantiating concrete classes directly."), 0.45),
-    ))
-    found.append(found_in(i,
-        finding(c("methods") > config.FAT_INTERFACE_METHODS, F.lit(_PHASE) + base, say("Possible fat interface: {n}", n=c("name")), say("Interface '{n}' declares approximately {m} methods — implementers may be forced to depend on methods they don't use.", n=c("name"), m=c("methods")), "Low", "SOLID: Interface Segregation Principle", c("line"), F.lit("Split this interface into smaller, more focused interfaces."), 0.6),
-    ))
-    found.append(found_in(m,
-        finding(c("span") > config.LONG_METHOD_LINES, F.lit(2 * _PHASE) + base, say("Long method: {n}", n=c("name")), say("'{n}' spans approximately {s} lines, above " + str(config.LONG_METHOD_LINES) + ".", n=c("name"), s=c("span")), "Medium", "Long Method", c("line"), F.lit("Break this into smaller, single-purpose helper methods."), 0.85),
-        finding(c("cyclomatic") > config.HIGH_CYCLOMATIC, F.lit(2 * _PHASE) + base + 1, say("High cyclomatic complexity: {n}", n=c("name")), say("'{n}' has an estimated cyclomatic complexity of {x}, above " + str(config.HIGH_CYCLOMATIC) + ".", n=c("name"), x=c("cyclomatic")), "High", "Complexity", c("line"), F.lit("Reduce nested conditionals/loops; extract branches into separate methods."), 0.8),
-        finding(c("cognitive") > config.HIGH_COGNITIVE, F.lit(2 * _PHASE) + base + 2, say("High cognitive complexity: {n}", n=c("name")), say("'{n}' has an estimated cognitive complexity of {x}, above " + str(config.HIGH_COGNITIVE) + ".", n=c("name"), x=c("cognitive")), "Medium", "Cognitive Complexity", c("line"), F.lit("Reduce nesting depth — prefer early returns/guard clauses."), 0.7),
-        finding(c("parameters") > config.LONG_PARAMETERS, F.lit(2 * _PHASE) + base + 3, say("Long parameter list: {n}", n=c("name")), say("'{n}' takes approximately {x} parameters, above " + str(config.LONG_PARAMETERS) + ".", n=c("name"), x=c("parameters")), "Low", "Design Anti-pattern", c("line"), F.lit("Group related parameters into a class/record, or split the method."), 0.8),
-        finding(~c("name").rlike(CAMEL), F.lit(2 * _PHASE) + base + 4, say("Naming convention: {n}", n=c("name")), say("Method '{n}' doesn't follow camelCase, the standard Java convention.", n=c("name")), "Low", "Naming Convention", c("line"), F.lit("Rename the method using camelCase."), 0.9),
-    ))
-    found.append(found_in(unused_imports(submissions),
-        finding(always, F.lit(3 * _PHASE) + base, say("Unused import: {n}", n=c("name")), say("'{n}' is imported but doesn't appear to be used elsewhere in the file.", n=c("name")), "Low", "Unused Import", c("line"), say("Remove the unused import '{n}'.", n=c("name")), 0.85),
-    ))
-    out = found[0]
-    for rows in found[1:]:
-        out = out.unionByName(rows)
-    return out
+    """(submission_id, volume) of every Java source."""
+    return java(submissions).select("submission_id", volume(F.col("code")).alias("volume"))

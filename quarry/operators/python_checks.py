@@ -1,145 +1,147 @@
-"""Code checks of Python sources, as relational operators over their facts.
+"""Code checks of Python sources, as expressions over their facts.
 
-``seq`` orders the findings of a submission as they are reported: functions first,
-one after another, then naming, imports, classes and duplicate blocks.
+Findings come in the order in which they are reported: functions one after another,
+then names, imports and classes. The rows of the metric tables are the elements of the
+facts' arrays; no check needs a join or a shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from quarry import config
-from quarry.functions import text
+from quarry.operators import checks
+from quarry.operators.checks import Check
+from quarry.operators.facts import with_facts
 
 SNAKE, PASCAL = r"^[a-z_][a-z0-9_]*$", r"^[A-Z][a-zA-Z0-9]*$"
-#: Places of the phases in ``seq``; within the first each function has a hundred places.
-_PHASE = 1_000_000_000
 
 
-def _of(facts: DataFrame, kind: str) -> DataFrame:
-    return facts.where(F.col("kind") == kind)
+def snake_case(name: Column) -> Column:
+    first = F.regexp_replace(name, "(.)([A-Z][a-z]+)", "$1_$2")
+    return F.lower(F.regexp_replace(first, "([a-z0-9])([A-Z])", "$1_$2"))
 
 
-def function_metrics(facts: DataFrame) -> DataFrame:
-    """One row for each function: name, line, span, cyclomatic, cognitive, parameters."""
-    rows = facts.where(F.col("kind").isin("function", "branch")).groupBy("submission_id", "owner")
-    is_function = F.col("kind") == "function"
-    total = lambda c: F.coalesce(F.sum(F.when(F.col("kind") == "branch", F.col(c))), F.lit(0)).cast("int")
-    one = lambda c: F.max(F.when(is_function, F.col(c)))
-    return rows.agg(one("name").alias("name"), one("line").alias("line"), (one("end_line") - one("line") + 1).alias("span"), (total("a") + 1).alias("cyclomatic"), total("b").alias("cognitive"), one("a").alias("parameters"))
+def _named(*names: str):
+    """Values that are fields of the element itself."""
+    return lambda x, y=None: {n: x[n] for n in names}
 
 
-def unused_variables(facts: DataFrame) -> DataFrame:
-    """(submission_id, owner, position, name): what a function assigns and never reads, the first by name."""
-    names = facts.where(F.col("kind").isin("store", "load", "declared")).groupBy("submission_id", "owner", "name").agg(F.bool_or(F.col("kind") == "store").alias("stored"), F.bool_or(F.col("kind") != "store").alias("read"))
-    left = names.where("stored and not read").where(~F.startswith("name", F.lit("_")))
-    position = F.row_number().over(Window.partitionBy("submission_id", "owner").orderBy("name"))
-    return left.withColumn("position", position).where(F.col("position") <= config.UNUSED_VARIABLES).select("submission_id", "owner", "position", "name")
+def concrete_values(x: Column) -> dict[str, Column]:
+    """The classes that a class makes itself, and how many they are."""
+    return {
+        "name": x["name"],
+        "number": F.size(x["concrete"]),
+        "concrete": F.left(F.array_join(x["concrete"], ", "), F.lit(80)),
+    }
 
 
-def magic_numbers(facts: DataFrame) -> DataFrame:
-    """(submission_id, owner, seq, value): the first numbers of each function."""
-    return _of(facts, "magic").where(F.col("seq") < config.MAGIC_FINDINGS).select("submission_id", "owner", "seq", F.col("name").alias("value"))
+def bad_function_name(x: Column) -> Column:
+    return ~x["is_class"] & ~x["name"].rlike(SNAKE) & ~F.startswith(x["name"], F.lit("__"))
 
 
-def unused_imports(facts: DataFrame, submissions: DataFrame) -> DataFrame:
-    """(submission_id, seq, name, line): imports that no name, attribute, export or other word of the text names."""
-    named = facts.where(F.col("kind").isin("used", "export")).select("submission_id", "name").distinct()
-    left = _of(facts, "import").select("submission_id", "seq", "name", "line").join(named, ["submission_id", "name"], "left_anti")
-    code = submissions.select("submission_id", "code")
-    word = F.concat(F.lit(r"(?dU)\b\Q"), F.col("name"), F.lit(r"\E\b"))
-    return left.join(code, "submission_id").where(F.regexp_count("code", word) <= 1).select("submission_id", "seq", "name", "line")
+def bad_class_name(x: Column) -> Column:
+    return x["is_class"] & ~x["name"].rlike(PASCAL)
 
 
-def snake_case(name: Column) -> Column:
-    first = F.regexp_replace(name, "(.)([A-Z][a-z]+)", "$1_$2")
-    return F.lower(F.regexp_replace(first, "([a-z0-9])([A-Z])", "$1_$2"))
+SYNTAX = (Check("python_syntax", lambda x: x["message"].isNotNull(), lambda x: {"message": x["message"], "line": F.coalesce(x["line"].cast("string"), F.lit("None"))}),)
+FUNCTIONS = (
+    Check("python_long_function", lambda x: x["span"] > config.LONG_METHOD_LINES, _named("name", "span")),
+    Check("python_cyclomatic", lambda x: x["cyclomatic"] > config.HIGH_CYCLOMATIC, _named("name", "cyclomatic")),
+    Check("python_cognitive", lambda x: x["cognitive"] > config.HIGH_COGNITIVE, _named("name", "cognitive")),
+    Check("python_parameters", lambda x: x["parameters"] > config.LONG_PARAMETERS, _named("name", "parameters")),
+    Check("python_magic_number", lambda x: x["magic"], lambda x, y: {"name": x["name"], "value": y}, several=True),
+    Check("python_unused_variable", lambda x: x["unused"], lambda x, y: {"name": x["name"], "variable": y}, several=True),
+)
+NAMES = (
+    Check("python_function_name", bad_function_name, lambda x: {"name": x["name"], "suggestion": snake_case(x["name"])}),
+    Check("python_class_name", bad_class_name, _named("name")),
+)
+IMPORTS = (Check("python_unused_import", lambda x: F.lit(True), _named("name")),)
+CLASSES = (
+    Check(
+        "python_god_class",
+        lambda x: (x["methods"] > config.GOD_CLASS_METHODS) | (x["span"] > config.GOD_CLASS_LINES),
+        _named("name", "methods", "span"),
+    ),
+    Check(
+        "python_fat_interface",
+        lambda x: x["abstract_base"] & (x["abstract_methods"] > config.FAT_INTERFACE_METHODS),
+        _named("name", "abstract_methods"),
+    ),
+    Check("python_concrete_classes", lambda x: F.size(x["concrete"]) > config.CONCRETE_CLASSES, concrete_values),
+)
+
+
+def _parts(facts: Column) -> list[tuple[Column, tuple[Check, ...]]]:
+    """What is looked at, and the checks of it; a source that doesn't parse has its error alone."""
+    error = F.when(facts["error"].isNotNull(), F.array(facts["error"])).otherwise(F.array().cast("array<struct<message:string,line:int>>"))
+    places = ("functions", FUNCTIONS), ("definitions", NAMES), ("unused_imports", IMPORTS), ("classes", CLASSES)
+    return [(error, SYNTAX), *((facts[name], of) for name, of in places)]
+
+
+def findings(facts: Column) -> Column:
+    """array of all findings but for duplicate blocks, in their order; null without facts."""
+    return F.when(facts.isNotNull(), F.concat(*[checks.found(x, of) for x, of in _parts(facts)]))
+
+
+def cost(facts: Column) -> Column:
+    """The points that these findings cost, without their texts."""
+    costs = [checks.cost(x, of) for x, of in _parts(facts)]
+    return F.when(facts.isNotNull(), sum(costs[1:], costs[0]))
+
+
+def volume(facts: Column) -> Column:
+    """Halstead's volume: tokens times the binary log of the distinct ones, 1 without any; null for a broken source."""
+    some = facts["tokens"] * F.log2(facts["vocabulary"].cast("double"))
+    return F.when(facts["error"].isNull() & facts.isNotNull(), F.when(facts["vocabulary"] > 0, some).otherwise(F.lit(1.0)))
 
 
-def naming(facts: DataFrame) -> DataFrame:
-    """(submission_id, kind, owner, name, line, suggestion) of badly named functions and classes."""
-    bad_function = (F.col("kind") == "function") & ~F.col("name").rlike(SNAKE) & ~F.startswith("name", F.lit("__"))
-    bad_class = (F.col("kind") == "class") & ~F.col("name").rlike(PASCAL)
-    return facts.where(bad_function | bad_class).select("submission_id", "kind", "owner", "name", "line", F.when(F.col("kind") == "function", snake_case(F.col("name"))).alias("suggestion"))
+def _python(submissions: DataFrame) -> DataFrame:
+    rows = submissions.where(F.col("language") == "Python").select("submission_id", "language", "code")
+    return with_facts(rows).select("submission_id", "facts")
 
 
-def classes(facts: DataFrame) -> DataFrame:
+def _elements(submissions: DataFrame, array: str) -> DataFrame:
+    return _python(submissions).select("submission_id", F.explode(f"facts.{array}").alias("x"))
+
+
+def function_metrics(submissions: DataFrame) -> DataFrame:
+    """One row for each function: name, line, span, cyclomatic, cognitive, parameters."""
+    return _elements(submissions, "functions").select("submission_id", "x.*").drop("magic", "unused")
+
+
+def unused_variables(submissions: DataFrame) -> DataFrame:
+    """(submission_id, function, line, name): what a function assigns and never reads, the first by name."""
+    rows = _elements(submissions, "functions")
+    return rows.select("submission_id", F.col("x.name").alias("function"), "x.line", F.explode("x.unused").alias("name"))
+
+
+def magic_numbers(submissions: DataFrame) -> DataFrame:
+    """(submission_id, function, line, value): the first numbers of each function."""
+    rows = _elements(submissions, "functions")
+    return rows.select("submission_id", F.col("x.name").alias("function"), "x.line", F.explode("x.magic").alias("value"))
+
+
+def unused_imports(submissions: DataFrame) -> DataFrame:
+    """(submission_id, name, line): imports that no name, attribute, export or other word of the text names."""
+    return _elements(submissions, "unused_imports").select("submission_id", "x.name", "x.line")
+
+
+def naming(submissions: DataFrame) -> DataFrame:
+    """(submission_id, name, line, suggestion) of badly named functions and classes."""
+    x = F.col("x")
+    bad = _elements(submissions, "definitions").where(bad_function_name(x) | bad_class_name(x))
+    return bad.select("submission_id", "x.name", "x.line", F.when(~F.col("x.is_class"), snake_case(F.col("x.name"))).alias("suggestion"))
+
+
+def classes(submissions: DataFrame) -> DataFrame:
     """One row for each class: name, line, span, methods, abstract_methods, abstract_base, concrete (sorted names)."""
-    created = _of(facts, "creates").groupBy("submission_id", "owner").agg(F.array_sort(F.collect_set("name")).alias("concrete"))
-    rows = _of(facts, "class").select("submission_id", "owner", "name", "line", (F.col("end_line") - F.col("line") + 1).alias("span"), F.col("a").alias("methods"), F.col("b").alias("abstract_methods"), (F.col("c") == 1).alias("abstract_base"))
-    return rows.join(created, ["submission_id", "owner"], "left").withColumn("concrete", F.coalesce("concrete", F.array().cast("array<string>")))
-
-
-def halstead(facts: DataFrame) -> DataFrame:
-    """(submission_id, volume): occurrences times the binary log of the distinct tokens; 1 without any."""
-    tokens = facts.where(F.col("kind").isin("operator", "operand")).groupBy("submission_id", "kind", "name").agg(F.count("*").alias("n"))
-    volume = tokens.groupBy("submission_id").agg((F.sum("n") * F.log2(F.count("*").cast("double"))).alias("volume"))
-    parsed = facts.select("submission_id").distinct()
-    return parsed.join(volume, "submission_id", "left").select("submission_id", F.coalesce("volume", F.lit(1.0)).alias("volume"))
-
-
-def finding(when: Column, seq: Column, title: Column, description: Column, severity: str, category: str, line: Column, recommendation: Column, confidence: float) -> Column:
-    """A finding of a row as a struct, null unless ``when`` holds."""
-    return F.when(when, F.struct(seq.cast("long").alias("seq"), title.alias("title"), description.alias("description"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), line.alias("line_number"), recommendation.alias("recommendation"), F.lit(confidence).alias("confidence_score")))
-
-
-def found_in(rows: DataFrame, *cases: Column) -> DataFrame:
-    """The findings of rows, all cases in one pass over them."""
-    return rows.select("submission_id", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("x")).select("submission_id", "x.*")
-
-
-def say(template: str, **values: Column) -> Column:
-    """A text with ``{name}`` places filled by columns."""
-    parts, rest = [], template
-    while "{" in rest:
-        head, _, rest = rest.partition("{")
-        name, _, rest = rest.partition("}")
-        parts += [F.lit(head), values[name].cast("string")]
-    return F.concat(*parts, F.lit(rest))
-
-
-def findings(facts: DataFrame, submissions: DataFrame) -> DataFrame:
-    """All findings of the Python submissions but for duplicate blocks."""
-    c, always, found = F.col, F.lit(True), []
-    found.append(found_in(_of(facts, "error"),
-        finding(always, F.lit(0), F.lit("Code does not parse"), say("Python syntax error: {m} (line {n}).", m=c("name"), n=F.coalesce(c("line").cast("string"), F.lit("None"))), "High", "Maintainability", c("line"), F.lit("Fix the syntax error before further analysis can run."), 1.0),
-    ))
-    m = function_metrics(facts)
-    base = c("owner") * 100
-    found.append(found_in(m,
-        finding(c("span") > config.LONG_METHOD_LINES, base, say("Long method: {f}", f=c("name")), say("'{f}' spans {n} lines, above the " + str(config.LONG_METHOD_LINES) + "-line guideline.", f=c("name"), n=c("span")), "Medium", "Long Method", c("line"), F.lit("Break this into smaller, single-purpose helper functions."), 0.95),
-        finding(c("cyclomatic") > config.HIGH_CYCLOMATIC, base + 1, say("High cyclomatic complexity: {f}", f=c("name")), say("'{f}' has an estimated cyclomatic complexity of {n}, above " + str(config.HIGH_CYCLOMATIC) + ".", f=c("name"), n=c("cyclomatic")), "High", "Complexity", c("line"), F.lit("Reduce nested conditionals/loops; extract branches into separate functions."), 0.9),
-        finding(c("cognitive") > config.HIGH_COGNITIVE, base + 2, say("High cognitive complexity: {f}", f=c("name")), say("'{f}' has an estimated cognitive complexity of {n}, above " + str(config.HIGH_COGNITIVE) + " — likely hard for a human to follow even if cyclomatic complexity looks moderate.", f=c("name"), n=c("cognitive")), "Medium", "Cognitive Complexity", c("line"), F.lit("Reduce nesting depth — prefer early returns/guard clauses over deeply nested conditionals."), 0.82),
-        finding(c("parameters") > config.LONG_PARAMETERS, base + 3, say("Long parameter list: {f}", f=c("name")), say("'{f}' takes {n} parameters, above the " + str(config.LONG_PARAMETERS) + "-parameter guideline.", f=c("name"), n=c("parameters")), "Low", "Design Anti-pattern", c("line"), F.lit("Group related parameters into a dataclass/object, or split the function."), 0.9),
-    ))
-    named = m.select("submission_id", "owner", c("name").alias("function"), "line")
-    found.append(found_in(magic_numbers(facts).join(named, ["submission_id", "owner"]),
-        finding(always, base + 10 + c("seq"), say("Magic number in {f}: {v}", f=c("function"), v=c("value")), say("The literal {v} is used directly in a condition/call inside '{f}' without a named constant.", f=c("function"), v=c("value")), "Low", "Maintainability", c("line"), say("Replace {v} with a named constant that explains what it represents.", v=c("value")), 0.7),
-    ))
-    found.append(found_in(unused_variables(facts).join(named, ["submission_id", "owner"]),
-        finding(always, base + 20 + c("position"), say("Possibly unused variable: {v}", v=c("name")), say("'{v}' is assigned inside '{f}' but never read afterward (best-effort — doesn't model all control flow).", v=c("name"), f=c("function")), "Low", "Unused Variable", c("line"), F.lit("Remove the variable if unused, or use it / prefix with '_' to signal intent."), 0.7),
-    ))
-    n = naming(facts)
-    found.append(found_in(n,
-        finding(c("kind") == "function", F.lit(_PHASE) + c("line") * 1000 + c("owner"), say("Naming convention: {f}", f=c("name")), say("Function '{f}' doesn't follow snake_case (PEP 8).", f=c("name")), "Low", "Naming Convention", c("line"), say("Rename to '{s}'.", s=c("suggestion")), 0.95),
-        finding(c("kind") == "class", F.lit(_PHASE) + c("line") * 1000 + c("owner"), say("Naming convention: {f}", f=c("name")), say("Class '{f}' doesn't follow PascalCase (PEP 8).", f=c("name")), "Low", "Naming Convention", c("line"), F.lit("Rename the class using PascalCase."), 0.95),
-    ))
-    found.append(found_in(unused_imports(facts, submissions),
-        finding(always, F.lit(2 * _PHASE) + c("seq"), say("Unused import: {i}", i=c("name")), say("'{i}' is imported but never referenced in the file.", i=c("name")), "Low", "Unused Import", c("line"), say("Remove the unused import '{i}'.", i=c("name")), 0.88),
-    ))
-    k, base = classes(facts), F.lit(3 * _PHASE) + c("owner") * 10
-    found.append(found_in(k,
-        finding((c("methods") > config.GOD_CLASS_METHODS) | (c("span") > config.GOD_CLASS_LINES), base, say("Possible God Object: {k}", k=c("name")), say("Class '{k}' has {n} methods and spans {s} lines — it may be taking on too many responsibilities.", k=c("name"), n=c("methods"), s=c("span")), "Medium", "SOLID: Single Responsibility Principle", c("line"), F.lit("Split this class into smaller classes, each with a single, clearly-named responsibility."), 0.7),
-        finding(c("abstract_base") & (c("abstract_methods") > config.FAT_INTERFACE_METHODS), base + 1, say("Possible fat interface: {k}", k=c("name")), say("Abstract class '{k}' declares {n} abstract methods — implementers may be forced to depend on methods they don't use.", k=c("name"), n=c("abstract_methods")), "Low", "SOLID: Interface Segregation Principle", c("line"), F.lit("Split this interface into smaller, more focused interfaces/protocols."), 0.6),
-        finding(F.size("concrete") > config.CONCRETE_CLASSES, base + 2, say("Possible Dependency Inversion violation: {k}", k=c("name")), say("Class '{k}' directly instantiates {n} concrete classes inside its methods ({x}).", k=c("name"), n=F.size("concrete"), x=F.left(F.array_join("concrete", ", "), F.lit(80))), "Low", "SOLID: Dependency Inversion Principle", c("line"), F.lit("Depend on abstractions injected via the constructor instead of instantiating concrete classes directly inside methods."), 0.5),
-    ))
-    out = found[0]
-    for rows in found[1:]:
-        out = out.unionByName(rows)
-    return out
-
-
-def lines_of_code(submissions: DataFrame) -> DataFrame:
-    return submissions.select("submission_id", F.size(text.lines(F.col("code"))).alias("loc"))
+    return _elements(submissions, "classes").select("submission_id", "x.*")
+
+
+def halstead(submissions: DataFrame) -> DataFrame:
+    """(submission_id, volume) of every Python source that parses."""
+    rows = _python(submissions).select("submission_id", volume(F.col("facts")).alias("volume"))
+    return rows.where(F.col("volume").isNotNull())

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.functions import rounding, text
-from quarry.operators import clones, java_checks, merge, python_checks, rules, semantic
-from quarry.operators.facts import kept_facts as python_facts
+from quarry.operators import checks, clones, java_checks, merge, python_checks, rules, semantic
+from quarry.operators.facts import with_facts
 
 
 def maintainability_index(volume: Column, cyclomatic: Column, loc: Column) -> Column:
@@ -21,6 +21,14 @@ def complexity_score(mean: Column) -> Column:
     return F.when(mean.isNull(), F.lit(config.NO_FUNCTION_SCORE)).otherwise(rounding.to_int(score))
 
 
+def maintainability_score(cost: Column) -> Column:
+    return F.greatest(F.lit(0), 100 - cost).cast("int")
+
+
+def quality_score(complexity: Column, maintainability: Column) -> Column:
+    return rounding.to_int((complexity + maintainability) / 2)
+
+
 def security_scores(submissions: DataFrame, merged: DataFrame) -> DataFrame:
     """(submission_id, security_score, highest_risk, findings) of every submission; one
     without findings has 100 and 0."""
@@ -48,51 +56,107 @@ def no_findings(submissions: DataFrame) -> DataFrame:
     return rules.scan(submissions.limit(0))
 
 
-def code_findings(submissions: DataFrame, responses: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
-    """Static and semantic findings with filename and source, of known severities."""
-    facts = python_facts(submissions) if facts is None else facts
-    parsed = submissions.join(facts.where("kind = 'error'").select("submission_id").distinct(), "submission_id", "left_anti")
-    last = 4 * 1_000_000_000
-    static = python_checks.findings(facts, submissions).unionByName(java_checks.findings(submissions)).unionByName(clones.clone_findings(parsed).withColumn("seq", F.col("seq") + F.lit(last)))
-    out = static.withColumn("source", F.lit(config.STATIC_ANALYSIS))
+def analysed(submissions: DataFrame) -> DataFrame:
+    """Submissions (submission_id, filename, language, code) with all that their static analysis
+    knows: python and java facts (each null for the other language), blocks (duplicate ones), loc.
+
+    One scan and one Arrow pass, without a shuffle; what follows is read from its columns. Write
+    or persist it where both findings and scores are wanted."""
+    rows = with_facts(submissions.select("submission_id", "filename", "language", "code"))
+    parses = F.col("facts").isNull() | F.col("facts.error").isNull()
+    code = F.col("code")
+    blocks = clones.blocks(code, clones.keywords_of(F.col("language")))
+    return rows.select(
+        "submission_id",
+        "filename",
+        "language",
+        F.col("facts").alias("python"),
+        F.when(F.col("facts").isNull(), java_checks.facts(code)).alias("java"),
+        F.when(parses, blocks).otherwise(F.array().cast(clones.BLOCKS)).alias("blocks"),
+        F.size(text.lines(code)).alias("loc"),
+    )
+
+
+def static_findings(rows: DataFrame) -> DataFrame:
+    """The findings of ``analysed`` rows, ``seq`` in the order in which they are reported."""
+    own = F.coalesce(python_checks.findings(F.col("python")), java_checks.findings(F.col("java")))
+    found = F.concat(own, checks.found(F.col("blocks"), clones.CHECKS))
+    out = rows.select("submission_id", "filename", F.posexplode(found).alias("seq", "x"))
+    return out.select("submission_id", F.col("seq").cast("long").alias("seq"), "x.*", F.lit(config.STATIC_ANALYSIS).alias("source"), "filename")
+
+
+def code_findings(submissions: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+    """Static and semantic findings with filename and source; those of replies come last."""
+    out = static_findings(analysed(submissions))
+    if responses is None:
+        return out
+    after = 1_000_000_000  # more than a submission's static findings
+    replies = semantic.code_findings(responses).withColumn("seq", F.col("seq") + F.lit(after))
+    return out.unionByName(replies.join(submissions.select("submission_id", "filename"), "submission_id"))
+
+
+def file_metrics(rows: DataFrame, carry: tuple[str, ...] = ("submission_id",)) -> DataFrame:
+    """One row for each of the ``analysed`` rows: functions, mean complexities (null without
+    functions), Halstead volume and maintainability index (null where the source does not parse), lines."""
+    python, java = F.col("python"), F.col("java")
+    taken = lambda name: F.coalesce(
+        F.transform(python["functions"], lambda f: f[name]), F.transform(java["methods"], lambda m: m[name])
+    )
+    rows = rows.select(
+        *carry,
+        "loc",
+        F.coalesce(F.size(python["functions"]), F.size(java["methods"])).alias("functions"),
+        taken("cyclomatic").alias("cyclomatic"),
+        taken("cognitive").alias("cognitive"),
+        F.when(python.isNotNull(), python_checks.volume(python)).otherwise(java["volume"]).alias("volume"),
+    )
+    mean = lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x) / F.size(c))
+    rows = rows.withColumns({"cyclomatic": mean(F.col("cyclomatic")), "cognitive": mean(F.col("cognitive"))})
+    index = maintainability_index(F.col("volume"), F.coalesce("cyclomatic", F.lit(1.0)), F.col("loc"))
+    return rows.select(
+        *carry,
+        "loc",
+        "functions",
+        "cyclomatic",
+        "cognitive",
+        rounding.to_places(F.col("volume"), 1).alias("halstead_volume"),
+        F.when(F.col("volume").isNotNull(), index).alias("maintainability_index"),
+    )
+
+
+def quality_scores(rows: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+    """quality_score, maintainability_score, complexity_score and the means, for each of the
+    ``analysed`` rows. Findings are counted, not made; only those of replies are joined."""
+    own = F.coalesce(python_checks.cost(F.col("python")), java_checks.cost(F.col("java")))
+    rows = rows.withColumn("cost", own + checks.cost(F.col("blocks"), clones.CHECKS))
     if responses is not None:
-        out = out.unionByName(semantic.code_findings(responses).withColumn("seq", F.col("seq") + F.lit(2 * last)))
-    return out.where(F.col("severity").isin(*config.SEVERITIES)).join(submissions.select("submission_id", "filename"), "submission_id")
-
-
-def file_metrics(submissions: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """One row for each submission: functions, mean complexities (null without functions), Halstead
-    volume and maintainability index (null where the source does not parse), lines."""
-    facts = python_facts(submissions) if facts is None else facts
-    functions = python_checks.function_metrics(facts).select("submission_id", "cyclomatic", "cognitive").unionByName(java_checks.methods(submissions).select("submission_id", "cyclomatic", "cognitive"))
-    means = functions.groupBy("submission_id").agg(F.count("*").alias("functions"), F.avg("cyclomatic").alias("cyclomatic"), F.avg("cognitive").alias("cognitive"))
-    broken = facts.where("kind = 'error'").select("submission_id", F.lit(True).alias("broken")).distinct()
-    python = python_checks.halstead(facts).join(broken, "submission_id", "left").where(F.col("broken").isNull()).select("submission_id", "volume")
-    volume = python.unionByName(java_checks.halstead(submissions))
-    empty = submissions.where(F.col("language") == "Python").select("submission_id").join(facts.select("submission_id").distinct(), "submission_id", "left_anti").select("submission_id", F.lit(1.0).alias("volume"))
-    rows = submissions.select("submission_id", F.size(text.lines(F.col("code"))).alias("loc")).join(volume.unionByName(empty), "submission_id", "left").join(means, "submission_id", "left")
-    index = F.when(F.col("volume").isNotNull(), maintainability_index(F.col("volume"), F.coalesce("cyclomatic", F.lit(1.0)), F.col("loc")))
-    return rows.select("submission_id", "loc", F.coalesce("functions", F.lit(0)).alias("functions"), "cyclomatic", "cognitive", rounding.to_places(F.col("volume"), 1).alias("halstead_volume"), index.alias("maintainability_index"))
-
-
-def quality_scores(submissions: DataFrame, findings: DataFrame, metrics: DataFrame) -> DataFrame:
-    """quality_score, maintainability_score, complexity_score and the means, for every submission."""
-    cost = text.lookup(F.col("severity"), config.QUALITY_PENALTY, config.OTHER_QUALITY_PENALTY)
-    sums = findings.groupBy("submission_id").agg(F.sum(cost).alias("cost"))
-    rows = submissions.select("submission_id", "filename", "language").join(metrics, "submission_id").join(sums, "submission_id", "left")
-    rows = rows.withColumns({"complexity_score": complexity_score(F.col("cyclomatic")), "maintainability_score": F.greatest(F.lit(0), 100 - F.coalesce("cost", F.lit(0))).cast("int")})
-    quality = rounding.to_int((F.col("complexity_score") + F.col("maintainability_score")) / 2)
-    return rows.select("submission_id", "filename", "language", quality.alias("quality_score"), "maintainability_score", "complexity_score", "maintainability_index", rounding.to_places(F.col("cyclomatic"), 1).alias("average_cyclomatic_complexity"), rounding.to_places(F.col("cognitive"), 1).alias("average_cognitive_complexity"))
+        penalty = text.lookup(F.col("severity"), config.QUALITY_PENALTY, config.OTHER_QUALITY_PENALTY)
+        replies = semantic.code_findings(responses).groupBy("submission_id").agg(F.sum(penalty).alias("more"))
+        rows = rows.join(replies, "submission_id", "left").withColumn("cost", F.col("cost") + F.coalesce("more", F.lit(0)))
+    scored = file_metrics(rows, ("submission_id", "filename", "language", "cost")).withColumns({
+        "complexity_score": complexity_score(F.col("cyclomatic")),
+        "maintainability_score": maintainability_score(F.col("cost")),
+    })
+    return scored.select(
+        "submission_id",
+        "filename",
+        "language",
+        quality_score(F.col("complexity_score"), F.col("maintainability_score")).alias("quality_score"),
+        "maintainability_score",
+        "complexity_score",
+        "maintainability_index",
+        rounding.to_places(F.col("cyclomatic"), 1).alias("average_cyclomatic_complexity"),
+        rounding.to_places(F.col("cognitive"), 1).alias("average_cognitive_complexity"),
+    )
 
 
 def analyze_code(submissions: DataFrame, responses: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scores and findings of submissions, both from one parse of their sources."""
-    facts = python_facts(submissions)
-    findings = code_findings(submissions, responses, facts)
-    return quality_scores(submissions, findings, file_metrics(submissions, facts)), findings
+    """Scores, with the time of the analysis, and findings of submissions."""
+    scores = quality_scores(analysed(submissions), responses)
+    return scores.withColumn("analyzed_at", F.current_timestamp()), code_findings(submissions, responses)
 
 
 def scan_security(submissions: DataFrame, responses: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scores and merged findings of submissions."""
+    """Scores, with the time of the analysis, and merged findings of submissions."""
     merged = security_findings(submissions, responses)
-    return security_scores(submissions, merged), merged
+    return security_scores(submissions, merged).withColumn("analyzed_at", F.current_timestamp()), merged

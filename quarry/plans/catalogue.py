@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.functions import text
-from quarry.operators import clones, corpus, facts, ingest, java_checks, prompts, python_checks, rules, scoring, semantic
+from quarry.operators import clones, corpus, ingest, java_checks, prompts, python_checks, rules, scoring, semantic
 from quarry.plans import oracles
 from quarry.plans.samples import submissions_raw
 from quarry.sources import results
@@ -66,7 +66,8 @@ def security_rule_counts_by_category(spark, sf_dir):
 
 def document_secrets(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("submission_id"), F.lit("document").alias("filename"), F.lit("Python").alias("language"), F.replace("text", F.lit("token ="), F.lit("access_token =")).alias("code"))
-    return rules.scan(docs).where(F.col("category") == "Hardcoded Secrets").select(F.col("submission_id").cast("bigint").alias("doc_id"), "evidence", "line_number")
+    found = rules.scan(docs, rules=tuple(r for r in rules.RULES if r.category == "Hardcoded Secrets"))
+    return found.select(F.col("submission_id").cast("bigint").alias("doc_id"), "evidence", "line_number")
 
 
 def risk_scores(spark, sf_dir):
@@ -80,8 +81,14 @@ def security_merged_findings(spark, sf_dir):
     return rows.select("submission_id", "seq", "category", "severity", "line_number", "confidence_score", "evidence", "source", F.array_join("merged_from", ",").alias("merged_from"))
 
 
+def security_merged_with_replies(spark, sf_dir):
+    """Findings of the rules and of replies, which events make for the submissions of their id, merged."""
+    rows = scoring.scan_security(_submissions(spark, sf_dir), semantic_responses(spark, sf_dir))[1]
+    return rows.select("submission_id", "filename", "category", "severity", "line_number", "confidence_score", "evidence", "source", F.array_join("merged_from", ",").alias("merged_from"))
+
+
 def security_scores(spark, sf_dir):
-    return scoring.scan_security(_submissions(spark, sf_dir))[0]
+    return scoring.scan_security(_submissions(spark, sf_dir))[0].drop("analyzed_at")
 
 
 def semantic_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,55 +129,50 @@ def submissions_with_results(spark, sf_dir):
     return results.with_results(submissions_raw(spark, sf_dir).select("submission_id"), scores.select("submission_id", "security_score"))
 
 
-def _facts(spark, sf_dir):
-    return facts.kept_facts(_submissions(spark, sf_dir))
-
-
 def python_function_metrics(spark, sf_dir):
-    return python_checks.function_metrics(_facts(spark, sf_dir)).drop("owner")
+    return python_checks.function_metrics(_submissions(spark, sf_dir))
 
 
 def python_naming(spark, sf_dir):
-    return python_checks.naming(_facts(spark, sf_dir)).select("submission_id", "name", "line", "suggestion")
+    return python_checks.naming(_submissions(spark, sf_dir))
 
 
 def python_unused_imports(spark, sf_dir):
-    rows = _submissions(spark, sf_dir)
-    return python_checks.unused_imports(facts.kept_facts(rows), rows).select("submission_id", "name", "line")
+    return python_checks.unused_imports(_submissions(spark, sf_dir))
 
 
 def python_unused_variables(spark, sf_dir):
-    return python_checks.unused_variables(_facts(spark, sf_dir)).select("submission_id", "name")
+    return python_checks.unused_variables(_submissions(spark, sf_dir))
 
 
 def python_magic_numbers(spark, sf_dir):
-    return python_checks.magic_numbers(_facts(spark, sf_dir)).where(F.col("value") != F.col("submission_id")).select("submission_id", "value")
+    return python_checks.magic_numbers(_submissions(spark, sf_dir))
 
 
 def python_classes(spark, sf_dir):
-    rows = python_checks.classes(_facts(spark, sf_dir))
-    return rows.select("submission_id", "name", "line", "span", "methods", "abstract_methods", F.size("concrete").alias("concrete"))
+    rows = python_checks.classes(_submissions(spark, sf_dir))
+    return rows.withColumn("concrete", F.array_join("concrete", ", "))
 
 
 def python_halstead(spark, sf_dir):
-    return python_checks.halstead(_facts(spark, sf_dir))
+    return python_checks.halstead(_submissions(spark, sf_dir))
 
 
 def java_method_metrics(spark, sf_dir):
-    return java_checks.methods(_submissions(spark, sf_dir)).drop("k")
+    return java_checks.methods(_submissions(spark, sf_dir))
 
 
 def java_class_checks(spark, sf_dir):
     rows = java_checks.classes(_submissions(spark, sf_dir))
-    return rows.select("submission_id", "name", "line", "span", "methods", "fields", F.array_join("concrete", ",").alias("concrete"))
+    return rows.withColumn("concrete", F.array_join("concrete", ","))
 
 
 def java_interface_checks(spark, sf_dir):
-    return java_checks.interfaces(_submissions(spark, sf_dir)).drop("k")
+    return java_checks.interfaces(_submissions(spark, sf_dir))
 
 
 def java_unused_imports(spark, sf_dir):
-    return java_checks.unused_imports(_submissions(spark, sf_dir)).drop("k")
+    return java_checks.unused_imports(_submissions(spark, sf_dir))
 
 
 def java_halstead(spark, sf_dir):
@@ -191,19 +193,30 @@ def code_findings(spark, sf_dir):
     return rows.select("submission_id", "seq", "title", "description", "severity", "category", "line_number", "recommendation", "confidence_score", "source")
 
 
+def code_findings_with_replies(spark, sf_dir):
+    """Static findings and those of replies, which events make for the submissions of their id."""
+    rows = scoring.code_findings(_submissions(spark, sf_dir), semantic_responses(spark, sf_dir))
+    return rows.select("submission_id", "filename", "title", "severity", "category", "line_number", "confidence_score", "source")
+
+
 def code_file_metrics(spark, sf_dir):
-    return scoring.file_metrics(_submissions(spark, sf_dir))
+    return scoring.file_metrics(scoring.analysed(_submissions(spark, sf_dir)))
 
 
 def code_quality_scores(spark, sf_dir):
-    return scoring.analyze_code(_submissions(spark, sf_dir))[0]
+    return scoring.analyze_code(_submissions(spark, sf_dir))[0].drop("analyzed_at")
+
+
+def code_quality_scores_with_replies(spark, sf_dir):
+    rows = scoring.analyze_code(_submissions(spark, sf_dir), semantic_responses(spark, sf_dir))[0]
+    return rows.select("submission_id", "quality_score", "maintainability_score", "complexity_score")
 
 
 def scoring_formulas(spark, sf_dir):
     """Complexity and quality scores over grouped order lines: means, half-even rounding and limits."""
     lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.avg(F.col("l_quantity").cast("bigint") % 30 + 1).alias("mean"), F.sum(text.lookup(F.col("l_returnflag"), {"A": 2, "N": 5, "R": 10}, 3)).alias("cost"))
-    a, b = scoring.complexity_score(F.col("mean")), F.greatest(F.lit(0), 100 - F.col("cost")).cast("int")
-    return lines.select("l_orderkey", a.cast("bigint").alias("complexity_score"), b.cast("bigint").alias("maintainability_score"), F.bround((a + b) / 2, 0).cast("bigint").alias("quality_score"))
+    a, b = scoring.complexity_score(F.col("mean")), scoring.maintainability_score(F.col("cost"))
+    return lines.select("l_orderkey", a.alias("complexity_score"), b.alias("maintainability_score"), scoring.quality_score(a, b).alias("quality_score"))
 
 
 def duplicate_blocks(spark, sf_dir):
@@ -277,7 +290,7 @@ QUERIES = {
         security_scores, security_rule_findings, security_rules_from_table, security_rule_counts_by_category, security_merged_findings, document_secrets, risk_scores,
         ingest_submissions, ingest_rejects, ingest_files, language_detection, python_syntax_check, java_delimiter_check,
         semantic_code_findings, semantic_security_findings, latest_result, submissions_with_results,
-        python_function_metrics, python_naming, python_unused_imports, python_unused_variables, python_magic_numbers, python_classes, python_halstead,
+        python_function_metrics, python_naming, python_unused_imports, python_unused_variables, python_magic_numbers, python_classes, python_halstead, security_merged_with_replies, code_findings_with_replies, code_quality_scores_with_replies,
         java_method_metrics, java_class_checks, java_interface_checks, java_unused_imports, java_halstead,
         maintainability_index, code_findings, code_file_metrics, code_quality_scores, scoring_formulas,
         duplicate_blocks, duplicate_code_blocks, document_profile, document_chunks, document_chunks_without_overlap,

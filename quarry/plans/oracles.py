@@ -7,10 +7,12 @@ the sample templates, counted by hand, stand for it.
 from __future__ import annotations
 
 import keyword
+import re
 
 from quarry import config
 from quarry.operators import ingest, java_checks, rules
-from quarry.plans.samples import CODE_SQL, TEMPLATES, expected_sql, quoted
+from quarry.operators.wording import WORDING
+from quarry.plans.samples import CODE_SQL, TEMPLATES, expected_sql, quoted, with_function
 
 SPACE = r"[\s\x1c-\x1f]"
 _NEWLINES = "(length({0}) - length(replace({0}, chr(10), '')))"
@@ -54,21 +56,37 @@ finding AS (SELECT submission_id, CAST(rule_seq * 10 + k - 1 AS BIGINT) AS seq,
   CAST(1 + {_NEWLINES.format("(array_to_string(p[1:k], '') || array_to_string(m[1:k-1], ''))")} AS INTEGER) AS line_number FROM one)"""
 FINDING_COLUMNS = f"submission_id, seq, category || ' risk detected' AS title, severity, category, owasp_category, cwe_id, CAST({RISK} AS DOUBLE) AS risk_score, confidence_score, evidence, line_number"
 
-# The greedy fold, finding by finding: the state is the list of the groups' first lines.
-MERGED = f"""{FOUND.replace('WITH template', 'WITH RECURSIVE template', 1)}, numbered AS (SELECT *, row_number() OVER (PARTITION BY submission_id, category ORDER BY seq) AS n FROM finding),
+RULE_FINDINGS = "SELECT submission_id, seq, category, severity, confidence_score, evidence, line_number, 'static_rules' AS source FROM finding"
+
+
+def _merged(findings: str, rows: str) -> str:
+    """The greedy fold of ``rows``, finding by finding: the state is the list of the groups' first lines."""
+    near = f"(l IS NULL AND x.line_number IS NULL) OR coalesce(abs(l - x.line_number) <= {config.NEAR_LINES}, false)"
+    return f"""{findings.replace("WITH template", "WITH RECURSIVE template", 1)},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY submission_id, category ORDER BY seq) AS n FROM ({rows})),
 fold AS (
   SELECT submission_id, category, n, seq, [line_number] AS leaders, CAST(1 AS BIGINT) AS grp FROM numbered WHERE n = 1
   UNION ALL
-  SELECT submission_id, category, n, seq, CASE WHEN hit > 0 THEN leaders ELSE list_append(leaders, line_number) END, CASE WHEN hit > 0 THEN hit ELSE len(leaders) + 1 END
-  FROM (SELECT x.*, f.leaders, coalesce(list_position(list_transform(f.leaders, lambda l: abs(l - x.line_number) <= {config.NEAR_LINES}), true), 0) AS hit
+  SELECT submission_id, category, n, seq, CASE WHEN hit > 0 THEN leaders ELSE list_append(leaders, line_number) END,
+    CASE WHEN hit > 0 THEN hit ELSE len(leaders) + 1 END
+  FROM (SELECT x.*, f.leaders, coalesce(list_position(list_transform(f.leaders, lambda l: {near}), true), 0) AS hit
         FROM fold f JOIN numbered x ON x.submission_id = f.submission_id AND x.category = f.category AND x.n = f.n + 1)),
-grouped AS (SELECT x.*, f.grp, {_case('severity', config.SEVERITY_RANK, 0)} AS rank FROM numbered x JOIN fold f USING (submission_id, category, n)),
-firsts AS (SELECT submission_id, category, grp, evidence, min(seq) AS place FROM grouped GROUP BY ALL),
-joined AS (SELECT submission_id, category, grp, string_agg(evidence, ' | ' ORDER BY place) AS evidence FROM firsts GROUP BY ALL),
-best AS (SELECT *, row_number() OVER (PARTITION BY submission_id, category, grp ORDER BY rank DESC, confidence_score DESC, seq) AS place, count(*) OVER (PARTITION BY submission_id, category, grp) AS members, min(seq) OVER (PARTITION BY submission_id, category, grp) AS first_seq FROM grouped),
-merged AS (SELECT b.submission_id, b.first_seq AS seq, b.category, severity, line_number, CASE WHEN members > 1 THEN least(1.0, confidence_score + CAST({config.AGREEMENT_BONUS} AS DOUBLE)) ELSE confidence_score END AS confidence_score, CASE WHEN members > 1 THEN j.evidence ELSE b.evidence END AS evidence,
-  CASE WHEN members > 1 THEN 'merged' ELSE 'static_rules' END AS source, CASE WHEN members > 1 THEN 'static_rules' ELSE '' END AS merged_from
-  FROM best b JOIN joined j USING (submission_id, category, grp) WHERE place = 1)"""
+grouped AS (SELECT x.*, f.grp, {_case("severity", config.SEVERITY_RANK, 0)} AS rank
+  FROM numbered x JOIN fold f USING (submission_id, category, n)),
+pieces AS (SELECT submission_id, category, grp, evidence, min(seq) AS place FROM grouped WHERE evidence <> '' GROUP BY ALL),
+joined AS (SELECT submission_id, category, grp, string_agg(evidence, ' | ' ORDER BY place) AS evidence FROM pieces GROUP BY ALL),
+kinds AS (SELECT submission_id, category, grp, source, min(seq) AS place FROM grouped GROUP BY ALL),
+origins AS (SELECT submission_id, category, grp, string_agg(source, ',' ORDER BY place) AS merged_from FROM kinds GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY submission_id, category, grp ORDER BY rank DESC, confidence_score DESC, seq) AS place,
+  count(*) OVER (PARTITION BY submission_id, category, grp) AS members, min(seq) OVER (PARTITION BY submission_id, category, grp) AS first_seq FROM grouped),
+merged AS (SELECT b.submission_id, b.first_seq AS seq, b.category, severity, line_number,
+  CASE WHEN members > 1 THEN least(1.0, confidence_score + CAST({config.AGREEMENT_BONUS} AS DOUBLE)) ELSE confidence_score END AS confidence_score,
+  CASE WHEN members > 1 THEN coalesce(j.evidence, '') ELSE b.evidence END AS evidence,
+  CASE WHEN members > 1 THEN 'merged' ELSE source END AS source, CASE WHEN members > 1 THEN merged_from ELSE '' END AS merged_from
+  FROM best b LEFT JOIN joined j USING (submission_id, category, grp) JOIN origins USING (submission_id, category, grp) WHERE place = 1)"""
+
+
+MERGED = _merged(FOUND, RULE_FINDINGS)
 SCORES = f"""{MERGED}, cost AS (SELECT submission_id, sum({_case('severity', config.SECURITY_PENALTY, config.OTHER_SECURITY_PENALTY)}) AS cost, max({RISK}) AS risk, count(*) AS n FROM merged GROUP BY submission_id)"""
 
 
@@ -142,12 +160,132 @@ clone AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER B
 DOCUMENT_CLONES = _clones("WITH src AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)", "doc_id", r"[\p{L}\p{M}\p{Nd}\p{Pc}]", "false")
 CODE_CLONES = _clones(f"{ACCEPTED}, src AS (SELECT submission_id, language, code AS text FROM accepted)", "submission_id", r"[\w]", "language = 'Python'")
 
+_CODE_REPLIES = f"""SELECT {_FIELDS}, CASE kind WHEN 0 THEN 'SQL Injection' WHEN 1 THEN 'Made Up' WHEN 2 THEN 'Performance' ELSE 'Maintainability' END AS category, {_LINE} FROM e WHERE agent = 'code' AND kind IN (0, 1, 2, 5)"""
+_SECURITY_REPLIES = f"""SELECT {_FIELDS}, CASE kind WHEN 0 THEN 'SQL Injection' ELSE 'Missing Input Validation' END AS category, CASE kind WHEN 0 THEN 'CWE-89' ELSE 'CWE-20' END AS cwe_id, 'e' || user_id AS evidence, {_LINE} FROM e WHERE agent = 'security' AND kind IN (0, 1, 2, 5)"""
+MERGED_WITH_REPLIES = _merged(
+    f"{FOUND}, {_EVENT.removeprefix('WITH ')}, reply AS ({_SECURITY_REPLIES})",
+    f"""{RULE_FINDINGS} UNION ALL SELECT submission_id, 1000001 AS seq, category, severity, confidence_score, evidence, line_number, 'llm_semantic' AS source
+  FROM reply JOIN accepted USING (submission_id)""",
+)
+
+
+def _table(name: str, columns: list[str], rows: list[tuple]) -> str:
+    return f"{name}(tpl, {', '.join(columns)}) AS {_values(rows)}"
+
+
+def _numbered(value) -> list[tuple]:
+    """Rows of all templates with their place among those of their template."""
+    return [(i, k, *row) for i, t in enumerate(TEMPLATES) for k, row in enumerate(value(t))]
+
+
+def _own(text: str) -> str:
+    return f"replace({text}, '~', submission_id)"
+
+
+def _report(source: str, place: str, at: str, wording: str, /, **values: str) -> str:
+    """Findings of the rows of ``source`` (and their WHERE), ``place`` ordering them."""
+
+    def filled(template: str) -> str:
+        return re.sub(r"\{(\w+)\}", lambda m: f"' || {values[m[1]]} || '", quoted(template))
+
+    w = WORDING[wording]
+    return f"""SELECT submission_id, {place} AS place, {filled(w.title)} AS title, {filled(w.description)} AS description, {quoted(w.severity)} AS severity,
+  {quoted(w.category)} AS category, {at} AS line_number, {filled(w.recommendation)} AS recommendation, CAST({w.confidence} AS DOUBLE) AS confidence_score FROM {source}"""
+
+
+_PY = "accepted JOIN {0} USING (tpl)"
+_F = {n: f"CAST({n} AS VARCHAR)" for n in ("span", "cyclomatic", "cognitive", "parameters", "methods", "abstract_methods", "fields")}
+_NAME = _own("name")
+_java_call = f"CAST(len(list_filter(string_split({_inside}, ','), lambda x: regexp_matches(x, '\\S'))) AS INTEGER)"
+JAVA_METHODS = f"""SELECT submission_id, k, name, line, CAST({_NEWLINES.format('body')} + 1 AS INTEGER) AS span, CAST({_count(java_checks.DECISION, 'body')} + 1 AS INTEGER) AS cyclomatic,
+  {_cognitive} AS cognitive, {_java_call} AS parameters FROM bodied WHERE name NOT IN ({', '.join(map(quoted, config.JAVA_CONTROL))})"""
+JAVA_CLASSES = f"""SELECT submission_id, k, name, line, CAST({_NEWLINES.format('body')} + 1 AS INTEGER) AS span, CAST({_count(java_checks.METHOD, 'body')} AS INTEGER) AS methods,
+  CAST({_count(java_checks.FIELD, 'body')} AS INTEGER) AS fields, list_sort(list_filter(list_distinct(regexp_extract_all(body, {quoted(java_checks.CREATED)}, 1)),
+  lambda x: x NOT IN ({', '.join(map(quoted, config.JAVA_UTILITIES))}))) AS concrete FROM bodied"""
+JAVA_INTERFACES = f"SELECT submission_id, k, name, line, CAST({_count(java_checks.INTERFACE_METHOD, 'body')} AS INTEGER) AS methods FROM bodied WHERE body IS NOT NULL"
+JAVA_IMPORTS = f"SELECT submission_id, k, name, line FROM found WHERE len(regexp_extract_all(code, '\\b' || regexp_extract(name, '[^.]*$') || '\\b')) <= 1"
+JAVA_VOLUMES = f"""SELECT submission_id, CASE WHEN len(t) = 0 THEN 1.0 ELSE len(t) * log2(len(list_distinct(t))) END AS volume FROM (SELECT submission_id,
+  list_filter(regexp_extract_all(code, {quoted(java_checks.TOKEN)}), lambda x: x IN ({', '.join(map(quoted, config.JAVA_OPERATORS))}) OR regexp_matches(x, '^[A-Za-z_]\\w*$') OR regexp_matches(x, '^\\d+$')) AS t FROM j)"""
+
+
+def _nested(name: str, query: str, rows: str) -> str:
+    """A CTE from a query of its own WITH clause, whose parts stay inside."""
+    return f"{name} AS ({query} {rows})"
+
+
+_EXPECTED = ", ".join((
+    _table("py_function", ["k", "name", "line", "span", "cyclomatic", "cognitive", "parameters"], _numbered(lambda t: t.functions)),
+    _table("py_number", ["k", "name", "line", "value"], _numbered(lambda t: with_function(t, t.numbers))),
+    _table("py_variable", ["k", "name", "line", "variable"], _numbered(lambda t: with_function(t, t.variables))),
+    _table("py_name", ["k", "name", "line", "suggestion"], _numbered(lambda t: t.names)),
+    _table("py_import", ["k", "name", "line"], _numbered(lambda t: t.imports)),
+    _table("py_class", ["k", "name", "line", "span", "methods", "abstract_methods", "abstract_base", "concrete"], _numbered(lambda t: t.classes)),
+    _table("py_error", ["message", "line"], [(i, *t.error) for i, t in enumerate(TEMPLATES) if t.error and t.language == "Python"]),
+    _table("py_tokens", ["tokens", "vocabulary"], [(i, *t.halstead) for i, t in enumerate(TEMPLATES) if t.halstead]),
+))
+_CONCRETE = {"number": "CAST(len(concrete) AS VARCHAR)", "concrete": "left(array_to_string(concrete, ', '), 80)"}
+_FINDINGS = " UNION ALL ".join((
+    _report(_PY.format("py_error"), "[0, 0, 0, 0]", "line", "python_syntax", message="message", line="CAST(line AS VARCHAR)"),
+    *(_report(f"{_PY.format('py_function')} WHERE {limit}", f"[1, line, {i}, 0]", "line", wording, **_F, name=_NAME) for i, (wording, limit) in enumerate((
+        ("python_long_function", f"span > {config.LONG_METHOD_LINES}"), ("python_cyclomatic", f"cyclomatic > {config.HIGH_CYCLOMATIC}"),
+        ("python_cognitive", f"cognitive > {config.HIGH_COGNITIVE}"), ("python_parameters", f"parameters > {config.LONG_PARAMETERS}"),
+    ))),
+    _report(_PY.format("py_number"), "[1, line, 4, k]", "line", "python_magic_number", name=_NAME, value=_own("value")),
+    _report(_PY.format("py_variable"), "[1, line, 5, k]", "line", "python_unused_variable", name=_NAME, variable="variable"),
+    _report(f"{_PY.format('py_name')} WHERE suggestion IS NOT NULL", "[2, k, 0, 0]", "line", "python_function_name", name=_NAME, suggestion=_own("suggestion")),
+    _report(f"{_PY.format('py_name')} WHERE suggestion IS NULL", "[2, k, 0, 0]", "line", "python_class_name", name=_NAME),
+    _report(_PY.format("py_import"), "[3, k, 0, 0]", "line", "python_unused_import", name="name"),
+    _report(f"{_PY.format('py_class')} WHERE methods > {config.GOD_CLASS_METHODS} OR span > {config.GOD_CLASS_LINES}", "[4, k, 0, 0]", "line", "python_god_class", **_F, name="name"),
+    _report(f"{_PY.format('py_class')} WHERE abstract_base AND abstract_methods > {config.FAT_INTERFACE_METHODS}", "[4, k, 1, 0]", "line", "python_fat_interface", **_F, name="name"),
+    _report(f"{_PY.format('py_class')} WHERE len(string_split(concrete, ', ')) > {config.CONCRETE_CLASSES}", "[4, k, 2, 0]", "line", "python_concrete_classes", name="name", number="CAST(len(string_split(concrete, ', ')) AS VARCHAR)", concrete="left(concrete, 80)"),
+    _report("jclass WHERE NOT regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$')", "[1, k, 0, 0]", "line", "java_class_name", name="name"),
+    _report(f"jclass WHERE methods > {config.GOD_CLASS_METHODS} OR span > {config.GOD_CLASS_LINES}", "[1, k, 1, 0]", "line", "java_god_class", **_F, name="name"),
+    _report(f"jclass WHERE len(concrete) > {config.CONCRETE_CLASSES}", "[1, k, 2, 0]", "line", "java_concrete_classes", **_CONCRETE, name="name"),
+    _report(f"jinterface WHERE methods > {config.FAT_INTERFACE_METHODS}", "[2, k, 0, 0]", "line", "java_fat_interface", **_F, name="name"),
+    *(_report(f"jmethod WHERE {limit}", f"[3, k, {i}, 0]", "line", wording, **_F, name="name") for i, (wording, limit) in enumerate((
+        ("java_long_method", f"span > {config.LONG_METHOD_LINES}"), ("java_cyclomatic", f"cyclomatic > {config.HIGH_CYCLOMATIC}"),
+        ("java_cognitive", f"cognitive > {config.HIGH_COGNITIVE}"), ("java_parameters", f"parameters > {config.LONG_PARAMETERS}"),
+        ("java_method_name", "NOT regexp_matches(name, '^[a-z][a-zA-Z0-9]*$')"),
+    ))),
+    _report("jimport", "[4, k, 0, 0]", "line", "java_unused_import", name="name"),
+    *(_report(f"block WHERE {'' if exact else 'NOT '}exact", "[5, i, 0, 0]", "CAST(i + 1 AS INTEGER)", wording, here="((i + 1) || '-' || (i + 4))", there="((leader + 1) || '-' || (leader + 4))") for exact, wording in ((True, "equal_block"), (False, "alike_block"))),
+))
+_ANALYSED = ",\n".join((
+    ACCEPTED,
+    _EXPECTED,
+    _nested("jmethod", METHODS, JAVA_METHODS),
+    _nested("jclass", CLASSES, JAVA_CLASSES),
+    _nested("jinterface", INTERFACES, JAVA_INTERFACES),
+    _nested("jimport", _found(java_checks.IMPORT), JAVA_IMPORTS),
+    _nested("jvolume", _java_rows, JAVA_VOLUMES),
+    f"block AS ({CODE_CLONES} SELECT submission_id, i, leader, raw = leader_raw AS exact FROM clone WHERE submission_id NOT IN (SELECT submission_id FROM accepted JOIN py_error USING (tpl)))",
+    f"reported AS ({_FINDINGS})",
+    f"""py_function_row AS (SELECT submission_id, cyclomatic, cognitive FROM {_PY.format('py_function')} UNION ALL SELECT submission_id, cyclomatic, cognitive FROM jmethod),
+mean AS (SELECT submission_id, CAST(count(*) AS INTEGER) AS functions, avg(cyclomatic) AS cyclomatic, avg(cognitive) AS cognitive FROM py_function_row GROUP BY submission_id),
+volume AS (SELECT submission_id, tokens * log2(vocabulary) AS volume FROM {_PY.format('py_tokens')} UNION ALL SELECT submission_id, volume FROM jvolume),
+metric AS (SELECT submission_id, a.filename, a.language, CAST(len({_LINES.replace('text', 'code')}) AS INTEGER) AS loc, coalesce(functions, 0) AS functions, cyclomatic, cognitive, volume
+  FROM accepted a LEFT JOIN mean USING (submission_id) LEFT JOIN volume USING (submission_id)),
+cost AS (SELECT submission_id, sum({_case('severity', config.QUALITY_PENALTY, config.OTHER_QUALITY_PENALTY)}) AS cost FROM reported GROUP BY submission_id)""",
+))
+_INDEX = "CASE WHEN volume IS NOT NULL THEN CAST(printf('%.1f', greatest(0, least(100, (171 - 5.2 * ln(greatest(volume, 1)) - 0.23 * greatest(coalesce(cyclomatic, 1), 1) - 16.2 * ln(greatest(loc, 1))) * 100 / 171))) AS DOUBLE) END"
+
+
+def _tenth(c: str) -> str:
+    return f"CASE WHEN {c} IS NOT NULL THEN CAST(printf('%.1f', {c}) AS DOUBLE) END"
+
+
+_QUALITY = f"""{_ANALYSED}, event AS ({_EVENT} {_CODE_REPLIES}),
+more AS (SELECT submission_id, sum({_case('severity', config.QUALITY_PENALTY, config.OTHER_QUALITY_PENALTY)}) AS more FROM event GROUP BY submission_id),
+scored AS (SELECT m.*, CAST(CASE WHEN cyclomatic IS NULL THEN {config.NO_FUNCTION_SCORE} ELSE round_even(least(100, greatest(10, 100 - (cyclomatic - 1) * 5)), 0) END AS INTEGER) AS a,
+  CAST(greatest(0, 100 - coalesce(cost, 0)) AS INTEGER) AS b, CAST(greatest(0, 100 - coalesce(cost, 0) - coalesce(more, 0)) AS INTEGER) AS c
+  FROM metric m LEFT JOIN cost USING (submission_id) LEFT JOIN more USING (submission_id))"""
+
 SQL = {
     "duplicate_blocks": f"{DOCUMENT_CLONES} SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(leader AS INTEGER) AS leader, raw = leader_raw AS exact FROM clone",
     "duplicate_code_blocks": f"{CODE_CLONES} SELECT submission_id, CASE WHEN raw = leader_raw THEN 'Duplicate code block' ELSE 'Structurally duplicate code block' END AS title, CASE WHEN raw = leader_raw THEN 'Medium' ELSE 'Low' END AS severity, CAST(i + 1 AS INTEGER) AS line_number, CAST(CASE WHEN raw = leader_raw THEN 0.9 ELSE 0.72 END AS DOUBLE) AS confidence_score FROM clone",
     "python_function_metrics": expected_sql(_templates(lambda t: t.functions), ["name", "line", "span", "cyclomatic", "cognitive", "parameters"]),
-    "python_unused_variables": expected_sql(_templates(lambda t: [(v,) for v, _ in t.variables]), ["name"]),
-    "python_magic_numbers": expected_sql(_templates(lambda t: [(v,) for v, _ in t.numbers]), ["value"]),
+    "python_unused_variables": expected_sql(_templates(lambda t: with_function(t, t.variables)), ["function", "line", "name"]),
+    "python_magic_numbers": expected_sql(_templates(lambda t: with_function(t, t.numbers)), ["function", "line", "value"]),
     "security_rule_findings": f"{FOUND} SELECT {FINDING_COLUMNS} FROM finding LEFT JOIN category USING (category)",
     "security_rules_from_table": f"{FOUND} SELECT submission_id, seq, category, evidence, line_number FROM finding",
     "security_rule_counts_by_category": f"{FOUND} SELECT category, severity, count(*) AS findings, count(DISTINCT submission_id) AS submissions FROM finding GROUP BY ALL",
@@ -164,19 +302,28 @@ SELECT doc_id, left({_strip('m[k]')}, 200) AS evidence, CAST(1 + {_NEWLINES.form
     "language_detection": f"{CODE_SQL} SELECT submission_id, {DETECTED} AS detected FROM raw",
     "python_syntax_check": expected_sql(_templates(lambda t: [(f"{t.error[0]} (line {t.error[1]})", t.error[1])] if t.error and t.language == "Python" else []), ["syntax_error", "syntax_error_line"]),
     "java_delimiter_check": f"{ACCEPTED} SELECT submission_id, tpl <> {next(i for i, t in enumerate(TEMPLATES) if t.filename == 'Bad.java')} AS ok, CASE WHEN tpl = {next(i for i, t in enumerate(TEMPLATES) if t.filename == 'Bad.java')} THEN 'Unexpected ''}}'' — expected '')'' (line 4)' END AS error, CASE WHEN tpl = {next(i for i, t in enumerate(TEMPLATES) if t.filename == 'Bad.java')} THEN 4 END AS line FROM accepted WHERE language = 'Java'",
-    "semantic_code_findings": f"{_EVENT} SELECT {_FIELDS}, CASE kind WHEN 0 THEN 'SQL Injection' WHEN 1 THEN 'Made Up' WHEN 2 THEN 'Performance' ELSE 'Maintainability' END AS category, {_LINE} FROM e WHERE agent = 'code' AND kind IN (0, 1, 2, 5)",
-    "semantic_security_findings": f"{_EVENT}, f AS (SELECT {_FIELDS}, CASE kind WHEN 0 THEN 'SQL Injection' ELSE 'Missing Input Validation' END AS category, CASE kind WHEN 0 THEN 'CWE-89' ELSE 'CWE-20' END AS cwe_id, 'e' || user_id AS evidence, {_LINE} FROM e WHERE agent = 'security' AND kind IN (0, 1, 2, 5)) SELECT *, CAST({RISK} AS DOUBLE) AS risk_score FROM f",
+    "semantic_code_findings": f"{_EVENT} {_CODE_REPLIES}",
+    "semantic_security_findings": f"{_EVENT}, f AS ({_SECURITY_REPLIES}) SELECT *, CAST({RISK} AS DOUBLE) AS risk_score FROM f",
     "latest_result": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "python_naming": expected_sql(_templates(lambda t: t.names), ["name", "line", "suggestion"]),
     "python_unused_imports": expected_sql(_templates(lambda t: t.imports), ["name", "line"]),
-    "python_classes": expected_sql(_templates(lambda t: t.classes), ["name", "line", "span", "methods", "abstract_methods", "concrete"]),
-    "java_method_metrics": f"{METHODS} SELECT submission_id, name, line, CAST({_NEWLINES.format('body')} + 1 AS INTEGER) AS span, CAST({_count(java_checks.DECISION, 'body')} + 1 AS INTEGER) AS cyclomatic, {_cognitive} AS cognitive, CAST(len(list_filter(string_split({_inside}, ','), lambda x: regexp_matches(x, '\\S'))) AS INTEGER) AS parameters FROM bodied WHERE name NOT IN ({', '.join(map(quoted, config.JAVA_CONTROL))})",
-    "java_class_checks": f"{CLASSES} SELECT submission_id, name, line, CAST({_NEWLINES.format('body')} + 1 AS INTEGER) AS span, CAST({_count(java_checks.METHOD, 'body')} AS INTEGER) AS methods, CAST({_count(java_checks.FIELD, 'body')} AS INTEGER) AS fields, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(body, {quoted(java_checks.CREATED)}, 1)), lambda x: x NOT IN ({', '.join(map(quoted, config.JAVA_UTILITIES))}))), ',') AS concrete FROM bodied",
-    "java_interface_checks": f"{INTERFACES} SELECT submission_id, name, line, CAST({_count(java_checks.INTERFACE_METHOD, 'body')} AS INTEGER) AS methods FROM bodied WHERE body IS NOT NULL",
-    "java_unused_imports": f"{_found(java_checks.IMPORT)} SELECT submission_id, name, line FROM found WHERE len(regexp_extract_all(code, '\\b' || regexp_extract(name, '[^.]*$') || '\\b')) <= 1",
-    "java_halstead": f"{_java_rows}, t AS (SELECT submission_id, list_filter(regexp_extract_all(code, {quoted(java_checks.TOKEN)}), lambda x: x IN ({', '.join(map(quoted, config.JAVA_OPERATORS))}) OR regexp_matches(x, '^[A-Za-z_]\\w*$') OR regexp_matches(x, '^\\d+$')) AS t FROM j) SELECT submission_id, CASE WHEN len(t) = 0 THEN 1.0 ELSE len(t) * log2(len(list_distinct(t))) END AS volume FROM t",
+    "python_classes": expected_sql(_templates(lambda t: t.classes), ["name", "line", "span", "methods", "abstract_methods", "abstract_base", "concrete"]),
+    "java_method_metrics": f"{METHODS} SELECT * EXCLUDE (k) FROM ({JAVA_METHODS})",
+    "java_class_checks": f"{CLASSES} SELECT submission_id, name, line, span, methods, fields, array_to_string(concrete, ',') AS concrete FROM ({JAVA_CLASSES})",
+    "java_interface_checks": f"{INTERFACES} SELECT * EXCLUDE (k) FROM ({JAVA_INTERFACES})",
+    "java_unused_imports": f"{_found(java_checks.IMPORT)} SELECT * EXCLUDE (k) FROM ({JAVA_IMPORTS})",
+    "java_halstead": f"{_java_rows} SELECT * FROM ({JAVA_VOLUMES})",
+    "python_halstead": f"{ACCEPTED}, {_table('py_tokens', ['tokens', 'vocabulary'], [(i, *t.halstead) for i, t in enumerate(TEMPLATES) if t.halstead])} SELECT submission_id, tokens * log2(vocabulary) AS volume FROM accepted JOIN py_tokens USING (tpl)",
+    "code_findings": f"{_ANALYSED} SELECT * EXCLUDE (place), CAST(row_number() OVER (PARTITION BY submission_id ORDER BY place) - 1 AS BIGINT) AS seq, 'static_analysis' AS source FROM reported",
+    "code_findings_with_replies": f"""{_ANALYSED}, event AS ({_EVENT} {_CODE_REPLIES}),
+both_kinds AS (SELECT submission_id, title, severity, category, line_number, confidence_score, 'static_analysis' AS source FROM reported UNION ALL SELECT submission_id, title, severity, category, line_number, confidence_score, 'llm_semantic' FROM event)
+SELECT b.*, filename FROM both_kinds b JOIN accepted USING (submission_id)""",
+    "code_file_metrics": f"{_ANALYSED} SELECT submission_id, loc, functions, cyclomatic, cognitive, {_tenth('volume')} AS halstead_volume, {_INDEX} AS maintainability_index FROM metric",
+    "code_quality_scores": f"{_QUALITY} SELECT submission_id, filename, language, CAST(round_even((a + b) / 2.0, 0) AS INTEGER) AS quality_score, b AS maintainability_score, a AS complexity_score, {_INDEX} AS maintainability_index, {_tenth('cyclomatic')} AS average_cyclomatic_complexity, {_tenth('cognitive')} AS average_cognitive_complexity FROM scored",
+    "code_quality_scores_with_replies": f"{_QUALITY} SELECT submission_id, CAST(round_even((a + c) / 2.0, 0) AS INTEGER) AS quality_score, c AS maintainability_score, a AS complexity_score FROM scored",
+    "security_merged_with_replies": f"{MERGED_WITH_REPLIES} SELECT m.* EXCLUDE (seq), filename FROM merged m JOIN accepted USING (submission_id)",
     "maintainability_index": f"WITH d AS (SELECT doc_id, len({_LINES}) AS loc, regexp_extract_all(text, '[A-Za-z]+') AS t FROM documents WHERE length(text) > 0), v AS (SELECT doc_id, CAST(loc AS INTEGER) AS loc, CASE WHEN len(t) > 0 THEN len(t) * log2(len(list_distinct(t))) ELSE 1.0 END AS v FROM d) SELECT doc_id, loc, CAST(printf('%.1f', greatest(0, least(100, (171 - 5.2 * ln(greatest(v, 1)) - 0.23 * 2.5 - 16.2 * ln(greatest(loc, 1))) * 100 / 171))) AS DOUBLE) AS maintainability_index FROM v",
-    "scoring_formulas": f"WITH g AS (SELECT l_orderkey, avg(CAST(l_quantity AS BIGINT) % 30 + 1) AS mean, sum({_case('l_returnflag', {'A': 2, 'N': 5, 'R': 10}, 3)}) AS cost FROM lineitem GROUP BY 1), s AS (SELECT l_orderkey, CAST(round_even(least(100, greatest(10, 100 - (mean - 1) * 5)), 0) AS BIGINT) AS a, CAST(greatest(0, 100 - cost) AS BIGINT) AS b FROM g) SELECT l_orderkey, a AS complexity_score, b AS maintainability_score, CAST(round_even((a + b) / 2.0, 0) AS BIGINT) AS quality_score FROM s",
+    "scoring_formulas": f"WITH g AS (SELECT l_orderkey, avg(CAST(l_quantity AS BIGINT) % 30 + 1) AS mean, sum({_case('l_returnflag', {'A': 2, 'N': 5, 'R': 10}, 3)}) AS cost FROM lineitem GROUP BY 1), s AS (SELECT l_orderkey, CAST(round_even(least(100, greatest(10, 100 - (mean - 1) * 5)), 0) AS INTEGER) AS a, CAST(greatest(0, 100 - cost) AS INTEGER) AS b FROM g) SELECT l_orderkey, a AS complexity_score, b AS maintainability_score, CAST(round_even((a + b) / 2.0, 0) AS INTEGER) AS quality_score FROM s",
     "document_profile": f"WITH d AS (SELECT doc_id, {_strip('coalesce(text, chr(32))')} AS content FROM documents) SELECT doc_id, sha256(content) AS content_hash, CAST(length(content) AS INTEGER) AS char_count, CAST({_WORDS} AS INTEGER) AS word_count FROM d",
     "document_chunks": f"{_chunks(config.CHUNK_CHARS, config.CHUNK_OVERLAP)} SELECT doc_id || '::chunk-' || chunk_index AS chunk_id, doc_id, chunk_index, CAST(length(text) AS INTEGER) AS chars, md5(text) AS text_md5, lang AS category, source AS source_title FROM chunk",
     "document_chunks_without_overlap": f"{_chunks(400, 0)} SELECT doc_id AS document_id, count(*) AS chunks, CAST(max(length(text)) AS INTEGER) AS longest FROM chunk GROUP BY doc_id",

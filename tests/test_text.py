@@ -27,7 +27,7 @@ def test_matches_have_the_lines_that_finditer_has(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     for p in (r"a+", r"[({]", r"\s+b", r"\w+\s*=", "é."):
         for i, all_of, first in df.select("i", text.matches(p, F.col("t")), text.line_matches(p, F.col("t"), 3)).collect():
-            found = [(texts[i][: m.start()].count("\n") + 1, m[0], texts[i][: m.start()]) for m in re.finditer(p, texts[i])]
+            found = [(texts[i][: m.start()].count("\n") + 1, m[0], m.end()) for m in re.finditer(p, texts[i])]
             if "\\s" in p and re.search("[\x1c-\x1f]", texts[i]):
                 continue  # Java's white space leaves these out
             assert [tuple(x) for x in all_of] == found
