@@ -7,6 +7,12 @@ import json
 import re
 
 import pandas as pd
+
+try:
+    import yaml
+except ImportError:  # flat headers are read without it
+    yaml = None
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +62,29 @@ def parse_header(header: str) -> dict:
     return found
 
 
+def read_header(header: str) -> dict:
+    """The fields of a header: by the YAML library where there is one, else of its flat subset."""
+    if yaml is None:
+        return parse_header(header)
+    try:
+        found = yaml.safe_load(header) or {}
+    except yaml.YAMLError as e:
+        raise ValueError(f"no YAML: {e}") from e
+    if not isinstance(found, dict):
+        raise ValueError("not a mapping")
+    return found
+
+
+def _date(given) -> datetime.date | None:
+    if isinstance(given, datetime.datetime):
+        return given.date()
+    return given if given is None or isinstance(given, datetime.date) else datetime.date.fromisoformat(given)
+
+
 def _metadata(header: str) -> dict:
     """A header as the fields of KNOWLEDGE_HEADER, or what is wrong with it under ``problem``."""
     try:
-        found = parse_header(header)
+        found = read_header(header)
         for name in ("id", "title"):
             if not isinstance(found.get(name), str) or not found[name]:
                 raise ValueError(f"{name} is missing")
@@ -68,12 +93,14 @@ def _metadata(header: str) -> dict:
         lists = {}
         for name in ("languages", "tags"):
             lists[name] = found.get(name, [])
-            if not isinstance(lists[name], list):
-                raise ValueError(f"{name} is no list")
-        given = found.get("last_updated")
+            if not isinstance(lists[name], list) or not all(isinstance(x, str) for x in lists[name]):
+                raise ValueError(f"{name} is no list of texts")
+        for name in ("owasp_category", "cwe_id"):
+            if not isinstance(found.get(name), str | None):
+                raise ValueError(f"{name} is no text")
         return {
             "id": found["id"], "title": found["title"], "category": found["category"], "owasp_category": found.get("owasp_category"), "cwe_id": found.get("cwe_id"),
-            **lists, "source": found.get("source", config.DEFAULT_SOURCE), "version": int(found.get("version", 1)), "last_updated": datetime.date.fromisoformat(given) if given else None, "problem": None,
+            **lists, "source": found.get("source", config.DEFAULT_SOURCE), "version": int(found.get("version", 1)), "last_updated": _date(found.get("last_updated")), "problem": None,
         }
     except (ValueError, TypeError) as e:
         return dict.fromkeys(("id", "title", "category", "owasp_category", "cwe_id", "languages", "tags", "source", "version", "last_updated")) | {"problem": str(e)}

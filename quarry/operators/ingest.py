@@ -119,10 +119,28 @@ def ingest_texts(raw: DataFrame) -> DataFrame:
     return checked(accepted_texts(raw))
 
 
+def identified(raw: DataFrame, seed: int | None = None) -> DataFrame:
+    """Raw submissions with a random UUID where they have no submission_id. An id is drawn from the
+    plan's seed and the row's place in its partition, so that a task that runs again draws the same."""
+    made = F.uuid() if seed is None else F.expr(f"uuid({seed}L)")
+    return raw.withColumn("submission_id", F.coalesce("submission_id", made))
+
+
+def _accepted_name(filename: Column) -> Column:
+    ending = F.lower(filename)
+    found = F.endswith(ending, F.lit(config.ACCEPTED_EXTENSIONS[0])) | F.endswith(ending, F.lit(config.ACCEPTED_EXTENSIONS[1]))
+    return F.coalesce(found, F.lit(False))
+
+
+def rejected_files(raw: DataFrame) -> DataFrame:
+    """(submission_id, problem) of files that don't pass: of another ending, or whose code is null since it is no UTF-8."""
+    problem = F.when(~_accepted_name(F.col("filename")), F.lit("file type is not accepted")).when(F.col("code").isNull(), F.lit("file is not UTF-8"))
+    return raw.select("submission_id", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
 def accepted_files(raw: DataFrame) -> DataFrame:
     """Files (submission_id, filename, language, code) with an accepted ending: code cut to the limit."""
-    ending = F.lower("filename")
-    good = raw.where(F.endswith(ending, F.lit(config.ACCEPTED_EXTENSIONS[0])) | F.endswith(ending, F.lit(config.ACCEPTED_EXTENSIONS[1])))
+    good = raw.where(_accepted_name(F.col("filename")) & F.col("code").isNotNull())
     return good.select("submission_id", "filename", F.coalesce("language", filename_language(F.col("filename"))).alias("language"), F.left("code", F.lit(config.MAX_CODE_CHARS)).alias("code"), F.col("language").isNull().alias("language_auto_detected"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,20 @@ def security_findings(submissions: DataFrame, responses: DataFrame | None = None
     return merge.merge(out)
 
 
+def isolated(scanner):
+    """A scanner whose failure leaves the others' findings: it is run by itself and kept by a reliable
+    checkpoint (``spark.checkpoint.dir``), and gives no rows where that fails."""
+
+    def scan(submissions: DataFrame) -> DataFrame:
+        try:
+            return scanner(submissions).checkpoint()
+        except Exception as e:  # whatever a foreign tool raises
+            warnings.warn(f"a scanner failed and is left out: {e}", RuntimeWarning, stacklevel=2)
+            return no_findings(submissions)
+
+    return scan
+
+
 def no_findings(submissions: DataFrame) -> DataFrame:
     """A scanner for a tool that is not connected yet: no rows, of the right schema."""
     return rules.scan(submissions.limit(0))

@@ -26,6 +26,22 @@ def ingest_submissions(spark, sf_dir):
     return ingest.response(rows)
 
 
+def ingest_checked(spark, sf_dir):
+    """Submissions with the syntax check that they pass at their creation."""
+    return ingest.response(ingest.ingest_texts(submissions_raw(spark, sf_dir)))
+
+
+def _files_raw(spark, sf_dir):
+    """Submissions as files: some without UTF-8, some of another type."""
+    raw = submissions_raw(spark, sf_dir).withColumn("filename", F.coalesce("filename", F.lit("notes.txt")))
+    lost = F.col("submission_id").cast("long") % 7 == 0
+    return raw.withColumns({"language": F.lit(None).cast("string"), "code": F.when(~lost, F.col("code"))})
+
+
+def ingest_file_rejects(spark, sf_dir):
+    return ingest.rejected_files(_files_raw(spark, sf_dir))
+
+
 def ingest_rejects(spark, sf_dir):
     return ingest.rejected_texts(submissions_raw(spark, sf_dir))
 
@@ -124,6 +140,26 @@ def latest_result(spark, sf_dir):
     return rows.select("user_id", "event_id", "event_type", "value")
 
 
+def result_lookup(spark, sf_dir):
+    """Results of one key, the last of it alone: a point lookup that the scan can prune by."""
+    events = _read(spark, sf_dir, "events")
+    return results.latest(results.by_id(events, 7, "user_id"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+def results_listed(spark, sf_dir):
+    """All results and their number."""
+    rows, total = results.listed(_read(spark, sf_dir, "events").select("event_id", "user_id", "value"))
+    return rows.withColumn("total", F.lit(total).cast("long"))
+
+
+def submission_status(spark, sf_dir):
+    """Status of every order's submission: results, failures and started analyses by the key's remainder."""
+    rows = submissions_raw(spark, sf_dir).select("submission_id")
+    of = lambda k: rows.where(F.col("submission_id").cast("long") % 5 == k)
+    done = of(1).withColumn("score", F.lit(1))
+    return results.with_results(rows, done, started=of(2).union(of(1)), failed=of(3)).select("submission_id", "status")
+
+
 def submissions_with_results(spark, sf_dir):
     scores = scoring.scan_security(_submissions(spark, sf_dir).where(F.col("language") == "Python"))[0]
     return results.with_results(submissions_raw(spark, sf_dir).select("submission_id"), scores.select("submission_id", "security_score"))
@@ -155,7 +191,7 @@ def python_classes(spark, sf_dir):
 
 
 def python_halstead(spark, sf_dir):
-    return python_checks.halstead(_submissions(spark, sf_dir))
+    return python_checks.halstead(_submissions(spark, sf_dir)).withColumn("volume", F.round("volume", 6))
 
 
 def java_method_metrics(spark, sf_dir):
@@ -176,7 +212,7 @@ def java_unused_imports(spark, sf_dir):
 
 
 def java_halstead(spark, sf_dir):
-    return java_checks.halstead(_submissions(spark, sf_dir))
+    return java_checks.halstead(_submissions(spark, sf_dir)).withColumn("volume", F.round("volume", 6))
 
 
 def maintainability_index(spark, sf_dir):
@@ -266,6 +302,12 @@ def corpus_manifest_totals(spark, sf_dir):
     return corpus.totals(docs, corpus.chunks(docs))
 
 
+def corpus_prepared(spark, sf_dir):
+    """Totals of a prepared corpus as one JSON text."""
+    _, totals = corpus.prepare(_knowledge(spark, sf_dir))
+    return totals.select(F.to_json(F.struct("document_count", "chunk_count")).alias("manifest"))
+
+
 def duplicate_document_ids(spark, sf_dir):
     return corpus.duplicate_ids(_read(spark, sf_dir, "conversations"), "conv_id")
 
@@ -276,7 +318,7 @@ def front_matter_parse(spark, sf_dir):
     head = F.concat(F.lit("---\nid: doc-"), F.col("doc_id"), F.lit('\ntitle: "Title '), F.col("source"), F.lit('"\ncategory: '), F.when(k == 1, F.lit("other")).otherwise(F.lit("secure_coding")), F.lit("\ncwe_id: CWE-"), F.col("doc_id"), F.lit("\nlanguages: [python, java]\nlast_updated: 2024-01-15\n---\n\n"))
     value = F.concat(F.when(k == 2, F.lit("")).when(k == 3, F.replace(head, F.lit("id: doc-"), F.lit("key: doc-"))).otherwise(head), F.coalesce("text", F.lit("")), F.lit("\n"))
     rows = corpus.documents(d.select(F.concat(F.lit("d/"), F.col("doc_id")).alias("file_path"), value.alias("value")))
-    return rows.where("problem is null").select("file_path", "id", "title", "category", "cwe_id", F.array_join("languages", ",").alias("languages"), "source", "version", F.date_format("last_updated", "yyyy-MM-dd").alias("last_updated"), "content_hash")
+    return rows.select("file_path", "problem", "id", "title", "category", "cwe_id", F.array_join("languages", ",").alias("languages"), "source", "version", F.date_format("last_updated", "yyyy-MM-dd").alias("last_updated"), F.when(F.col("problem").isNull(), F.col("content_hash")).alias("content_hash"))
 
 
 def prompt_assembly(spark, sf_dir):
@@ -288,7 +330,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         security_scores, security_rule_findings, security_rules_from_table, security_rule_counts_by_category, security_merged_findings, document_secrets, risk_scores,
-        ingest_submissions, ingest_rejects, ingest_files, language_detection, python_syntax_check, java_delimiter_check,
+        ingest_submissions, ingest_checked, ingest_rejects, ingest_files, ingest_file_rejects, result_lookup, results_listed, submission_status, corpus_prepared, language_detection, python_syntax_check, java_delimiter_check,
         semantic_code_findings, semantic_security_findings, latest_result, submissions_with_results,
         python_function_metrics, python_naming, python_unused_imports, python_unused_variables, python_magic_numbers, python_classes, python_halstead, security_merged_with_replies, code_findings_with_replies, code_quality_scores_with_replies,
         java_method_metrics, java_class_checks, java_interface_checks, java_unused_imports, java_halstead,

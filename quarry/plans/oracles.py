@@ -213,6 +213,30 @@ def _nested(name: str, query: str, rows: str) -> str:
     return f"{name} AS ({query} {rows})"
 
 
+# Brackets of Java sources on a stack, one token a step: texts and comments are left out beforehand.
+_HIDDEN = r"""//[^\n]*|/\*(?s:.*?)\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'"""
+_OPENS, _CLOSES = "('{', '(', '[')", "('}', ')', ']')"
+_POP = "[1:len(held) - 1]"
+_WRONG = f"x IN {_CLOSES} AND (len(held) = 0 OR held[len(held)] <> x)"
+BALANCE = (
+    ACCEPTED.replace("WITH template", "WITH RECURSIVE template", 1)
+    + f""",
+bracket AS (SELECT submission_id, regexp_extract_all(regexp_replace(code, {quoted(_HIDDEN)}, '', 'g'), {quoted(r"[{}()\[\]\n]")}) AS t FROM accepted WHERE language = 'Java'),
+stack AS (
+  SELECT submission_id, t, 0 AS n, CAST([] AS VARCHAR[]) AS held, CAST([] AS INTEGER[]) AS held_lines, 1 AS line, CAST(NULL AS VARCHAR) AS wrong FROM bracket
+  UNION ALL
+  SELECT submission_id, t, n + 1,
+    CASE WHEN x IN {_OPENS} THEN list_append(held, {_case("x", {"{": quoted("}"), "(": quoted(")"), "[": quoted("]")}, "NULL")}) WHEN x IN {_CLOSES} THEN held{_POP} ELSE held END,
+    CASE WHEN x IN {_OPENS} THEN list_append(held_lines, line) WHEN x IN {_CLOSES} THEN held_lines{_POP} ELSE held_lines END,
+    line + CASE WHEN x = chr(10) THEN 1 ELSE 0 END,
+    CASE WHEN {_WRONG} THEN 'Unexpected ' || chr(39) || x || chr(39) || ' — expected ' || chr(39) || coalesce(held[len(held)], 'nothing') || chr(39) || ' (line ' || line || ')' END
+  FROM (SELECT *, t[n + 1] AS x FROM stack WHERE wrong IS NULL AND n < len(t))),
+ended AS (SELECT *, {_case("held[len(held)]", {"}": quoted("{"), ")": quoted("(")}, quoted("["))} AS open, held_lines[len(held)] AS open_line FROM stack WHERE wrong IS NOT NULL OR n = len(t)),
+balance AS (SELECT submission_id, wrong IS NULL AND len(held) = 0 AS ok,
+  CASE WHEN wrong IS NOT NULL THEN wrong WHEN len(held) > 0 THEN 'Unclosed ' || chr(39) || open || chr(39) || ' (line ' || open_line || ')' END AS error,
+  CAST(CASE WHEN wrong IS NOT NULL THEN line WHEN len(held) > 0 THEN open_line END AS INTEGER) AS line FROM ended)"""
+)
+
 _EXPECTED = ", ".join((
     _table("py_function", ["k", "name", "line", "span", "cyclomatic", "cognitive", "parameters"], _numbered(lambda t: t.functions)),
     _table("py_number", ["k", "name", "line", "value"], _numbered(lambda t: with_function(t, t.numbers))),
@@ -301,7 +325,16 @@ SELECT doc_id, left({_strip('m[k]')}, 200) AS evidence, CAST(1 + {_NEWLINES.form
     "ingest_files": f"{CODE_SQL} SELECT submission_id, filename, CASE WHEN lower(filename) LIKE '%.java' THEN 'Java' ELSE 'Python' END AS language, true AS language_auto_detected, CAST(least(length(code), {config.MAX_CODE_CHARS}) AS INTEGER) AS code_length FROM raw WHERE lower(filename) LIKE '%.py' OR lower(filename) LIKE '%.java'",
     "language_detection": f"{CODE_SQL} SELECT submission_id, {DETECTED} AS detected FROM raw",
     "python_syntax_check": expected_sql(_templates(lambda t: [(f"{t.error[0]} (line {t.error[1]})", t.error[1])] if t.error and t.language == "Python" else []), ["syntax_error", "syntax_error_line"]),
-    "java_delimiter_check": f"{ACCEPTED} SELECT submission_id, tpl <> {next(i for i, t in enumerate(TEMPLATES) if t.filename == 'Bad.java')} AS ok, CASE WHEN tpl = {next(i for i, t in enumerate(TEMPLATES) if t.filename == 'Bad.java')} THEN 'Unexpected ''}}'' — expected '')'' (line 4)' END AS error, CASE WHEN tpl = {next(i for i, t in enumerate(TEMPLATES) if t.filename == 'Bad.java')} THEN 4 END AS line FROM accepted WHERE language = 'Java'",
+    "java_delimiter_check": f"{BALANCE} SELECT submission_id, ok, error, line FROM balance",
+    "ingest_checked": f"""{BALANCE}, {_table('py_error', ['message', 'place'], [(i, *t.error) for i, t in enumerate(TEMPLATES) if t.error and t.language == 'Python'])}
+SELECT submission_id, filename, language, language_auto_detected, CAST(length(code) AS INTEGER) AS code_length, CASE WHEN language = 'Java' THEN ok ELSE message IS NULL END AS syntax_valid,
+  CASE WHEN language = 'Java' THEN error WHEN message IS NOT NULL THEN message || ' (line ' || p.place || ')' END AS syntax_error, CASE WHEN language = 'Java' THEN line ELSE p.place END AS syntax_error_line
+FROM accepted a LEFT JOIN balance USING (submission_id) LEFT JOIN py_error p ON p.tpl = a.tpl""",
+    "ingest_file_rejects": f"{CODE_SQL}, f AS (SELECT submission_id, CASE WHEN NOT (lower(coalesce(filename, 'notes.txt')) LIKE '%.py' OR lower(coalesce(filename, 'notes.txt')) LIKE '%.java') THEN 'file type is not accepted' WHEN o_orderkey % 7 = 0 THEN 'file is not UTF-8' END AS problem FROM raw) SELECT * FROM f WHERE problem IS NOT NULL",
+    "result_lookup": "SELECT user_id, event_id, event_type FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 1",
+    "results_listed": "SELECT event_id, user_id, value, (SELECT count(*) FROM events) AS total FROM events",
+    "submission_status": f"{CODE_SQL} SELECT submission_id, CASE o_orderkey % 5 WHEN 1 THEN 'completed' WHEN 2 THEN 'analyzing' WHEN 3 THEN 'failed' ELSE 'received' END AS status FROM raw",
+    "corpus_prepared": f"""{_chunks(config.CHUNK_CHARS, config.CHUNK_OVERLAP)} SELECT '{{"document_count":' || (SELECT count(*) FROM documents) || ',"chunk_count":' || (SELECT count(*) FROM chunk) || '}}' AS manifest""",
     "semantic_code_findings": f"{_EVENT} {_CODE_REPLIES}",
     "semantic_security_findings": f"{_EVENT}, f AS ({_SECURITY_REPLIES}) SELECT *, CAST({RISK} AS DOUBLE) AS risk_score FROM f",
     "latest_result": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
@@ -312,8 +345,8 @@ SELECT doc_id, left({_strip('m[k]')}, 200) AS evidence, CAST(1 + {_NEWLINES.form
     "java_class_checks": f"{CLASSES} SELECT submission_id, name, line, span, methods, fields, array_to_string(concrete, ',') AS concrete FROM ({JAVA_CLASSES})",
     "java_interface_checks": f"{INTERFACES} SELECT * EXCLUDE (k) FROM ({JAVA_INTERFACES})",
     "java_unused_imports": f"{_found(java_checks.IMPORT)} SELECT * EXCLUDE (k) FROM ({JAVA_IMPORTS})",
-    "java_halstead": f"{_java_rows} SELECT * FROM ({JAVA_VOLUMES})",
-    "python_halstead": f"{ACCEPTED}, {_table('py_tokens', ['tokens', 'vocabulary'], [(i, *t.halstead) for i, t in enumerate(TEMPLATES) if t.halstead])} SELECT submission_id, tokens * log2(vocabulary) AS volume FROM accepted JOIN py_tokens USING (tpl)",
+    "java_halstead": f"{_java_rows} SELECT submission_id, round(volume, 6) AS volume FROM ({JAVA_VOLUMES})",
+    "python_halstead": f"{ACCEPTED}, {_table('py_tokens', ['tokens', 'vocabulary'], [(i, *t.halstead) for i, t in enumerate(TEMPLATES) if t.halstead])} SELECT submission_id, round(tokens * log2(vocabulary), 6) AS volume FROM accepted JOIN py_tokens USING (tpl)",
     "code_findings": f"{_ANALYSED} SELECT * EXCLUDE (place), CAST(row_number() OVER (PARTITION BY submission_id ORDER BY place) - 1 AS BIGINT) AS seq, 'static_analysis' AS source FROM reported",
     "code_findings_with_replies": f"""{_ANALYSED}, event AS ({_EVENT} {_CODE_REPLIES}),
 both_kinds AS (SELECT submission_id, title, severity, category, line_number, confidence_score, 'static_analysis' AS source FROM reported UNION ALL SELECT submission_id, title, severity, category, line_number, confidence_score, 'llm_semantic' FROM event)
@@ -331,6 +364,9 @@ SELECT b.*, filename FROM both_kinds b JOIN accepted USING (submission_id)""",
     "corpus_manifest_documents": f"{KNOWLEDGE} SELECT doc_id AS id, source AS title, lang AS category, 'd/' || doc_id || '.md' AS file_path, sha256(content) AS content_hash, CAST({_WORDS} AS INTEGER) AS word_count FROM k",
     "corpus_manifest_totals": f"{_chunks(config.CHUNK_CHARS, config.CHUNK_OVERLAP)}, n AS (SELECT (SELECT count(*) FROM documents) AS document_count, (SELECT count(*) FROM chunk) AS chunk_count) SELECT document_count, chunk_count, CAST(printf('%.2f', chunk_count / document_count) AS DOUBLE) AS average_chunks_per_document FROM n",
     "duplicate_document_ids": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1",
-    "front_matter_parse": f"SELECT 'd/' || doc_id AS file_path, 'doc-' || doc_id AS id, 'Title ' || source AS title, 'secure_coding' AS category, 'CWE-' || doc_id AS cwe_id, 'python,java' AS languages, '{config.DEFAULT_SOURCE}' AS source, 1 AS version, '2024-01-15' AS last_updated, sha256({_strip('coalesce(text, chr(32))')}) AS content_hash FROM documents WHERE doc_id % 5 IN (0, 4)",
+    "front_matter_parse": f"""WITH d AS (SELECT *, doc_id % 5 AS k FROM documents), j AS (SELECT *, CASE k WHEN 1 THEN 'category is unknown: other' WHEN 2 THEN 'missing or malformed front matter' WHEN 3 THEN 'id is missing' END AS problem FROM d)
+SELECT 'd/' || doc_id AS file_path, problem, CASE WHEN problem IS NULL THEN 'doc-' || doc_id END AS id, CASE WHEN problem IS NULL THEN 'Title ' || source END AS title, CASE WHEN problem IS NULL THEN 'secure_coding' END AS category,
+  CASE WHEN problem IS NULL THEN 'CWE-' || doc_id END AS cwe_id, CASE WHEN problem IS NULL THEN 'python,java' END AS languages, CASE WHEN problem IS NULL THEN '{config.DEFAULT_SOURCE}' END AS source,
+  CASE WHEN problem IS NULL THEN 1 END AS version, CASE WHEN problem IS NULL THEN '2024-01-15' END AS last_updated, CASE WHEN problem IS NULL THEN sha256({_strip('coalesce(text, chr(32))')}) END AS content_hash FROM j""",
     "prompt_assembly": "WITH p AS (SELECT conv_id, 'Be brief.' || chr(10) || chr(10) || string_agg(upper(coalesce(role, 'user')) || ': ' || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn, text) AS prompt FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(length(prompt) AS INTEGER) AS chars, md5(prompt) AS prompt_md5 FROM p",
 }

@@ -91,8 +91,11 @@ HUGE_LINE, HUGE_TIMES = "x = 1\n", 4_000
 
 
 def submissions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(submission_id, filename, language, code) of every order, as SUBMISSIONS_RAW."""
+    """(submission_id, filename, language, code) of every order, as SUBMISSIONS_RAW.
+
+    A key of eight bytes becomes a whole source: keys are dealt over the cores before that."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    orders = orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     key, at = F.col("o_orderkey").cast("string"), (F.pmod("o_orderkey", F.lit(len(TEMPLATES))) + 1).cast("int")
     one = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), at)
     code = F.replace(one([t.code for t in TEMPLATES]), F.lit("~"), key)

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry import config
 from quarry.operators import corpus
 
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:
-    """(submission_id, filename, language, code) of the source files below a folder; the
-    path is the id, the language is left to be detected, files that are no UTF-8 are left out."""
+    """(submission_id, filename, language, code) of all files below a folder; the path is the id,
+    the language is left to be detected, and code is null where a file is no UTF-8. What
+    ``ingest.accepted_files`` does not take is in ``ingest.rejected_files``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    rows = files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("code"))
-    name = F.substring_index("path", "/", -1)
-    ends = F.lower(name)
-    good = F.endswith(ends, F.lit(config.ACCEPTED_EXTENSIONS[0])) | F.endswith(ends, F.lit(config.ACCEPTED_EXTENSIONS[1]))
-    return rows.where(good & F.col("code").isNotNull()).select(F.col("path").alias("submission_id"), name.alias("filename"), F.lit(None).cast("string").alias("language"), "code")
+    code = F.try_validate_utf8(F.col("content").cast("string"))
+    return files.select(
+        F.col("path").alias("submission_id"),
+        F.substring_index("path", "/", -1).alias("filename"),
+        F.lit(None).cast("string").alias("language"),
+        code.alias("code"),
+    )
 
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
@@ -37,15 +39,19 @@ class KnowledgeBaseError(Exception):
     """A knowledge base that can't be loaded."""
 
 
-def knowledge_base(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """The documents below a folder. ``strict`` raises on a bad one, else it is left out;
-    an id that several documents have raises either way."""
+def _documents(spark: SparkSession, path: str) -> DataFrame:
     try:
-        docs = corpus.documents(markdown_files(spark, path))
+        return corpus.documents(markdown_files(spark, path))
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             raise KnowledgeBaseError(f"knowledge base not found: {path}") from e
         raise
+
+
+def knowledge_base(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """The documents below a folder. ``strict`` raises on a bad one, else it is left out;
+    an id that several documents have raises either way."""
+    docs = _documents(spark, path)
     if strict and (bad := docs.where("problem is not null").orderBy("file_path").first()):
         raise KnowledgeBaseError(f"{bad.file_path}: {bad.problem}")
     good = docs.where("problem is null").drop("problem")
@@ -55,8 +61,10 @@ def knowledge_base(spark: SparkSession, path: str, strict: bool = True) -> DataF
 
 
 def document_by_id(spark: SparkSession, path: str, document_id: str) -> DataFrame:
-    """The document of one id; raises where there is none."""
-    found = knowledge_base(spark, path, strict=False).where(F.col("id") == document_id)
-    if found.isEmpty():
-        raise KnowledgeBaseError(f"no document has the id {document_id}")
+    """The document of one id; raises where there is none or several have it. Reads no other one twice."""
+    docs = _documents(spark, path)
+    found = docs.where(F.col("problem").isNull() & (F.col("id") == document_id)).drop("problem")
+    held = len(found.select("id").take(2))
+    if held != 1:
+        raise KnowledgeBaseError(f"{'several documents have' if held else 'no document has'} the id {document_id}")
     return found

@@ -24,10 +24,31 @@ def listed(results: DataFrame) -> tuple[DataFrame, int]:
     return results, results.count()
 
 
-def with_results(submissions: DataFrame, results: DataFrame, key: str = "submission_id") -> DataFrame:
-    """All submissions, with their result where there is one, and their status."""
-    found = submissions.join(results.withColumn("__found", F.lit(True)), key, "left")
-    return found.withColumn("status", F.when(F.col("__found"), F.lit("completed")).otherwise(F.lit("received"))).drop("__found")
+def with_results(
+    submissions: DataFrame,
+    results: DataFrame,
+    key: str = "submission_id",
+    started: DataFrame | None = None,
+    failed: DataFrame | None = None,
+) -> DataFrame:
+    """All submissions, with their result where there is one, and their status: completed with a
+    result, else failed or analyzing where their key is in those tables, else received."""
+    found = submissions.join(results.withColumn("__found", F.lit("completed")), key, "left")
+    status = [F.col("__found")]
+    for name, rows in (("failed", failed), ("analyzing", started)):
+        if rows is not None:
+            found = found.join(rows.select(key).distinct().withColumn(f"__{name}", F.lit(name)), key, "left")
+            status.append(F.col(f"__{name}"))
+    status = F.coalesce(*status, F.lit("received"))
+    return found.withColumn("status", status).drop("__found", "__failed", "__analyzing")
+
+
+def write_prepared(docs: DataFrame, chunk_rows: DataFrame, path: str) -> None:
+    """A prepared corpus as a folder: ``totals``, ``documents`` and ``chunks`` as JSON lines, each
+    written where its rows are, so that a corpus of any size has a manifest."""
+    corpus.totals(docs, chunk_rows).withColumn("generated_at", F.current_timestamp()).write.json(f"{path}/totals")
+    corpus.manifest_documents(docs).write.json(f"{path}/documents")
+    chunk_rows.write.json(f"{path}/chunks")
 
 
 def write_manifest(spark: SparkSession, manifest: dict, path: str) -> None:

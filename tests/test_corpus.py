@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import schemas
-from quarry.operators import corpus, prompts
+from quarry.operators import corpus, ingest, prompts
 from quarry.sources import files, results
 from quarry.streaming import scan
 
@@ -72,7 +72,42 @@ def test_source_files(spark, tmp_path):
     (tmp_path / "B.java").write_bytes(b"class B {}")
     (tmp_path / "c.py").write_bytes(b"\xff\xfe")
     (tmp_path / "d.txt").write_text("x")
-    assert {(r.filename, r.code) for r in files.source_files(spark, str(tmp_path)).collect()} == {("a.py", "x = 1\n"), ("B.java", "class B {}")}
+    raw = files.source_files(spark, str(tmp_path))
+    assert {(r.filename, r.code) for r in ingest.accepted_files(raw).collect()} == {("a.py", "x = 1\n"), ("B.java", "class B {}")}
+    lost = {r.submission_id.rpartition("/")[2]: r.problem for r in ingest.rejected_files(raw).collect()}
+    assert lost == {"c.py": "file is not UTF-8", "d.txt": "file type is not accepted"}
+
+
+def test_headers_with_and_without_the_library(monkeypatch):
+    flat = "id: a\ntitle: 'T: x'\ntags: [a, b]\nlast_updated: 2024-05-01\n"
+    assert corpus.parse_header(flat) == {"id": "a", "title": "T: x", "tags": ["a", "b"], "last_updated": "2024-05-01"}
+    full = flat + "category: identity\nnotes: |\n  one\n  two\nmore:\n  deep: 1\ncwe_id: \"CWE-\\x31\"\n"
+    if corpus.yaml is not None:
+        found = corpus._metadata(full)
+        assert found["problem"] is None and found["cwe_id"] == "CWE-1" and str(found["last_updated"]) == "2024-05-01"
+        assert corpus._metadata("id: [")["problem"].startswith("no YAML") and corpus._metadata("- a\n")["problem"] == "not a mapping"
+        assert corpus._metadata(flat.replace("[a, b]", "[1]") + "category: identity\n")["problem"] == "tags is no list of texts"
+    monkeypatch.setattr(corpus, "yaml", None)
+    assert corpus._metadata(flat + "category: identity\n")["problem"] is None and corpus._metadata(full)["problem"] is not None
+
+
+def test_prepared_folder(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "T", "identity", "a.md", "One.\n\nTwo.", "h", 2)], "id string, title string, category string, file_path string, content string, content_hash string, word_count int")
+    docs = docs.withColumns({"owasp_category": F.lit(None).cast("string"), "cwe_id": F.lit("x"), "languages": F.array(F.lit("p")), "tags": F.array(F.lit("t"))})
+    results.write_prepared(docs, corpus.chunks(docs), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out/chunks")).first().chunk_id == "a::chunk-0" and spark.read.json(str(tmp_path / "out/totals")).first().document_count == 1
+
+
+def test_ids_and_status(spark):
+    raw = spark.createDataFrame([(None, 1), ("x", 2), (None, 3)], "submission_id string, n int")
+    first, again = ({r.n: r.submission_id for r in ingest.identified(raw, 5).collect()} for _ in range(2))
+    assert first == again and first[2] == "x" and len(first[1]) == 36 and first[1] != first[3]
+    ids = [r.submission_id for r in ingest.identified(raw).collect()]
+    assert len(set(ids)) == 3
+    subs = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "submission_id string")
+    done, started, failed = (subs.where(F.col("submission_id").isin(*x)) for x in ("a", "abc", "c"))
+    out = results.with_results(subs, done.withColumn("score", F.lit(1)), started=started, failed=failed)
+    assert {r.submission_id: (r.score, r.status) for r in out.collect()} == {"a": (1, "completed"), "b": (None, "analyzing"), "c": (None, "failed"), "d": (None, "received")}
 
 
 def test_latest_and_lookup(spark):

@@ -1,5 +1,6 @@
 """The rule scan, merging, semantic replies and scores."""
 
+import dataclasses
 import random
 
 import pytest
@@ -54,6 +55,17 @@ def test_every_rule_finds_its_line(found):
         assert (str(i), category) in found
 
 
+def test_marks_lose_no_match(spark):
+    """The scan with plain marks before the patterns against the scan by patterns alone."""
+    rng = random.Random(8)
+    pieces = [*PYTHON_CASES.values(), *JAVA_CASES.values(), "API_\u212aEY = 'abcdefgh1'", "Pa\u017fsword: \"abcdefgh1\"", "execute(", "request", "\n", "hashlib.md5 (x, password", ")"]
+    rows = _submissions(spark, [(rng.choice(["Python", "Java"]), "\n".join(rng.choice(pieces) for _ in range(rng.randrange(6)))) for _ in range(200)])
+    bare = tuple(dataclasses.replace(r, marks=()) for r in rules.RULES)
+    columns = ["submission_id", "seq", "category", "evidence", "line_number"]
+    found = sorted(rules.scan(rows).select(columns).collect())
+    assert len(found) > 200 and found == sorted(rules.scan(rows, bare).select(columns).collect())
+
+
 def test_lines_limits_language_and_evidence(spark):
     rows = [("Python", "a\nb\nos.system(x)\n"), ("Python", "os.system(a)\n" * 5), ("Java", "pickle.loads(x)"), ("Python", "x = 1"), ("Python", "yaml.load(f, Loader=SafeLoader)\nyaml.load(g)"), ("Python", "os.system  (" + "x" * 300)]
     out = rules.scan(_submissions(spark, rows)).orderBy("submission_id", "seq").collect()
@@ -137,3 +149,13 @@ def test_other_scanners_join_in(spark):
     other = lambda s: rules.scan(s).withColumn("category", F.lit("Path Traversal")).withColumn("source", F.lit("external_tool"))
     out = scoring.security_findings(subs, scanners=(rules.scan, scoring.no_findings, other)).collect()
     assert sorted((r.category, r.source) for r in out) == [("Command Injection", "static_rules"), ("Path Traversal", "external_tool")]
+
+
+def test_a_failing_scanner_is_left_out(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    subs = _submissions(spark, [("Python", "os.system(a)")])
+    broken = lambda s: rules.scan(s).withColumn("title", F.raise_error(F.lit("broken")).cast("string"))
+    unplanned = lambda s: s.select("no_such_column")
+    with pytest.warns(RuntimeWarning):
+        out = scoring.security_findings(subs, scanners=tuple(map(scoring.isolated, (broken, unplanned, rules.scan)))).collect()
+    assert [(r.category, r.seq) for r in out] == [("Command Injection", 2_000_030)]
