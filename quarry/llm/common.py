@@ -68,6 +68,17 @@ def remove(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def reshuffled(rows: DataFrame, key: str) -> DataFrame:
+    """An aggregate over ``key`` (a long), to be joined on it, with a shuffle of its own.
+
+    Spark joins an aggregate where its groups already lie, and then it can't split the hot
+    keys of the other side. Dealt out by another hash first, both sides of the join are plain
+    shuffles, whose skewed partitions adaptive execution splits."""
+    held = f"__{key}"
+    moved = rows.withColumnRenamed(key, held).withColumn(key, F.bitwise_not(F.bitwise_not(F.col(held))))
+    return moved.drop(held)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -2,6 +2,8 @@
 
 import os
 import random
+import time
+from collections import Counter
 
 import duckdb
 import pytest
@@ -30,6 +32,69 @@ def test_main_text():
     assert html_blocks.read("<p title=\"a > b\">x</p><p title='>'>y</p><p a=\"b>z").kept() == ["x", "y", "z"]
 
 
+def test_inline_noise_leaves_its_block_whole():
+    from quarry.llm import html_blocks
+
+    read = lambda html: html_blocks.read(html).kept()
+    assert read("<p>Hello <button>Share now</button> world</p>") == ["Hello world"]
+    assert read("<p>a<span class='ad'>Buy cheap</span> b<a class=skip-link>x</a><video>v</video></p>") == ["a b"]
+    assert read("<p>x <select><option>1<option>2</select> y <math><mi>n</mi><annotation>n</annotation></math>") == ["x y n"]
+    assert read("<div class='related-work'>out</div><p>in</p>") == ["in"]
+    assert read("<article><div class='related-work'>a</div><div id=social-history>b</div><div class='x notice'>c</div></article>") == ["a", "b"]
+    assert read("<article><header><h1>T</h1><p>Lead</p><p class=byline>By</p><time>May</time></header><p>x</article>") == ["T", "Lead", "x"]
+    assert read("<main><article>teaser</article><p>Own text</p></main>") == ["teaser", "Own text"]
+    assert read("<ul><li><p>a<li>b</ul>c") == ["a", "b", "c"]
+    assert read("a < b <!-- c") == ["a < b"] and read("x <b title='") == ["x"]
+
+
+def test_hostile_pages_take_linear_time():
+    from quarry.llm import html_blocks
+
+    n = 20_000
+    pages = [
+        "<b>x" * n + "</i>" * n, "<b><p>x</p>" * n, '<a b="x ' * n, '<a b="x ' * n + ">", "<div>x" * n + "</div>" * n, "<b><div>" + "<i>" * n + "</b>" * n,
+        "<" * n + ">", ("<header>" * 5_000 + "<p>x") * 4, "<ul><li>x" * n, "<nav>" * n + "<article>x</article>", "<!-- " * n, "<p>&#" * n, "<script>" * n, f"<p>{'x ' * 500_000}</p>",
+    ]
+    for html in pages:
+        start = time.process_time()
+        page = html_blocks.read(html)
+        page.kept({h for h, *_ in page.subtrees[::2]})
+        assert time.process_time() - start < 2, html[:20]
+
+
+def test_templates_by_brute_force(spark, words, monkeypatch):
+    """Subtrees counted over the trees that the pages were made from, by both ways of handing out the templates."""
+    rng = random.Random(17)
+
+    def tree(depth):
+        if depth == 2 or rng.random() < 0.5:
+            return ("p", words(rng, rng.randrange(3, 9)))
+        return ("div", *(tree(depth + 1) for _ in range(rng.randrange(1, 4))))
+
+    html = lambda t: f"<p>{t[1]}</p>" if t[0] == "p" else f"<div>{''.join(map(html, t[1:]))}</div>"
+    texts = lambda t: [t[1]] if t[0] == "p" else [x for c in t[1:] for x in texts(c)]
+    subtrees = lambda t: {t} | ({s for c in t[1:] for s in subtrees(c)} if t[0] == "div" else set())
+    hosts = {}
+    for h, n in enumerate((2, 4, 5, 9, 12, 25)):
+        common = [tree(0) for _ in range(6)]
+        rate = [rng.choice((0.3, 0.6, 1.0)) for _ in common]
+        hosts[h] = [[("p", words(rng, 200)), *(c for c, r in zip(common, rate, strict=True) if rng.random() < r), tree(0)] for _ in range(n)]
+    rows, expected = [], []
+    for h, pages in hosts.items():
+        held = Counter(s for page in pages for s in {s for t in page for s in subtrees(t)})
+        n = len(pages)
+        gone = {s for s, k in held.items() if n >= 4 and k >= max(min(10, n), 0.5 * n)}
+        left = lambda t: [] if t in gone else [t[1]] if t[0] == "p" else [x for c in t[1:] for x in left(c)]  # noqa: E731, B023
+        for i, page in enumerate(pages):
+            rows.append((None if i % 3 else 100 * h + i, f"http://h{h}.example/{i}", f"<body>{''.join(map(html, page))}</body>"))
+            expected.append((rows[-1][0], rows[-1][1], "\n\n".join(x for t in page for x in left(t))))
+    assert any(e[2] != "\n\n".join(x for t in p for x in texts(t)) for e, p in zip(expected, (p for ps in hosts.values() for p in ps), strict=True))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (op1.BROADCAST_KEYS, -1):
+        monkeypatch.setattr(op1, "BROADCAST_KEYS", limit)
+        assert sorted(((r.page_id, r.url, r.text) for r in op1.main_text(spark, pages).collect()), key=repr) == sorted(expected, key=repr)
+
+
 def test_templates_of_a_host_go(spark, words, monkeypatch):
     rng = random.Random(2)
     body = lambda i, extra: f"<body>{extra}<div><p>{words(rng, 20)} {i}</p></div></body>"
