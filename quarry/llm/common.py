@@ -13,16 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch at most: whole texts of any length pass through, a few at a time.
-BATCH_ROWS = 1_000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch at most: whole texts of any length pass through, a few at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+#: Bytes of input, as they lie on disk, of one range of a table that is dealt out by ranges.
+RANGE_BYTES = 64 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Holds the session's Arrow batches at ``BATCH_ROWS`` rows, on both sides of a worker's pipe."""
-    now = int(spark.conf.get(_ROWS))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    """Holds the session's Arrow batches at ``BATCH_ROWS`` rows and about ``BATCH_BYTES``, on both sides of a
+    worker's pipe. Plans are run after this returns, so the session keeps the setting."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(str(spark.conf.get(name)).removesuffix("B").removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,12 +91,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches, rows: int = 512):
-    """Arrow batches in parts of at most so many rows, to keep few Python objects at a time.
-    At the end of a task its freed memory goes back to the system, since workers live on."""
+def ranges(spark: SparkSession, rows: DataFrame) -> int:
+    """Into how many ranges a table is dealt: as many as shuffles have partitions, or more where the plan's
+    statistics say that it is large."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # Spark's mark of a size that it doesn't know is larger
+    return max(shuffle_partitions(spark), -(-known // RANGE_BYTES))
+
+
+def slices(batches, rows: int = 512, size: int = 8 << 20):
+    """Arrow batches in parts of at most so many rows and, by their mean size, bytes, to keep few Python objects
+    at a time. At the end of a task its freed memory goes back to the system, since workers live on."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL("libc.so.6").malloc_trim(0)

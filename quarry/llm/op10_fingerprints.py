@@ -1,130 +1,189 @@
 """Document fingerprints by threshold-scaled sketches.
 
-A fingerprint keeps every shingle hash below a fixed fraction of the hash
-range, so sketches merge by union and estimate containment between texts of
-any lengths. Shingles are ``SHINGLE_CHARS`` code points of the lower-cased text
-with white space runs made one space; a shorter text is one shingle.
-
-The fraction is ``1 / SCALE``. It would leave short texts empty, so a text that
-keeps fewer than ``LEAST`` hashes doubles its own fraction until it keeps that
-many or all; the fingerprint starts with that scale, and two sketches are
-compared below the smaller of their fractions, where both are complete.
-
-``with_next`` pairs every row with the next one in descending ``doc_id`` by one
-shuffle of the texts: rows go to ranges of ids, and the first row of each range
-goes to the range before it as well.
-
-Defined cases: a null text is an empty one, whose fingerprint is ``"1:"`` and
-whose likeness is 1 to another empty text and 0 to others. Rows of one
-``doc_id`` are ordered by text; null ids come last. A table of one row is its
-own next. Other columns are ignored.
+A fingerprint keeps every shingle hash below a fixed fraction, ``1 / SCALE``, of the
+hash range, whatever the text's length: sketches merge by union and estimate containment
+between texts of very unequal lengths. Shingles are ``SHINGLE_CHARS`` code points of the
+lower-cased text with white space runs made one space; a shorter text is one shingle.
+Of a hash the upper 32 bits are kept.
+
+A text with at most ``WHOLE`` shingles keeps all its hashes, which are exact against
+another such text. Against a longer text only those below the fraction can be looked up:
+none of them may be there, by a chance of 0.875 ** shingles (2e-8 for a passage of 150
+characters, 1.4 % for one of 47). Then there is no evidence: the containment is None, and
+the likeness falls back on what the other side says, or 0.
+
+``with_next`` pairs every row with the next one in descending ``doc_id`` by one shuffle
+of the texts: rows go to ranges of ids, one range to a task, and the first row of each
+range goes to the range before it as well. Ranges are cut at quantiles of a sample of at
+most ``CUT_SAMPLE`` ids, which decides on their sizes alone.
+
+Defined cases: a null text is an empty one, whose fingerprint is ``"8+:"`` and whose
+likeness is 1 to another empty text and 0 to others. Rows of one ``doc_id`` are ordered
+by text, and texts that begin alike stay in one range; null ids come last. A table of one
+row is its own next. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+from bisect import bisect_right
+from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, text_or_empty
+from .common import bounded_batches, ranges, slices, text_or_empty
 from .shingles import mixed
 
-SHINGLE_CHARS, SCALE, LEAST = 16, 64, 32
+SHINGLE_CHARS, SCALE, WHOLE = 16, 8, 64
+CUT_SAMPLE, TIE_CHARS = 200_000, 32
+#: Code points that are hashed together.
+STEP_CHARS = 1 << 19
+#: Up to so many ranges (50 MB) their table is broadcast; more are joined by shuffle.
+BROADCAST_RANGES = 500_000
 
 _SPACE = re.compile(r"\s+")
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_TOP = np.uint32((1 << 32) // SCALE)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    for k, base in enumerate((_BASE, _INVERSE)):
-        while len(_powers[k]) < n:
-            step = np.uint64(pow(base, len(_powers[k]), 1 << 64))
-            _powers[k] = np.concatenate([_powers[k], _powers[k] * step])
-    return _powers[0][:n], _powers[1][:n]
+@dataclass(frozen=True, eq=False)
+class Sketch:
+    """The kept hashes of a text, sorted; ``whole`` where none is left out."""
 
+    whole: bool
+    hashes: np.ndarray
 
-def shingle_hashes(text: str, k: int = SHINGLE_CHARS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    text = _SPACE.sub(" ", text.lower()).strip()
-    if not text:
-        return np.zeros(0, np.uint64)
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    k = min(k, len(c))
-    up, down = _tables(len(c))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * up, dtype=np.uint64)])
-    h = (sums[k:] - sums[:-k]) * down[: len(c) - k + 1]
-    return np.unique(mixed(h))
+    @property
+    def scaled(self) -> np.ndarray:
+        """The hashes below the fraction, which any two sketches have in common."""
+        return self.hashes[: np.searchsorted(self.hashes, _TOP)] if self.whole else self.hashes
 
 
-def sketch(text: str) -> tuple[int, np.ndarray]:
-    """The scale and the kept hashes of a text."""
-    h, scale = shingle_hashes(text), SCALE
-    while True:
-        kept = h[: np.searchsorted(h, np.uint64((1 << 64) // scale))] if scale > 1 else h
-        if scale == 1 or len(kept) >= LEAST:
-            return scale, kept
-        scale //= 2
+def _hashes(c: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of SHINGLE_CHARS code points, by doubling the runs' length; of a shorter text, its own."""
+    h, size, power = c.astype(np.uint64) + np.uint64(1), 1, _BASE
+    if len(h) < SHINGLE_CHARS:
+        for x in h[1:].tolist():
+            h[:1] = h[:1] * np.uint64(_BASE) + np.uint64(x)
+        return (mixed(h[:1]) >> np.uint64(32)).astype(np.uint32)
+    while size < SHINGLE_CHARS:
+        h = h[:-size] * np.uint64(power) + h[size:]
+        size, power = 2 * size, power * power & (1 << 64) - 1
+    return (mixed(h) >> np.uint64(32)).astype(np.uint32)
 
 
-def encoded(s: tuple[int, np.ndarray]) -> str:
-    return f"{s[0]}:{s[1].astype('>u8').tobytes().hex()}"
+def sketch(text: str) -> Sketch:
+    text = _SPACE.sub(" ", text.lower()).strip()
+    whole, kept = len(text) < SHINGLE_CHARS + WHOLE, []
+    for at in range(0, max(len(text) - SHINGLE_CHARS + 1, len(text) > 0), STEP_CHARS):
+        part = text[at : at + STEP_CHARS + SHINGLE_CHARS - 1]
+        h = _hashes(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32))
+        kept.append(h if whole else h[h < _TOP])
+    return Sketch(whole, np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint32))
 
 
-def decoded(fingerprint: str) -> tuple[int, np.ndarray]:
-    scale, _, kept = fingerprint.partition(":")
-    return int(scale), np.frombuffer(bytes.fromhex(kept), ">u8").astype(np.uint64)
+def encoded(s: Sketch) -> str:
+    """A fingerprint as text: the scale, a plus where it is whole, and the hashes in base 64."""
+    return f"{SCALE}{'+' if s.whole else ''}:{base64.b64encode(s.hashes.astype('>u4').tobytes()).decode()}"
 
 
-def _common(a, b) -> tuple[np.ndarray, np.ndarray]:
-    """The kept hashes below the smaller fraction of the two."""
-    top = np.uint64((1 << 64) // max(a[0], b[0]) - 1)
-    return a[1][a[1] <= top], b[1][b[1] <= top]
+def decoded(fingerprint: str) -> Sketch:
+    head, _, kept = fingerprint.partition(":")
+    if int(head.rstrip("+")) != SCALE:
+        raise ValueError(f"a fingerprint of another scale: {head}")
+    return Sketch(head.endswith("+"), np.frombuffer(base64.b64decode(kept), ">u4").astype(np.uint32))
 
 
-def merged(a, b) -> tuple[int, np.ndarray]:
+def merged(a: Sketch, b: Sketch) -> Sketch:
     """The sketch of two texts taken together."""
-    return max(a[0], b[0]), np.union1d(*_common(a, b))
+    both = np.union1d(a.hashes, b.hashes)
+    whole = a.whole and b.whole and len(both) <= WHOLE
+    return Sketch(whole, both if whole else np.union1d(a.scaled, b.scaled))
 
 
-def containment(a, b) -> float:
-    """Estimated share of the shingles of ``a`` that ``b`` has."""
-    x, y = _common(a, b)
-    return float(len(np.intersect1d(x, y, assume_unique=True)) / len(x)) if len(x) else float(not len(a[1]) and not len(b[1]))
+def containment(a: Sketch, b: Sketch) -> float | None:
+    """Estimated share of the shingles of ``a`` that ``b`` has; None where no hash of ``a`` can be looked up."""
+    x, y = (a.hashes, b.hashes) if a.whole and b.whole else (a.scaled, b.scaled)
+    if len(x):
+        return len(np.intersect1d(x, y, assume_unique=True)) / len(x)
+    return float(not len(b.hashes)) if a.whole and not len(a.hashes) else None
 
 
-def likeness(a, b) -> float:
+def likeness(a: Sketch, b: Sketch) -> float:
     """The larger of the two containments: 1 where one text lies in the other."""
-    return max(containment(a, b), containment(b, a))
-
-
-def with_next(spark: SparkSession, docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int]:
-    """Rows (bucket, ahead, doc_id, text), where ``ahead`` marks a copy of the
-    row that follows the last row of its bucket in descending ``doc_id``.
-
-    Ranges come from quantiles of the ids alone; the driver holds a number for
-    each range. A row's bucket falls as its id rises, so bucket 0 comes first.
-    """
-    n = buckets or shuffle_partitions(spark)
-    ids = docs.select("doc_id")
-    cuts = sorted(set(ids.dropna().approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)), reverse=True)
-    above = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    where = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(above)
-    ids = ids.withColumn("bucket", where.cast("int"))
-    first = {r.bucket: r.top for r in ids.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(first)
-    before = [F.struct(F.lit(order[i - 1]).alias("bucket"), F.lit(first[b]).cast(docs.schema["doc_id"].dataType).alias("top")) for i, b in enumerate(order)]
-    own: Column = F.array(F.struct(F.col("bucket"), F.lit(False).alias("ahead")))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("bucket", where.cast("int"))
-    copies = F.transform(F.filter(F.array(*before), lambda b: b.top.eqNullSafe(F.col("doc_id"))), lambda b: F.struct(b.bucket, F.lit(True).alias("ahead"))) if order else own
-    rows = rows.withColumn("to", F.explode(F.concat(own, copies))).select("to.bucket", "to.ahead", "doc_id", "text")
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), "text"), len(order)
+    return max(containment(a, b) or 0.0, containment(b, a) or 0.0)
+
+
+def _cuts(spark: SparkSession, keys: DataFrame, n: int) -> list[tuple]:
+    """At most n - 1 keys (doc_id, tie) at which ranges begin, in descending order of ids."""
+    if n < 2:
+        return []
+    known = keys.where(F.col("doc_id").isNotNull())
+    total, wanted = known.count(), min(50 * n, CUT_SAMPLE)
+    sample = known if total <= wanted else known.sample(wanted / total, seed=1)
+    held = sorted((tuple(r) for r in sample.limit(2 * CUT_SAMPLE).collect()), key=lambda r: r[1])
+    held.sort(key=lambda r: r[0], reverse=True)  # stable: of equal ids the smallest tie comes first
+    return list(dict.fromkeys(held[k * len(held) // n] for k in range(1, n) if held))
+
+
+def _range_of(cuts: list[tuple]):
+    """An expression of (doc_id, tie) for the number of cuts that a row does not lie before."""
+    up = np.array(sorted(c[0] for c in cuts))
+    ties = defaultdict(list)
+    for c in cuts:
+        ties[c[0]].append(c[1])
+
+    @F.arrow_udf("int")
+    def place(ids: pa.Array, tie: pa.Array) -> pa.Array:
+        out = np.full(len(ids), len(cuts), np.int32)
+        some = ids.is_valid().to_numpy(zero_copy_only=False)
+        values = ids.drop_null()
+        mine = values.to_numpy(zero_copy_only=False) if up.dtype != object else np.array(values.to_pylist(), object)
+        found = (len(up) - np.searchsorted(up, mine, "right")).astype(np.int32)
+        for k in np.flatnonzero(np.isin(mine, up)).tolist():  # few: ids at which a range is cut
+            found[k] += bisect_right(ties[values[k].as_py()], tie.filter(ids.is_valid())[k].as_py())
+        out[some] = found
+        return pa.array(out)
+
+    return place("doc_id", "tie") if cuts else F.lit(0)
+
+
+def with_next(spark: SparkSession, docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Rows (bucket, ahead, doc_id, text), where ``ahead`` marks a copy of the row that
+    follows the last row of its bucket in descending ``doc_id``.
+
+    A row's bucket falls as its id rises, so bucket 0 comes first. The driver holds a key
+    for each range."""
+    bounded_batches(spark)
+    text = text_or_empty()
+    tie = F.left(text, F.lit(TIE_CHARS)).alias("tie")
+    cuts = _cuts(spark, docs.select("doc_id", tie), buckets or ranges(spark, docs))
+    place = _range_of(cuts).alias("bucket")
+    keys = docs.select("doc_id", tie).select("doc_id", "tie", place)
+    tops = {r.bucket: r.top for r in keys.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
+    kind = f"bucket int, top {docs.schema['doc_id'].dataType.simpleString()}"
+    known = spark.createDataFrame(list(tops.items()), kind)
+    small = len(tops) <= BROADCAST_RANGES
+    beside = lambda rows: F.broadcast(rows) if small else rows
+    firsts = keys.join(beside(known), "bucket").where(F.col("doc_id").eqNullSafe(F.col("top")))
+    firsts = {r.bucket: r.tie for r in firsts.groupBy("bucket").agg(F.min("tie").alias("tie")).collect()}
+    order = sorted(tops)
+    before = dict(zip(order, order[-1:] + order[:-1], strict=True))
+    known = spark.createDataFrame([(b, tops[b], firsts[b], before[b]) for b in order], f"{kind}, top_tie string, before int")
+
+    rows = docs.select("doc_id", text.alias("text"), tie).select("doc_id", "text", "tie", place)
+    rows = rows.join(beside(known), "bucket")
+    first = F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("tie") == F.col("top_tie"))
+    own = F.array(F.struct(F.col("bucket"), F.lit(False).alias("ahead")))
+    both = F.when(first, F.concat(own, F.array(F.struct(F.col("before").alias("bucket"), F.lit(True).alias("ahead"))))).otherwise(own)
+    rows = rows.withColumn("to", F.explode(both)).select("to.bucket", "to.ahead", "doc_id", "text")
+    return rows.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -136,26 +195,28 @@ def edited(text: str, following: str) -> str:
 def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row for every row of ``docs``: its fingerprint, that of its edited
     text, and the likeness to that text and to the next row's."""
-    rows, _ = with_next(spark, docs)
+    rows = with_next(spark, docs)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def sketched(batches):
-        held = None  # (bucket, doc_id, text, sketch) that waits for its next row
+        held = None  # (doc_id, text, sketch) that waits for its next row
         for batch in slices(batches):
             out = []
-            for bucket, ahead, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "ahead", "doc_id", "text")), strict=True):
+            for ahead, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("ahead", "doc_id", "text")), strict=True):
                 if ahead and held is None:
                     continue
                 s = sketch(text)
                 if held is not None:
-                    _, at, own, mine = held
+                    at, own, mine = held
                     changed = edited(own, text)
                     other = sketch(changed)
-                    out.append((at, len(own), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), encoded(mine), encoded(other), likeness(mine, other), likeness(mine, s)))
-                held = None if ahead else (bucket, doc_id, text, s)
+                    digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+                    out.append((at, len(own), digest, encoded(mine), encoded(other), likeness(mine, other), likeness(mine, s)))
+                held = None if ahead else (doc_id, text, s)
             cols = list(zip(*out, strict=True)) or [()] * len(names)
             kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return rows.mapInArrow(sketched, f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    kinds = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return rows.mapInArrow(sketched, f"doc_id {id_type}, {kinds}")
