@@ -45,9 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
         return place.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-    place = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
-    spark.conf.set("spark.checkpoint.dir", place)
-    return place
+    if not hasattr(spark, "_quarry_shared"):  # the setting itself can't be changed at run time
+        spark._quarry_shared = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
+    return spark._quarry_shared
 
 
 def new_path(spark: SparkSession, name: str) -> str:

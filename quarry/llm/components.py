@@ -3,8 +3,9 @@
 Every round hangs a node's larger neighbours, then its smaller ones, on the
 smallest neighbour (the large-star and small-star steps of Kiveris et al., 2014);
 paths halve, so the rounds grow with the logarithm of the longest path. Minima
-are pre-aggregated before their shuffle, and a hub's rows are spread by the
-skew handling of the sort-merge join. Each round is a written table.
+are pre-aggregated before their shuffle and shuffled once more for their join
+(``reshuffled``), so that adaptive execution splits a hub's rows over many tasks.
+Each round is a written table.
 """
 
 from __future__ import annotations
@@ -12,18 +13,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import remove, reshuffled, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(reshuffled(least, "u"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(reshuffled(least, "u"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -32,8 +33,8 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b), longs; a component
-    is named by its smallest node."""
+    """(node, component) for every node of ``edges`` (a, b), longs, as a written table; a
+    component is named by its smallest node."""
     now = written(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = _state(now)
     while True:
@@ -42,4 +43,6 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         now, before, state = following, state, _state(following)
         if state == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    out = written(spark, now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct()), "components")
+    remove(spark, now)
+    return out

@@ -25,8 +25,9 @@ start, and only the class's smallest id goes on.
    components, so that no candidate link between components is left out, yet pairs
    inside a group of copies are never made.
 
-Buckets are counted before they are joined, and the joins on band, node or class
-are sort-merge joins whose hot keys Spark splits, so that no task gathers a group.
+Buckets are counted before they are joined. What is counted or chosen for a band, node
+or class is shuffled anew for its join (``reshuffled``), so that both sides are plain
+shuffles and adaptive execution splits hot keys: no task gathers a group.
 
 Defined cases: a text without words (null, empty or white space) is its own
 component and kept. A row without an id takes no part: its component is null and
@@ -36,13 +37,15 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, slices, written
+from .common import remove, reshuffled, slices, written
 from .components import components
 from .shingles import ascii_words, mixed, word_shingles
 
@@ -200,7 +203,7 @@ def _open(members: DataFrame, info: DataFrame, found: DataFrame, drawn: int) ->
         by = by + (F.col("n") - F.col("shared")) * F.lit(1 << 31)
     kept = [F.min_by(c, by).alias(f"drawn_{c}") for c in ("node", "n", "shared", "component")]
     buckets = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), *kept)
-    return placed.join(buckets.where("low < high").drop("low", "high"), "band")
+    return placed.join(reshuffled(buckets.where("low < high").drop("low", "high"), "band"), "band")
 
 
 def _shingles(docs: DataFrame, held: DataFrame) -> DataFrame:
@@ -220,7 +223,7 @@ def _rare(spark: SparkSession, docs: DataFrame, held: DataFrame) -> DataFrame:
     """(node, shingle) of the shingles that at most RARE members of ``held`` have."""
     shingles = written(spark, _shingles(docs, held), "shingles")
     few = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
-    rare = written(spark, shingles.join(few, "shingle").select("node", "shingle", "df"), "rare")
+    rare = written(spark, shingles.join(reshuffled(few, "shingle"), "shingle").select("node", "shingle", "df"), "rare")
     remove(spark, shingles)
     return rare
 
@@ -253,25 +256,29 @@ def _between(held: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = written(spark, sketched(docs), "sketches")
-    classes = rows.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class").agg(F.min(F.col("doc_id").cast("long")).alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    known = rows.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
+    least = F.min(F.col("doc_id").cast("long")).alias("node")
+    classes = known.groupBy("class").agg(least, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(spark, classes, "nodes")
 
     bands = _bands(nodes)
     shared = bands.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = written(spark, bands.join(shared, "band"), "members")
+    members = written(spark, bands.join(reshuffled(shared, "band"), "band"), "members")
     tried = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = _linked(spark, docs, nodes, tried)
-    found = written(spark, components(spark, links), "components")
-    info = nodes.select("node", "n", F.col("n").alias("shared"))
+    links = [_linked(spark, docs, nodes, tried)]
+    found = components(spark, links[0])
+    info, spent = nodes.select("node", "n", F.col("n").alias("shared")), []
     for drawn in range(ROUNDS + 1):
         held = written(spark, _open(members, info, found, drawn), "open")
         if not drawn:
             several = nodes.groupBy("node").count().where("count > 1")  # ids of several texts
             rare = _rare(spark, docs, held)
             own = rare.groupBy("node").agg(F.count("*").alias("own")).join(several, "node", "left_anti")
-            info = written(spark, nodes.select("node", "n").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), "sizes")
+            kept = F.col("n") - F.coalesce("own", F.lit(0))
+            info = written(spark, nodes.select("node", "n").join(own, "node", "left").select("node", "n", kept.alias("shared")), "sizes")
             sharing = written(spark, _sharing(rare, held), "sharing")
             remove(spark, held, rare)
+            spent += [info, sharing]
             held = written(spark, _open(members, info, found, drawn), "open")
         if drawn < ROUNDS:
             pairs = held.where(F.col("component") != F.col("drawn_component")).where(_fits("n", "drawn_n", "shared", "drawn_shared"))
@@ -281,31 +288,42 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
             pairs = _between(held)
         more = _linked(spark, docs, nodes, pairs)
         remove(spark, held)
+        links.append(more)
         if not more.isEmpty():
-            links = links.union(more)
             remove(spark, found)
-            found = written(spark, components(spark, links), "components")
-    remove(spark, members)
+            found = components(spark, reduce(DataFrame.union, links))
 
-    named = nodes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
+    named = nodes.select("class", "node").join(found, "node", "left")
+    named = written(spark, named.select("class", F.coalesce("component", "node").alias("component_id")), "classes")
+    remove(spark, members, nodes, found, *links, *spent)  # what is left is read by the table that is returned
     kind = docs.schema["doc_id"].dataType
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(named, "class", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce(F.col("component_id").cast(kind), "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _first_texts(rows: DataFrame) -> DataFrame:
+    """Of the rows of each id the one whose text comes first (of equal texts any); null counts as empty."""
+    columns = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    first = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(columns, F.coalesce("text", F.lit(""))).alias("__first row"))
+    return first.select("`__first row`.*")
+
+
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: one of each group
     of near-duplicates, and of rows that share an id the one whose text comes first."""
     found = written(spark, near_duplicates(spark, docs), "near-duplicates")
-    dropped = found.where("not kept").select("doc_id").distinct()
-    repeated = written(spark, found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    dropped = written(spark, found.where("not kept").select("doc_id").distinct(), "dropped")
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    repeated = written(spark, again.select("doc_id"), "repeated")
+    remove(spark, found)
     out = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti")
     if repeated.isEmpty():
+        remove(spark, repeated)
         return out.select(docs.columns)
     some = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
-    first = out.join(some, "doc_id", "left_semi").orderBy("text").dropDuplicates(["doc_id"])
-    return out.join(some, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+    first = _first_texts(out.join(some, "doc_id", "left_semi").select(docs.columns))
+    return out.join(some, "doc_id", "left_anti").select(docs.columns).unionByName(first)
 
 
 #: The same for DuckDB by a join of all shingles, where ids are unique.

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from quarry.llm import common
 from quarry.llm import op5_near_dedup as op
-from quarry.llm.components import components
+from quarry.llm.components import _large, _small, components
 from quarry.llm.shingles import ascii_words, word_shingles
 
 
@@ -96,3 +98,44 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)]
     got = {r.node: r.component for r in components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, **{100 + i: 100 for i in range(30)}}
+
+
+def test_the_first_text_of_an_id_stays(spark, words):
+    """Whatever the order and the number of partitions, and rows without copies too."""
+    rng = random.Random(5)
+    rows = [(i % 7, words(rng, 30), i) for i in range(60)] + [(8, None, 60), (8, "z z z z z z", 61), (8, "", 62), (None, "b", 63), (None, "a", 64)]
+    for n in (1, 5):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, `__first` int").repartition(n)
+        out = op.deduplicated(spark, docs)
+        assert out.columns == docs.columns
+        got = sorted((r.doc_id, r.text or "") for r in out.collect() if r.doc_id is not None)
+        assert got == sorted((k, min(t or "" for d, t, _ in rows if d == k)) for k in {d for d, _, _ in rows} - {None})
+        assert sorted(r.text for r in out.collect() if r.doc_id is None) == ["a", "b"]
+
+
+def test_hot_keys_are_split(spark, words):
+    """The joins on bands and nodes have a shuffle of their own on both sides, and a hub's rows go to many tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "12",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.range(0, 60_000, 1, 8).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 900).cast("long").alias("u"), (F.col("id") + 1000).alias("v"))
+        for plan in (_large(edges), _small(edges.select(F.col("v").alias("x"), "u").select(F.col("u"), F.col("x").alias("v")))):
+            plan.collect()
+            assert "SortMergeJoin(skew=true)" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_written_tables_are_removed(spark, words, tmp_path, monkeypatch):
+    """After a run the shared folder holds what the returned table reads, and no more."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    docs = spark.createDataFrame(_corpus(words)[:120], "doc_id long, text string")
+    op.near_duplicates(spark, docs).collect()
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["classes", "sketches"]
