@@ -66,8 +66,8 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def remove(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables made by ``written`` that nothing reads any more."""
-    for table in tables:
+    """Deletes tables made by ``written`` that nothing reads any more; other tables are left alone."""
+    for table in (t for t in tables if hasattr(t, "_quarry_path")):
         path = spark._jvm.org.apache.hadoop.fs.Path(table._quarry_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -5,7 +5,8 @@ smallest neighbour (the large-star and small-star steps of Kiveris et al., 2014)
 paths halve, so the rounds grow with the logarithm of the longest path. Minima
 are pre-aggregated before their shuffle and shuffled once more for their join
 (``reshuffled``), so that adaptive execution splits a hub's rows over many tasks.
-Each round is a written table.
+Each round is a written table; they end when every node hangs on its component's
+smallest one.
 """
 
 from __future__ import annotations
@@ -28,21 +29,23 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _done(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other that hangs on none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    held = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return held.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b), longs, as a written table; a
-    component is named by its smallest node."""
-    now = written(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = _state(now)
-    while True:
+    """(node, component) for every node of ``edges`` (a, b), longs, that another is joined with, as a
+    written table; a component is named by its smallest node."""
+    now = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while not _done(now):
         following = written(spark, _small(_large(now)), "edges")
         remove(spark, now)
-        now, before, state = following, state, _state(following)
-        if state == before:
-            break
-    out = written(spark, now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct()), "components")
+        now = following
+    named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = written(spark, named.unionAll(now.select("v", "v").distinct()), "components")
     remove(spark, now)
     return out

@@ -37,8 +37,6 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -144,8 +142,20 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sketch").mapInArrow(rows, "band long, node long")
 
 
+#: A pair of nodes and the components that they lie in so far.
+PAIR = ["a", "b", "ca", "cb"]
+_PAIR = "a long, b long, ca long, cb long"
+
+
+def _pair(a: str, b: str, ca: str, cb: str) -> list:
+    """The columns of PAIR, the smaller node first."""
+    first = F.col(a) < F.col(b)
+    ends = (a, b), (b, a), (ca, cb), (cb, ca)
+    return [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, (x, y) in zip(PAIR, ends, strict=True)]
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the sketches don't rule out."""
+    """The pairs that the sketches don't rule out."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
@@ -155,21 +165,23 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             if batch.num_rows:
                 j, error = estimates(_matrix(batch.column("sa")), _matrix(batch.column("sb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy())
                 batch = batch.filter(pa.array(j >= PERCENT / 100 - ERRORS * error))
-            yield batch.select(["a", "b"])
+            yield batch.select(PAIR)
 
-    return pairs.join(right, "b").join(left, "a").where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(rows, "a long, b long").distinct()
+    found = pairs.join(right, "b").join(left, "a").where(fits).select(*PAIR, "na", "nb", "sa", "sb")
+    return found.mapInArrow(rows, _PAIR)
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the rows whose ids are in ``ids``."""
-    if ids.count() <= BROADCAST_IDS:
+def _texts(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """doc_id and text of the rows whose ids are in ``ids``, a table of ``n`` rows."""
+    if n <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
 
 
-def _confirmed(spark: SparkSession, docs: DataFrame, likely: DataFrame) -> DataFrame:
+def _confirmed(docs: DataFrame, likely: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    texts = _texts(docs, likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct())
+    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b"))
+    texts = _texts(docs, ids, 2 * likely.count())
     pairs = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def rows(batches):
@@ -182,22 +194,25 @@ def _confirmed(spark: SparkSession, docs: DataFrame, likely: DataFrame) -> DataF
                 x, y = last[1], word_shingles(ascii_words(tb))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(PAIR).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long")
+    return pairs.select(*PAIR, "ta", "tb").mapInArrow(rows, _PAIR)
 
 
 def _linked(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that are linked, as a written table."""
     likely = written(spark, _likely(pairs, nodes), "likely")
-    links = written(spark, _confirmed(spark, docs, likely), "links")
+    if likely.isEmpty():
+        return likely
+    links = written(spark, _confirmed(docs, likely), "links")
     remove(spark, likely)
     return links
 
 
-def _open(members: DataFrame, info: DataFrame, found: DataFrame, drawn: int) -> DataFrame:
+def _open(members: DataFrame, info: DataFrame, drawn: int) -> DataFrame:
     """Members of the buckets that hold several components: band, node, n, shared, component, and
     the bucket's drawn member with its size, shared shingles and component."""
-    placed = members.select("band", "node").join(info.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "node")
+    placed = members.select("band", "node").join(info, "node")
     by = F.pmod(F.xxhash64("node", "band", F.lit(drawn)), F.lit(1 << 31))
     if not drawn:
         by = by + (F.col("n") - F.col("shared")) * F.lit(1 << 31)
@@ -215,7 +230,8 @@ def _shingles(docs: DataFrame, held: DataFrame) -> DataFrame:
             node = np.repeat(batch.column("node").to_numpy(), [len(h) for h in sets])
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets))], ["node", "shingle"])
 
-    texts = _texts(docs, held.select(F.col("node").alias("doc_id")).distinct())
+    ids = held.select(F.col("node").alias("doc_id")).distinct()
+    texts = _texts(docs, ids, ids.count())
     return texts.withColumnRenamed("doc_id", "node").mapInArrow(rows, "node long, shingle long")
 
 
@@ -233,7 +249,8 @@ def _sharing(rare: DataFrame, held: DataFrame) -> DataFrame:
     placed = rare.where("df > 1").join(held.select("node", "component").distinct(), "node")
     lists = placed.groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("node", "component"))).alias("x")).select("x").distinct()
     lists = lists.select("x", F.explode("x").alias("p")).select("p", F.explode("x").alias("q"))
-    return lists.where("p.node < q.node and p.component <> q.component").select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    apart = lists.where("p.node < q.node and p.component <> q.component")
+    return apart.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.component").alias("ca"), F.col("q.component").alias("cb")).distinct()
 
 
 def _fits(a: str, b: str, sa: str, sb: str):
@@ -250,7 +267,22 @@ def _between(held: DataFrame) -> DataFrame:
     y = rows.join(x.select("band").distinct(), "band", "left_semi").join(mine, "node").withColumnsRenamed({"node": "y", "n": "ny", "shared": "sy", "component": "cy", "bands": "by"})
     once = (F.col("cy") == F.col("home")) | (F.col("x") < F.col("y"))
     first = F.col("band") == F.array_min(F.array_intersect("bx", "by"))
-    return x.join(y, "band").where((F.col("cx") != F.col("cy")) & once & _fits("nx", "ny", "sx", "sy") & first).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    both = x.join(y, "band").where((F.col("cx") != F.col("cy")) & once & _fits("nx", "ny", "sx", "sy") & first)
+    return both.select(_pair("x", "y", "cx", "cy")).distinct()
+
+
+def _joined(spark: SparkSession, info: DataFrame, links: DataFrame) -> DataFrame:
+    """``info`` with the components that ``links`` join. Only the components are gone through, not their nodes."""
+    if links.isEmpty():
+        out = info
+    else:
+        found = components(spark, links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        moved = found.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        out = info.join(moved, "component", "left").select("node", "n", "shared", F.coalesce("to", "component").alias("component"))
+        out = written(spark, out, "info")
+        remove(spark, found, info)
+    remove(spark, links)
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -264,38 +296,39 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     bands = _bands(nodes)
     shared = bands.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = written(spark, bands.join(reshuffled(shared, "band"), "band"), "members")
-    tried = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = [_linked(spark, docs, nodes, tried)]
-    found = components(spark, links[0])
-    info, spent = nodes.select("node", "n", F.col("n").alias("shared")), []
+    tried = members.where("node <> least").withColumns({"ca": F.col("least"), "cb": F.col("node")})
+    links = _linked(spark, docs, nodes, tried.select(_pair("least", "node", "ca", "cb")).distinct())
+    info = nodes.select("node", "n", F.col("n").alias("shared"), F.col("node").alias("component"))
+    info = _joined(spark, info, links)
     for drawn in range(ROUNDS + 1):
-        held = written(spark, _open(members, info, found, drawn), "open")
+        held = written(spark, _open(members, info, drawn), "open")
+        if held.isEmpty():
+            remove(spark, held)
+            break
+        sharing = None
         if not drawn:
             several = nodes.groupBy("node").count().where("count > 1")  # ids of several texts
             rare = _rare(spark, docs, held)
             own = rare.groupBy("node").agg(F.count("*").alias("own")).join(several, "node", "left_anti")
-            kept = F.col("n") - F.coalesce("own", F.lit(0))
-            info = written(spark, nodes.select("node", "n").join(own, "node", "left").select("node", "n", kept.alias("shared")), "sizes")
+            shared = F.col("n") - F.coalesce("own", F.lit(0))
+            sizes = written(spark, info.join(own, "node", "left").select("node", "n", shared.alias("shared"), "component"), "info")
             sharing = written(spark, _sharing(rare, held), "sharing")
-            remove(spark, held, rare)
-            spent += [info, sharing]
-            held = written(spark, _open(members, info, found, drawn), "open")
+            remove(spark, held, rare, info)
+            info = sizes
+            held = written(spark, _open(members, info, drawn), "open")
         if drawn < ROUNDS:
             pairs = held.where(F.col("component") != F.col("drawn_component")).where(_fits("n", "drawn_n", "shared", "drawn_shared"))
-            pairs = pairs.select(F.least("node", "drawn_node").alias("a"), F.greatest("node", "drawn_node").alias("b"))
+            pairs = pairs.select(_pair("node", "drawn_node", "component", "drawn_component"))
             pairs = (pairs if drawn else pairs.union(sharing)).distinct()
         else:
             pairs = _between(held)
-        more = _linked(spark, docs, nodes, pairs)
-        remove(spark, held)
-        links.append(more)
-        if not more.isEmpty():
-            remove(spark, found)
-            found = components(spark, reduce(DataFrame.union, links))
-
-    named = nodes.select("class", "node").join(found, "node", "left")
-    named = written(spark, named.select("class", F.coalesce("component", "node").alias("component_id")), "classes")
-    remove(spark, members, nodes, found, *links, *spent)  # what is left is read by the table that is returned
+        links = _linked(spark, docs, nodes, pairs)
+        remove(spark, held, *([sharing] if sharing else []))
+        info = _joined(spark, info, links)
+
+    named = nodes.select("class", "node").join(info.select("node", "component").distinct(), "node")
+    named = written(spark, named.select("class", F.col("component").alias("component_id")), "classes")
+    remove(spark, members, nodes, info)  # what is left is read by the table that is returned
     kind = docs.schema["doc_id"].dataType
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(named, "class", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce(F.col("component_id").cast(kind), "doc_id").alias("component_id"))
