@@ -8,9 +8,10 @@ some place is a candidate there; the token's offset gives the one place where
 the window could start, which length and position bounds test before all words
 of the window are compared.
 
-The index goes to the map tasks in blocks of at most ``BLOCK_BYTES`` of item
-text, so no document is shuffled. A benchmark of several blocks makes a pass
-over the documents for each.
+Up to ``INDEX_BYTES`` of item text the index goes to the map tasks and nothing of a
+document is shuffled. For a larger benchmark the same join is made by shuffle
+(``window_join``). Either way there are two passes over the documents: one counts
+shingles, one finds windows.
 
 Defined cases: a null or empty text has no words; repeated rows are judged each;
 items of one id are one item; an item without an id can mark words but is not
@@ -19,7 +20,6 @@ listed; an empty benchmark marks nothing. Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from itertools import chain, repeat
 
@@ -28,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from . import window_join
+from .common import remove, slices, written
 
 WINDOW, SHINGLE = 10, 3
-BLOCK_BYTES = 8 << 20
+INDEX_BYTES = 8 << 20
+#: Up to so many texts with hits (32 MB) their keys are broadcast.
+BROADCAST_KEYS = 1_000_000
 #: Words of documents that one step of a map task looks at together.
 STEP_WORDS = 1 << 20
 
@@ -45,7 +48,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of a block of items over its own vocabulary."""
+    """The distinct windows of some items over their own vocabulary."""
 
     def __init__(self, items: list[tuple[str | None, str | None]]):
         self.vocabulary: dict[bytes, int] = {}
@@ -153,7 +156,7 @@ def _steps(texts: list[str | None]):
 
 
 def _ordered(spark: SparkSession, docs: DataFrame, windows: Windows) -> Windows:
-    """Counts the windows' shingles over all documents; the sums are as many as the block's shingles."""
+    """Counts the windows' shingles over all documents; the sums are as many as the index's shingles."""
     shared = spark.sparkContext.broadcast(windows)
 
     def count(batches):
@@ -173,84 +176,96 @@ def _ordered(spark: SparkSession, docs: DataFrame, windows: Windows) -> Windows:
     return windows.order(counts)
 
 
-def blocks_of(benchmark: DataFrame) -> list[list[tuple[str | None, str | None]]]:
-    """Items in blocks of about ``BLOCK_BYTES`` at most, one after another."""
+def _items(benchmark: DataFrame) -> list[tuple[str | None, str | None]] | None:
+    """The items of a benchmark small enough for an index, else None."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.length("text") > 0)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        yield [tuple(r) for r in part.collect()]
+    size = rows.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
+    return [tuple(r) for r in rows.collect()] if size <= INDEX_BYTES else None
+
+
+def _spans(flat: np.ndarray, begin: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[list[int]]:
+    """For each text the union of its windows, as pairs of word places, end exclusive."""
+    edge = np.zeros(len(flat) + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + size, -1)
+    hit = np.concatenate([[False], np.cumsum(edge[:-1]) > 0])  # a 0 stands between texts
+    low, high = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(hit[:-1] & ~hit[1:])
+    doc = np.searchsorted(begin, low, "right") - 1
+    out: list[list[int]] = [[] for _ in begin]
+    for d, a, b in zip(doc.tolist(), (low - begin[doc]).tolist(), (high - begin[doc]).tolist(), strict=True):
+        out[d] += (a, b)
+    return out
 
 
 def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with n_words, spans (pairs of word places, end
-    exclusive) and items, over all blocks of the benchmark."""
+    """doc_id, n_words, spans (pairs of word places, end exclusive) and items (sorted) for every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    for b, block in enumerate(blocks_of(benchmark)):
-        windows = _ordered(spark, docs, Windows(block))
-        shared = spark.sparkContext.broadcast(windows)
-
-        def mark(batches, shared=shared):
-            w = shared.value
-            for batch in slices(batches, 2048):
-                spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-                k = 0
-                for step in _steps(batch.column("text").to_pylist()):
-                    ids, begin = w.ids(step)
-                    start, which = w.found(ids)
-                    doc = np.searchsorted(begin, start, "right") - 1
-                    for d, s, v in zip(doc.tolist(), (start - begin[doc]).tolist(), which.tolist(), strict=True):
-                        spans[k + d] = (spans[k + d] or []) + [s, s + int(w.size[v])]
-                        items[k + d] = sorted({*(items[k + d] or []), *w.items[v]})
-                    k += len(step)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "spans", "items"])
-
-        if b:
-            rows = written(spark, rows, "decontamination")
-        rows = rows.mapInArrow(mark, f"doc_id {kind}, text string, spans array<bigint>, items array<string>")
-    return rows
+    items = _items(benchmark)
+    if items is None:
+        rows, by_text = window_join.hits(spark, docs, benchmark, words, WINDOW, SHINGLE)
+        none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
+        return rows.join(by_text, "key", "left").select("doc_id", "n_words", none("spans", "bigint"), none("items", "string"))
+    shared = spark.sparkContext.broadcast(_ordered(spark, docs, Windows(items)))
+    names = ["doc_id", "n_words", "spans", "items"]
+
+    def mark(batches):
+        w = shared.value
+        for batch in slices(batches, 2048):
+            n, spans, found = [], [], []
+            for step in _steps(batch.column("text").to_pylist()):
+                ids, begin = w.ids(step)
+                start, which = w.found(ids)
+                n += map(len, step)
+                spans += _spans(ids, begin, start, w.size[which])
+                held: list[set] = [set() for _ in step]
+                pairs = np.unique(np.stack([np.searchsorted(begin, start, "right") - 1, which]), axis=1)
+                for d, v in pairs.T.tolist():
+                    held[d].update(w.items[v])
+                found += map(sorted, held)
+            lists = pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *lists], names)
+
+    return docs.select("doc_id", "text").mapInArrow(mark, f"doc_id {kind}, n_words long, spans array<bigint>, items array<string>")
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
-
-    def summed(batches):
-        for batch in slices(batches, 2048):
-            out = []
-            for text, spans, items in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items")), strict=True):
-                hit = set()
-                for a, b in zip((spans or [])[::2], (spans or [])[1::2], strict=True):
-                    hit.update(range(a, b))
-                out.append((len(words(text)), len(hit), len(items or []), hashlib.sha256(",".join(items or []).encode()).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names)
-
-    out = hits(spark, docs, benchmark).mapInArrow(summed, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    sign = lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)
+    n_hit = F.aggregate(F.transform("spans", sign), F.lit(0).cast("long"), lambda s, x: s + x)
+    rows = hits(spark, docs, benchmark).select("doc_id", "n_words", n_hit.alias("n_hit"), "items")
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        digest.alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window occurs."""
-    out = docs
-    for block in blocks_of(benchmark):
-        shared = spark.sparkContext.broadcast(_ordered(spark, docs, Windows(block)))
-
-        def clean(batches, shared=shared):
-            w = shared.value
-            for batch in slices(batches, 2048):
-                keep, k = np.ones(batch.num_rows, bool), 0
-                for step in _steps(batch.column("text").to_pylist()):
-                    ids, begin = w.ids(step)
-                    keep[k + np.searchsorted(begin, w.found(ids)[0], "right") - 1] = False
-                    k += len(step)
-                yield batch.filter(pa.array(keep))
-
-        out = out.mapInArrow(clean, docs.schema)
-    return out
+    items = _items(benchmark)
+    if items is None:
+        rows, by_text = window_join.hits(spark, docs, benchmark, words, WINDOW, SHINGLE)
+        gone = written(spark, by_text.select(F.col("key").alias("key of a text")), "contaminated-keys")
+        remove(spark, rows, by_text)
+        some = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+        return docs.withColumn("key of a text", window_join.text_key()).join(some, "key of a text", "left_anti").select(docs.columns)
+    shared = spark.sparkContext.broadcast(_ordered(spark, docs, Windows(items)))
+
+    def clean(batches):
+        w = shared.value
+        for batch in slices(batches, 2048):
+            keep, k = np.ones(batch.num_rows, bool), 0
+            for step in _steps(batch.column("text").to_pylist()):
+                ids, begin = w.ids(step)
+                keep[k + np.searchsorted(begin, w.found(ids)[0], "right") - 1] = False
+                k += len(step)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

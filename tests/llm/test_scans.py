@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from quarry.llm import op2_secrets, op6_licenses, op8_decontamination, op10_fingerprints
+from quarry.llm import op2_secrets, op6_licenses, op8_decontamination, op10_fingerprints, window_join
 
 
 def _brute(docs, items):
@@ -31,7 +31,7 @@ def _brute(docs, items):
 
 @pytest.mark.parametrize("block", [8 << 20, 900])
 def test_decontamination(spark, words, hard_docs, monkeypatch, block):
-    monkeypatch.setattr(op8_decontamination, "BLOCK_BYTES", block)
+    monkeypatch.setattr(op8_decontamination, "INDEX_BYTES", block)
     rng = random.Random(31)
     items = [(i, words(rng, rng.choice([1, 2, 3, 9, 10, 11, 40]))) for i in range(30)] + [(3, words(rng, 15)), (None, words(rng, 12)), (40, None), (41, "..."), (42, "é Ñ x y z 1 2 3 4 5 6")]
     docs = [(d, t) for d, t, *_ in hard_docs]
@@ -50,6 +50,34 @@ def test_decontamination(spark, words, hard_docs, monkeypatch, block):
     assert sorted((tuple(r) for r in kept), key=repr) == sorted((d for d, e in zip(docs, expected, strict=True) if not e[5]), key=repr)
 
 
+@pytest.mark.parametrize("index", [8 << 20, -1])
+def test_spans_and_items(spark, words, monkeypatch, index):
+    """Spans are unions in word places; a hit-rich text takes linear time; copies and hot windows are found each."""
+    monkeypatch.setattr(op8_decontamination, "INDEX_BYTES", index)
+    rng = random.Random(33)
+    passage = words(rng, 30)
+    items = [("a", passage), ("b", passage), (None, words(rng, 3)), ("c", "zz")]
+    docs = [(i, f"{words(rng, 5)} {passage}") for i in range(40)] + [(100, "zz " * 30_000), (101, "q zz q " + passage), (102, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.spans, r.items) for r in op8_decontamination.hits(spark, df, bench).collect()}
+    assert all(got[i] == (35, [5, 35], ["a", "b"]) for i in range(40))
+    assert got[100] == (30_000, [0, 30_000], ["c"]) and got[101] == (33, [1, 2, 3, 33], ["a", "b", "c"]) and got[102] == (0, [], [])
+
+
+def test_the_shuffled_join_reads_documents_twice(spark, words, monkeypatch):
+    """However many windows there are, and without rewriting any text."""
+    monkeypatch.setattr(op8_decontamination, "INDEX_BYTES", -1)
+    rng, seen, kept = random.Random(34), [], []
+    for name in ("_counted", "_places"):
+        monkeypatch.setattr(window_join, name, lambda docs, *a, f=getattr(window_join, name), name=name: seen.append(name) or f(docs, *a))
+    real = window_join.written
+    monkeypatch.setattr(window_join, "written", lambda spark, df, name: kept.append(df.columns) or real(spark, df, name))
+    docs = spark.createDataFrame([(i, words(rng, 40)) for i in range(20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, words(rng, 60)) for i in range(200)], "item_id long, text string")
+    assert op8_decontamination.contamination(spark, docs, bench).where("contaminated").count() == 0
+    assert seen == ["_counted", "_places"] and not any("text" in c for c in kept)
+
+
 def test_decontamination_of_empty_tables(spark, hard, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert op8_decontamination.contamination(spark, hard, none).where("contaminated").count() == 0
@@ -58,6 +86,19 @@ def test_decontamination_of_empty_tables(spark, hard, empty):
     assert op8_decontamination.contamination(spark, empty, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
 
 
+def test_the_shuffled_join_of_hard_rows(spark, hard, empty, monkeypatch):
+    monkeypatch.setattr(op8_decontamination, "INDEX_BYTES", -1)
+    none = spark.createDataFrame([], "item_id long, text string")
+    some = spark.createDataFrame([(1, "c d E"), (None, "y"), (2, None)], "item_id long, text string")
+    for docs in (hard, empty):
+        assert op8_decontamination.contamination(spark, docs, none).where("contaminated").count() == 0
+        assert op8_decontamination.without_contaminated(spark, docs, none).columns == docs.columns
+        assert op8_decontamination.contamination(spark, docs, some).count() == docs.count()
+    assert {r.doc_id for r in op8_decontamination.contamination(spark, hard, some).where("contaminated").collect()} == {1, 6, None}
+    left = op8_decontamination.without_contaminated(spark, hard, some).collect()
+    assert sorted(r.doc_id for r in left) == [2, 3, 4, 5, 7]
+
+
 def test_patience_alignment():
     a, b = "x the cat sat on the mat y".split(), "the cat lay on the mat".split()
     pairs = op6_licenses.aligned(a, b)
