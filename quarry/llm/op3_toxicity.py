@@ -8,10 +8,10 @@ same sentence scores then locate the offending sentences.
 
 Training: features are counted over the sample on the executors; those that tell
 the labels apart most are kept (``FEATURES`` at most), and the driver fits their
-weights on the sample's sentences, which name kept features only. The sample has
-at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows in the order of a hash of
-the id, of texts up to ``SAMPLE_CHARS``; rows with crc32(id) mod 5 = 0 are held
-out. A document's score depends on its text alone.
+weights on the sample's sentences that have any kept feature, as flat arrays of
+numbers. The sample has at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows in the
+order of a hash of the id, with their whole texts; rows with crc32(id) mod 5 = 0 are
+held out. A document's score depends on its text alone.
 
 Defined cases: a null or empty text has the leak as its score; repeated rows are
 scored each; several labels of one id count as the largest, null labels are left
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import remove, slices, written
 
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 4_000, 6_000, 20_000
+TOXIC_ROWS, CLEAN_ROWS = 4_000, 6_000
 FEATURES, LEAST_DOCS, LEAST_Z = 3_000, 4, 4.0
 PREFIXES = range(3, 9)
 STEPS, RATE, DECAY, NEGLIGIBLE = 300, 0.1, 3e-5, 0.25
@@ -96,12 +96,12 @@ def held_out():
 
 
 def _sample(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, text) of the bounded training sample."""
+    """(toxic, text, place) of the bounded training sample, ``place`` giving its rows a fixed order."""
     labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = [labelled.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((F.col("toxic") == 1, TOXIC_ROWS), (F.col("toxic") == 0, CLEAN_ROWS))]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # TOXIC_ROWS + CLEAN_ROWS rows at most
-    short = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
-    return short.join(ids, "doc_id").select("toxic", "text")
+    texts = docs.select("doc_id", "text").where(F.length("text") > 0)
+    return texts.join(ids, "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("place"))
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
@@ -137,7 +137,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     def named(batches):
         of: dict[str, list[int]] = {}
         for batch in slices(batches):
-            out = []
+            sizes, found = [], []
             for text in batch.column("text").to_pylist():
                 bags = []
                 for m in SENTENCE.finditer(text.lower()):
@@ -150,21 +150,27 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
                         bag.update(of[w])
                     if bag:
                         bags.append([*bag.elements()])
-                out.append(bags)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["toxic", "bags"])
+                sizes.append([len(bag) for bag in bags])
+                found.append([f for bag in bags for f in bag])
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (sizes, found)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("place"), *lists], ["toxic", "place", "sizes", "features"])
 
-    bags = sample.mapInArrow(named, "toxic int, bags array<array<int>>").collect()
+    rows = sample.mapInArrow(named, "toxic int, place long, sizes array<int>, features array<int>").toArrow()
     remove(spark, sample)
-    rows = sorted((r.toxic, r.bags) for r in bags)
-    return fitted([r[0] for r in rows], [r[1] for r in rows], sorted(known))
+    rows = rows.sort_by([("toxic", "ascending"), ("place", "ascending")]).combine_chunks()
+    per_doc = np.array([len(x) for x in rows["sizes"]], np.int64)
+    flat = lambda c: np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in rows[c].chunks)])
+    return fitted(rows["toxic"].to_numpy(), per_doc, flat("sizes"), flat("features"), sorted(known))
+
 
+def fitted(labels: np.ndarray, per_doc: np.ndarray, sizes: np.ndarray, feature: np.ndarray, names: list[str]) -> Model:
+    """Weights by gradient steps on the likelihood of the document labels under the noisy-or.
 
-def fitted(labels: list[int], bags: list[list[list[int]]], names: list[str]) -> Model:
-    """Weights by gradient steps on the likelihood of the document labels under the noisy-or."""
-    y = np.array(labels, float)
-    doc = np.array([d for d, s in enumerate(bags) for _ in s], np.int64)
-    feature = np.array([f for s in bags for bag in s for f in bag], np.int64)
-    sentence = np.repeat(np.arange(len(doc)), [len(bag) for s in bags for bag in s])
+    ``per_doc`` counts the sentences of each document, ``sizes`` the features of each sentence, and
+    ``feature`` numbers them all, one sentence after another."""
+    y = labels.astype(float)
+    doc = np.repeat(np.arange(len(y)), per_doc)
+    sentence = np.repeat(np.arange(len(doc)), sizes)
     w, bias, leak = np.zeros(len(names)), -4.0, -4.0
     alive = np.ones(len(names), bool)
     soft = lambda v: np.logaddexp(0, v)
