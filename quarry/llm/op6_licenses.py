@@ -7,8 +7,11 @@ their ends; a gap without anchors is done. The share of the template's words tha
 aligned is its coverage. A template fits from ``COVERAGE`` on.
 
 Before the alignment a bound tells which templates can fit at all: a text has no more
-aligned words than words in common, each counted as often as it is in both. Each
-document is looked at by itself, in one pass and without a shuffle.
+aligned words than words in common, each counted as often as it is in both. Fits are
+sought first close to the template's rarest words, and then in all that is left of the
+text between them. The aligned words make up at least ``DENSITY`` of the stretch that
+they lie in, so that words strewn over a long text are no licence. Each document is
+looked at by itself, in one pass and without a shuffle.
 
 Defined cases: a null text or one without words has no licence and coverage 0; repeated
 rows are scanned each; every place of every template is a row of its own, except those
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices
 
-COVERAGE = 0.8
+COVERAGE, DENSITY = 0.8, 0.1
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 # Notices and texts of public licences.
@@ -137,7 +140,26 @@ class Scanner:
         return [tuple(x) for x in merged], out
 
     def places(self, text: list[str], template: list[str], n: Counter) -> list[list[int]]:
-        """The aligned places in the text of each fit of the template; fits don't overlap.
+        """The aligned places in the text of each fit of the template; fits don't overlap."""
+        out = self.near(text, template, n)
+        todo = [(a, b) for a, b in zip([0, *(x[-1] + 1 for x in out)], [*(x[0] for x in out), len(text)], strict=True)]
+        while todo:  # what is left between fits is aligned as a whole
+            low, high = todo.pop()
+            part = text[low:high]
+            held = Counter(w for w in part if w in n)
+            if sum(min(k, held[w]) for w, k in n.items()) < self.coverage * len(template):
+                continue
+            at = [low + a for a, _ in aligned(part, template)]
+            if self.fits(at, template):
+                insort(out, at)
+                todo += [(low, at[0]), (at[-1] + 1, high)]
+        return out
+
+    def fits(self, at: list[int], template: list[str]) -> bool:
+        return len(at) >= self.coverage * len(template) and len(at) >= DENSITY * (at[-1] - at[0] + 1)
+
+    def near(self, text: list[str], template: list[str], n: Counter) -> list[list[int]]:
+        """Fits in the stretches around the template's marks.
 
         Where a mark is unique in its stretch the whole stretch is aligned; where it recurs, as with
         copies side by side, first what the template's length leaves around it."""
@@ -161,9 +183,9 @@ class Scanner:
                 if (low, high) in tried:
                     continue
                 tried.add((low, high))
-                pairs = aligned(text[low:high], template)
-                if len(pairs) / size >= self.coverage:
-                    insort(out, [low + a for a, _ in pairs])
+                at = [low + a for a, _ in aligned(text[low:high], template)]
+                if self.fits(at, template):
+                    insort(out, at)
                     break
         return out
 
