@@ -36,7 +36,8 @@ SECRET_WORDS = "token secret key apikey api_key password passwd pwd pass auth au
 HARMLESS_WORDS = "commit sha sha1 sha256 sha512 md5 checksum hash digest etag uuid guid revision rev version integrity blob tree parent example sample dummy placeholder fingerprint build id".split()
 DICTIONARY = "about access account action address admin agent alpha and api app application array async auth back base batch beta block body buffer build button cache call case channel check class client cloud code color column command common component config connect container content context control controller copy core count create current custom data database date debug default delete demo design detail device dialog dir display document domain download driver edit element email enable end engine entity entry error event example exception export factory false feature field file filter final first flag folder font for form format frame from function generate get global group handler hash head header health helper here hidden home host html http icon image import index info init input install instance int interface internal invoice item java job json key label language last layout length level library line link list listener load local location log logger login main manager map mark master media member memory menu message method mobile mode model module monitor name network new next node not null number object offset open option order output package page panel parent parse part password path payload payment person phone plugin point policy port post prefix preview private process product profile project property provider proxy public query queue random range read record reference region register remote remove render replace report request reset resource response rest result return role root route rule run save scale schema search section secure select send sequence server service session set setting shared show simple single site size source spec stage start state static status step storage store stream string style sub submit summary support switch sync system table target task template test text that the theme this thread time title token tool total trace transaction transfer tree trigger type update upload url user util utils valid value vector version video view wait web widget width window with worker world write xml your".split()
 
-_LONG = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}={0,2}"
+#: A run of 20 and more, with what is joined to it by dots, as the parts of a web token are.
+_LONG = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}+(?:\.[A-Za-z0-9+/_\-]{10,}+){0,4}={0,2}"
 #: A name with a word of secrets and its assignment; what is assigned, in quotes or up to a space or mark.
 _KEY = r"(?i:" + "|".join(w for w in SECRET_WORDS if w not in ("apikey", "api_key", "authorization", "credentials")) + r")[A-Za-z0-9_\-]{0,20}[\"'`\]]{0,2}\s{0,3}(?:=>|:=|==|=|:)\s{0,3}"
 _QUOTED, _BARE = r"[^\s\"'`][^\r\n\"'`]{7,}+(?=[\"'`])", r"[^\s\"'`,;&<>(){}\[\]=:][^\s\"'`,;&<>(){}\[\]]{7,}+"
@@ -105,7 +106,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     parts = [pick([w for w in DICTIONARY if len(w) > 3], i) for i in range(20, 24)]
     names = one([F.concat_ws(mark, *parts) for mark in ("_", "-", "/", "")], 50)
     camel = F.concat(*[F.initcap(pick([w for w in DICTIONARY if len(w) > 3], i)) for i in range(30, 34)])
-    secrets = [sized(h, 32, 65), F.substring(h, 1, 40), F.regexp_replace(sized(b64, 24, 64), "[+/]", "x"), sized(b64, 30, 80), F.concat(F.lit("ghp_"), F.regexp_replace(F.substring(b64, 1, 36), "[+/]", "Q")), F.concat(F.lit("AKIA"), F.substring(F.upper(F.conv(F.substring(h, 1, 15), 16, 36)), 1, 10), F.substring(F.upper(h), 30, 8))]
+    secrets = [sized(h, 32, 65), F.substring(h, 1, 40), F.regexp_replace(sized(b64, 24, 64), "[+/]", "x"), sized(b64, 30, 80), F.concat(F.lit("ghp_"), F.regexp_replace(F.substring(b64, 1, 36), "[+/]", "Q")), F.concat(F.lit("AKIA"), F.substring(F.upper(F.conv(F.substring(h, 1, 15), 16, 36)), 1, 10), F.substring(F.upper(h), 30, 8)), F.concat(F.lit("eyJ"), F.regexp_replace(F.substring(b64, 1, 24), "[+/]", "h"), F.lit(".eyJ"), F.regexp_replace(F.substring(b64, 20, 30), "[+/]", "I"), F.lit("."), F.regexp_replace(F.substring(b64, 40, 40), "[+/]", "_"))]
     harmless = [syllable, F.substring(syllable, 1, 24), names, camel, F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.concat(F.lit("your-"), names), F.repeat(pick(["x", "0", "-", "ab", "="], 41), 24), F.concat_ws("/", pick(DICTIONARY, 42), pick(DICTIONARY, 43), names), F.upper(names)]
     digest = F.when(k % 3 == 0, F.substring(h, 1, 40)).otherwise(h)
     filler = pick(syllables, 60)
