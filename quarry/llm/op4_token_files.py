@@ -3,7 +3,8 @@
 Rows go to ranges of ``doc_id`` by one shuffle of the texts, are encoded there
 and written in ascending order: integer run-length encoded ids in stripes of
 ``STRIPE_BYTES``, with a row index every ``INDEX_ROWS`` rows and a Bloom filter
-on ``doc_id``. Stripes are read in parallel; a search by ``doc_id`` reads the
+on ``doc_id``. There are as many ranges as shuffles have partitions, and more for a
+large table, one for each 64 MB on disk. Stripes are read in parallel; a search by ``doc_id`` reads the
 footers, and then only row groups whose statistics and filter admit the id.
 
 A row holds ``part`` and ``at``, the ids before it in its range, so that its
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffle_partitions, slices, text_or_empty
+from .common import new_path, ranges, slices, text_or_empty
 from .pretokens import ids_for
 
 STRIPE_BYTES, INDEX_ROWS, FILTER_FPP = 16 << 20, 1_000, 0.01
@@ -35,7 +36,7 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, p
     """Writes (doc_id, part, at, n_tokens, ids) for every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     by = F.asc_nulls_last("doc_id")
-    rows = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(partitions or shuffle_partitions(spark), by)
+    rows = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(partitions or ranges(spark, docs), by)
     rows = rows.sortWithinPartitions(by, "text").withColumn("part", F.spark_partition_id())
 
     def encode(batches):
