@@ -1,5 +1,6 @@
 """Page extraction, source mixing, toxicity, and the pipeline as a whole."""
 
+import math
 import os
 import random
 import time
@@ -198,6 +199,83 @@ def test_toxicity_learns_and_locates(spark, words, hard, empty):
     assert kept.columns == docs.columns and abs(kept.count() - 675) < 40
 
 
+def test_score_is_the_noisy_or_of_the_sentences():
+    """By the definition, over texts that are not split by the operator's own code."""
+    rng = random.Random(23)
+    model = op3.Model({"vile": 5.0, "rot*": 3.5, "calm": -2.0, "rotten": 1.0}, -4.0, 0.02)
+    vocabulary = ["vile", "rotten", "rotting", "calm", "Vile", "a", "b", "rot"]
+    value = {"vile": 5.0, "rotten": 4.5, "rotting": 3.5, "calm": -2.0}
+    for _ in range(200):
+        sentences = [[rng.choice(vocabulary) for _ in range(rng.randrange(6))] for _ in range(rng.randrange(5))]
+        left = 1 - model.leak
+        for words in sentences:
+            told = {w.lower() for w in words if w.lower() in value}
+            if told:
+                left *= 1 - 1 / (1 + math.exp(4 - sum(value[w] for w in told)))
+        found = model.sentences("! ".join(" ".join(w) for w in sentences))
+        assert model.score(found) == pytest.approx(1 - left, abs=1e-9)
+    assert model.score(model.sentences(None)) == model.score(model.sentences("")) == pytest.approx(0.02)
+
+
+def test_long_labelled_texts_are_learned_from(spark, words):
+    rng = random.Random(29)
+    rows = [(i, f"{words(rng, 6_000)}. so {'vile' if i % 2 else 'calm'} here. {words(rng, 50)}", i % 2) for i in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    assert min(len(t) for _, t, _ in rows) > 20_000
+    model = op3.train(spark, docs, labels)
+    assert all((model.score(model.sentences(t)) >= 0.5) == y for _, t, y in rows)
+    again = op3.train(spark, docs.repartition(5), labels.repartition(3))
+    assert again.weights == model.weights and again.bias == model.bias
+
+
+def test_toxicity_of_hard_tables(spark, hard, empty):
+    """Nulls, repeats and clashing columns in documents and labels, and empty tables, end to end."""
+    labels = spark.createDataFrame([(1, 1, "s"), (1, 0, "s"), (None, 1, "s"), (6, None, "s"), (7, 0, "s"), (5, 0, "s"), (99, 1, "s")], "doc_id long, toxic int, score string")
+    for docs in (hard, empty):
+        for some in (labels, labels.limit(0)):
+            out = op3.toxicity(spark, docs, some)
+            assert out.count() == docs.count() and out.where("score < 0 or score > 1 or score is null").count() == 0
+            kept = op3.without_toxic(spark, docs, some)
+            assert kept.columns == docs.columns and kept.count() <= docs.count()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = op3.toxicity(spark, docs, labels).where("held_out").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    right, n = known.selectExpr("sum(int(predicted = toxic))", "count(*)").first()
+    assert n > 50 and right / n > 0.95
+
+
+def _stage_tables(spark, path):
+    """Labels and a benchmark for the pipeline's stages."""
+    spark.createDataFrame([(1, 1, 1), (7, 0, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "x y z"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_stages_of_hard_tables(spark, hard, empty, tmp_path):
+    """Each stage on nulls, repeated rows, ties, a long text and clashing columns, and on an empty table."""
+    import corpus_pipeline
+
+    _stage_tables(spark, str(tmp_path))
+    stages = dict(corpus_pipeline.STAGES)
+    for docs in (hard, empty):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and (name == "mixing" or out.count() <= docs.count()), name
+        assert stages["token_output"](spark, docs, str(tmp_path)).count() == docs.count()
+    single = stages["near_dedup"](spark, hard, str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in single.collect() if r.doc_id in (1, 6)) == [(1, "a b c d e f g h")]
+    pure = stages["decontamination"](spark, hard, str(tmp_path))
+    assert pure.count() == 8 and pure.where("text = 'x y z'").count() == 0
+    docs = hard
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    out = stages["token_output"](spark, docs, str(tmp_path))
+    assert out.count() == docs.count() > 0 and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
 SF = "/root/testdata/sf0.001"
 
 

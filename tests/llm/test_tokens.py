@@ -60,11 +60,43 @@ def test_files_are_sorted_and_searched_by_id(spark):
     path = new_path(spark, "test-ids")
     write_token_ids(spark, docs.orderBy(F.rand(3)), WORD, path, partitions=5)
     rows = spark.read.orc(path)
-    assert rows.rdd.getNumPartitions() >= 1
-    for part in rows.select("part", "doc_id", "at").orderBy("part", "at").collect():
-        assert part.doc_id is not None
+    parts = {}
+    for r in rows.withColumn("file", F.input_file_name()).collect():
+        parts.setdefault((r.part, r.file), []).append((r.at, r.n_tokens, r.doc_id, len(r.ids)))
+    assert len(parts) == len({p for p, _ in parts}) == 5  # a file for each range
+    for held in parts.values():
+        held.sort()
+        assert [x[2] for x in held] == sorted(x[2] for x in held) and all(n == k for _, n, _, k in held)
+        assert [x[0] for x in held] == [sum(x[1] for x in held[:i]) for i in range(len(held))]
     ordered = [r.doc_id for r in read_token_ids(spark, path).orderBy("start").collect()]
     assert ordered == list(range(500))
     found = rows.where("doc_id = 77")
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)]" in found._jdf.queryExecution().toString() and found.count() == 1
     assert digests(read_token_ids(spark, path)).count() == 500
+
+
+def test_stripes_indexes_and_filters(spark, monkeypatch):
+    """What the files' own footers say: stripes, a row index every so many rows, Bloom filters, run-length encoding."""
+    from quarry.llm import op4_token_files
+
+    monkeypatch.setattr(op4_token_files, "STRIPE_BYTES", 64 << 10)
+    monkeypatch.setattr(op4_token_files, "INDEX_ROWS", 1_000)
+    docs = spark.range(12_000).select((F.col("id") * 3).alias("doc_id"), F.concat_ws(" ", F.lit("some words of a text"), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    path = new_path(spark, "test-stripes")
+    write_token_ids(spark, docs, WORD, path, partitions=1)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in place.getFileSystem(conf).listStatus(place) if f.getPath().getName().endswith(".orc")]
+    assert len(files) == 1
+    reader = jvm.org.apache.orc.OrcFile.createReader(files[0], jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == 1_000 and reader.getNumberOfRows() == 12_000
+    stripes = [*reader.getStripes()]
+    assert len(stripes) > 1 and sum(x.getNumberOfRows() for x in stripes) == 12_000
+    rows = reader.rows()
+    for stripe in stripes:
+        footer = rows.readStripeFooter(stripe)
+        streams = {(x.getColumn(), x.getKind().toString()) for x in footer.getStreamsList()}
+        assert (1, "BLOOM_FILTER_UTF8") in streams and (1, "ROW_INDEX") in streams  # column 1 is doc_id
+        assert {x.getKind().toString() for x in footer.getColumnsList()} <= {"DIRECT", "DIRECT_V2"}
+        assert "DIRECT_V2" in {x.getKind().toString() for x in footer.getColumnsList()}
+    rows.close()
