@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import read, written
+from quarry.llm.common import read, remove, written
 from quarry.llm.op3_toxicity import without_toxic
 from quarry.llm.op4_token_files import token_files
 from quarry.llm.op5_near_dedup import deduplicated
@@ -39,7 +39,13 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_files(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_output", token_output),
+]
 
 #: Training and similarity components are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
@@ -48,5 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(spark, stage(spark, docs, sf_dir), name)
+        following = written(spark, stage(spark, docs, sf_dir), name)
+        remove(spark, docs)
+        docs = following
     return STAGES[-1][1](spark, docs, sf_dir)
