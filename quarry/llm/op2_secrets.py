@@ -24,6 +24,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import remove, written
+
 FINDINGS, TREES, DEPTH, SEED = 4_000, 30, 7, 7
 
 #: Up to two words and marks before a run, and the word after it; the text around a run that these can reach.
@@ -126,17 +128,27 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
 
 
 def train(spark: SparkSession, findings: DataFrame | None = None) -> RandomForestClassificationModel:
-    """The forest for findings (doc_id, text, label)."""
+    """The forest for findings (doc_id, text, label). Their features are written once and read by its passes."""
     findings = labelled_findings(spark) if findings is None else findings
     found = with_features(candidates(findings)).join(findings.select("doc_id", "label"), "doc_id")
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found.orderBy("doc_id", "ordinal")).select("features", "label").coalesce(1)
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows)
+    rows = written(spark, found.orderBy("doc_id", "ordinal").select(*FEATURES, "label").coalesce(1), "findings")
+    rows_in = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label")
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows_in)
+    remove(spark, rows)
+    return model
+
+
+def made_model(spark: SparkSession) -> RandomForestClassificationModel:
+    """The forest for the made findings, fitted once for a session: it depends on no table."""
+    if not hasattr(spark, "_quarry_forest"):
+        spark._quarry_forest = train(spark)
+    return spark._quarry_forest
 
 
 def secrets(spark: SparkSession, docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
     """doc_id, ordinal, run_sha256, run_length, neighbour (the word before), score and
     predicted (1: a secret) of every candidate."""
-    model = train(spark) if model is None else model
+    model = made_model(spark) if model is None else model
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(candidates(docs)))
     score = vector_to_array(F.col("probability"))[1]
     out = model.transform(rows).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.sha2("run", 256).alias("run_sha256"), F.col("length").cast("long").alias("run_length"), F.regexp_extract("before", r"([\p{L}\p{N}_.\-]+)[^\p{L}\p{N}]*$", 1).alias("neighbour"), score.alias("score"))
