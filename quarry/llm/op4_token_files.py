@@ -17,6 +17,8 @@ no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import zlib
 
 import numpy as np
@@ -32,6 +34,16 @@ STRIPE_BYTES, INDEX_ROWS, FILTER_FPP = 16 << 20, 1_000, 0.01
 STEP_CHARS = 1 << 19
 
 
+@contextlib.contextmanager
+def _no_collections():
+    """No search for cycles among the cache's many entries, which are none, while a task encodes."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def write_token_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, partitions: int | None = None) -> None:
     """Writes (doc_id, part, at, n_tokens, ids) for every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -41,6 +53,10 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, p
 
     def encode(batches):
         cache, at = ids_for(tokenizer_path), 0
+        with _no_collections():
+            yield from parts(batches, cache, at)
+
+    def parts(batches, cache, at):
         for batch in slices(batches):
             texts, k = batch.column("text").to_pylist(), 0
             while k < len(texts):

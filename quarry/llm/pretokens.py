@@ -21,12 +21,13 @@ LETTER = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 NUMBER = "0-9²³¹¼½¾"
 UNSAFE = re.compile("[^\t\n\r -~¡-įı-ſ‐-‧‰-⁞€]")
 
-#: The splitting rules of the two public vocabularies, by the library's names.
-BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
-WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
+#: The splitting rules of the two public vocabularies, by the library's names. Letters are tried
+#: first here, which no other part can begin with.
+BYTE_LEVEL = re.compile(rf" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+WORD_LEVEL = re.compile(rf"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
 
-#: Entries that a worker's cache may hold before it starts anew.
-CACHE_ENTRIES = 150_000
+#: Entries that a worker's cache may hold before it starts anew (70 MB).
+CACHE_ENTRIES = 400_000
 
 _open: dict = {}
 
