@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 #: Rows and bytes of an Arrow batch at most: whole texts of any length pass through, a few at a time.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 #: Bytes of input, as they lie on disk, of one range of a table that is dealt out by ranges.
 RANGE_BYTES = 64 << 20
 
@@ -99,13 +99,14 @@ def ranges(spark: SparkSession, rows: DataFrame) -> int:
     return max(shuffle_partitions(spark), -(-known // RANGE_BYTES))
 
 
-def slices(batches, rows: int = 512, size: int = 8 << 20):
+def slices(batches, rows: int = 256, size: int = 2 << 20):
     """Arrow batches in parts of at most so many rows and, by their mean size, bytes, to keep few Python objects
     at a time. At the end of a task its freed memory goes back to the system, since workers live on."""
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        del batch  # not held while the next one is read
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL("libc.so.6").malloc_trim(0)
