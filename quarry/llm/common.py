@@ -99,9 +99,16 @@ def ranges(spark: SparkSession, rows: DataFrame) -> int:
     return max(shuffle_partitions(spark), -(-known // RANGE_BYTES))
 
 
-def slices(batches, rows: int = 256, size: int = 2 << 20):
+#: What a worker keeps from task to task, by the name of its user.
+kept: dict = {}
+
+
+def slices(batches, rows: int = 256, size: int = 2 << 20, keep: str | None = None):
     """Arrow batches in parts of at most so many rows and, by their mean size, bytes, to keep few Python objects
-    at a time. At the end of a task its freed memory goes back to the system, since workers live on."""
+    at a time. Workers live on after their tasks: what other users have kept goes at the start of a task, and
+    freed memory goes back to the system at its end."""
+    for name in [n for n in kept if n != keep]:
+        del kept[name]
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):

@@ -43,7 +43,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, max_tokens: in
 
     def count(batches):
         lengths = lengths_for(path, key, table.value)
-        for batch in slices(batches):
+        for batch in slices(batches, keep=path):
             n = [lengths.count(t) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

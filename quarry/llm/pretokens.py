@@ -16,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from .common import kept
+
 # Letters and numbers of the ranges that SAFE admits.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 NUMBER = "0-9²³¹¼½¾"
@@ -26,23 +28,22 @@ UNSAFE = re.compile("[^\t\n\r -~¡-įı-ſ‐-‧‰-⁞€]")
 BYTE_LEVEL = re.compile(rf" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 WORD_LEVEL = re.compile(rf"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
 
-#: Entries that a worker's cache may hold before it starts anew (70 MB).
-CACHE_ENTRIES = 400_000
-
-_open: dict = {}
+#: Entries that a worker's cache may hold before it starts anew (50 MB).
+CACHE_ENTRIES = 250_000
 
 
 def tokenizer(path: str):
-    """The library's tokenizer, once per process, without truncation or padding."""
-    if path not in _open:
+    """The library's tokenizer, without truncation or padding; kept with the other things of its path."""
+    held = kept.setdefault(path, {})
+    if "tokenizer" not in held:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _open[path] = t
-    return _open[path]
+        held["tokenizer"] = t
+    return held["tokenizer"]
 
 
 def fast(text: str) -> bool:
@@ -150,13 +151,15 @@ class Ids(dict):
 
 def lengths_for(path: str, key: str, known: dict[str, int]) -> Lengths:
     """The process's ``Lengths`` for one broadcast table, kept from task to task."""
-    if _open.get("lengths", (None,))[0] != (path, key):
-        _open["lengths"] = ((path, key), Lengths(path, known))
-    return _open["lengths"][1]
+    held = kept.setdefault(path, {})
+    if held.get("lengths", (None,))[0] != key:
+        held["lengths"] = (key, Lengths(path, known))
+    return held["lengths"][1]
 
 
 def ids_for(path: str) -> Ids:
     """The process's ``Ids`` for one vocabulary."""
-    if ("ids", path) not in _open:
-        _open["ids", path] = Ids(path)
-    return _open["ids", path]
+    held = kept.setdefault(path, {})
+    if "ids" not in held:
+        held["ids"] = Ids(path)
+    return held["ids"]
