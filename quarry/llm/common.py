@@ -105,9 +105,9 @@ kept: dict = {}
 
 def slices(batches, rows: int = 256, size: int = 2 << 20, keep: str | None = None):
     """Arrow batches in parts of at most so many rows and, by their mean size, bytes, to keep few Python objects
-    at a time. Workers live on after their tasks: what other users have kept goes at the start of a task, and
-    freed memory goes back to the system at its end."""
-    for name in [n for n in kept if n != keep]:
+    at a time. Workers live on after their tasks: what other users have kept goes at the start of a task (of one
+    that keeps ``"*"`` nothing goes), and freed memory goes back to the system at its end."""
+    for name in [n for n in kept if keep not in (n, "*")]:
         del kept[name]
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))

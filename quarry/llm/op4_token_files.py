@@ -94,7 +94,7 @@ def digests(rows: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def digest(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, keep="*"):
             ids = batch.column("ids")
             flat, offsets = memoryview(ids.values.to_numpy().view("<u4")), ids.offsets.to_pylist()
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]

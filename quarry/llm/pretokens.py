@@ -28,8 +28,8 @@ UNSAFE = re.compile("[^\t\n\r -~¡-įı-ſ‐-‧‰-⁞€]")
 BYTE_LEVEL = re.compile(rf" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 WORD_LEVEL = re.compile(rf"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
 
-#: Entries that a worker's cache may hold before it starts anew (50 MB).
-CACHE_ENTRIES = 250_000
+#: Entries that a worker's cache may hold before it starts anew (60 MB).
+CACHE_ENTRIES = 320_000
 
 
 def tokenizer(path: str):
