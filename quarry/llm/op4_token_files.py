@@ -57,7 +57,7 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, p
             yield from parts(batches, cache, at)
 
     def parts(batches, cache, at):
-        for batch in slices(batches, keep=tokenizer_path):
+        for batch in slices(batches, 512, 8 << 20, keep=tokenizer_path):
             texts, k = batch.column("text").to_pylist(), 0
             while k < len(texts):
                 stop, chars = k, 0
