@@ -1,8 +1,10 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier 1 is a broadcast table of the lengths of frequent pre-tokens, of at most
-``TABLE_ENTRIES`` entries; tier 2 is each worker's own cache, filled by the
-library. No pre-token is ever shuffled: the plan is one scan and one map.
+``TABLE_ENTRIES`` entries of ``LONGEST`` characters; tier 2 is each worker's own cache,
+filled by the library. The table is counted over whole texts drawn evenly from all rows,
+about ``SAMPLE_TEXTS`` of them, on the executors; each task hands on its most frequent
+ones. No pre-token of the counted texts is ever shuffled: they take one scan and one map.
 
 Defined cases: a null or empty text has no bytes and no tokens; repeated rows
 are counted each; a null ``doc_id`` is passed on; other columns are ignored.
@@ -18,22 +20,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices
-from .pretokens import BYTE_LEVEL, fast, lengths_for, tokenizer
+from .pretokens import BYTE_LEVEL, LONGEST, fast, lengths_for, tokenizer
 
-#: The table is taken from so many texts of at most so many characters. It is a
-#: cache: what it holds changes the speed and never a count.
-SAMPLE_TEXTS, SAMPLE_CHARS, TABLE_ENTRIES = 2_000, 20_000, 50_000
+#: The table is a cache: what it holds changes the speed and never a count.
+SAMPLE_TEXTS, TABLE_ENTRIES = 2_000, 50_000
 MAX_TOKENS = 512
 
+
 def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
-    """Pre-token -> number of ids, for the most frequent ones of a bounded sample."""
-    sample = docs.select("text").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).limit(SAMPLE_TEXTS)
-    seen: Counter = Counter()
-    for (text,) in sample.collect():
-        if fast(text):
-            seen.update(BYTE_LEVEL.findall(text))
-    pieces = [p for p, _ in seen.most_common(TABLE_ENTRIES)]
-    return {p: len(e.ids) for p, e in zip(pieces, tokenizer(path).encode_batch(pieces, add_special_tokens=False))}
+    """Pre-token -> number of ids, for the most frequent ones of an even draw from all rows."""
+    share = min(1.0, SAMPLE_TEXTS / max(docs.count(), 1))
+    drawn = docs.select("text").sample(share, seed=1)
+
+    def count(batches):
+        seen: Counter = Counter()
+        for batch in slices(batches):
+            for text in batch.column("text").to_pylist():
+                if text and fast(text):
+                    seen.update(p for p in BYTE_LEVEL.findall(text) if len(p) <= LONGEST)
+            if len(seen) > 2 * TABLE_ENTRIES:
+                seen = Counter(dict(seen.most_common(TABLE_ENTRIES)))
+        rows = seen.most_common(TABLE_ENTRIES)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["piece", "n"])
+
+    counted = drawn.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    pieces = [r.piece for r in counted.orderBy(F.desc("n"), "piece").limit(TABLE_ENTRIES).collect()]
+    return {p: len(e.ids) for p, e in zip(pieces, tokenizer(path).encode_batch(pieces, add_special_tokens=False), strict=True)}
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS) -> DataFrame:

@@ -28,8 +28,10 @@ UNSAFE = re.compile("[^\t\n\r -~¡-įı-ſ‐-‧‰-⁞€]")
 BYTE_LEVEL = re.compile(rf" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 WORD_LEVEL = re.compile(rf"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
 
-#: Entries that a worker's cache may hold before it starts anew (60 MB).
-CACHE_ENTRIES = 320_000
+#: Entries that a worker's cache may hold before it starts anew (60 MB), and ids, which bound the bytes of long ones.
+CACHE_ENTRIES, CACHE_IDS = 320_000, 4_000_000
+#: A longer pre-token (bytes glued together, mostly) is counted each time and not kept.
+LONGEST = 100
 
 
 def tokenizer(path: str):
@@ -82,10 +84,13 @@ class Lengths(dict):
         self.known, self.encode, self.piece_ids = known, tokenizer(path).encode, _model_encode(path)
 
     def __missing__(self, piece: str) -> int:
+        n = len(self.piece_ids(piece))
+        if len(piece) > LONGEST:
+            return n
         if len(self) >= CACHE_ENTRIES + len(self.known):
             self.clear()
             self.update(self.known)
-        n = self[piece] = len(self.piece_ids(piece))
+        self[piece] = n
         return n
 
     def count(self, text: str) -> int:
@@ -119,7 +124,7 @@ class Ids(dict):
     def batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each text closed by ``end_id``,
         and the number of ids of each text."""
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= CACHE_ENTRIES or len(self.flat) >= CACHE_IDS:
             self._empty()
         end = self[()] if () in self else self._add((), [end_id])
         get, out, n, waiting = self.__getitem__, [], [], []

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quarry.llm import op7_token_counts
 from quarry.llm.common import new_path
 from quarry.llm.op4_token_files import digests, read_token_ids, token_files, write_token_ids
 from quarry.llm.op7_token_counts import token_counts
@@ -34,6 +35,30 @@ def test_caches_give_what_the_library_gives():
         at += k
 
 
+def test_caches_start_anew_and_leave_long_pieces_out(monkeypatch):
+    from quarry.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "CACHE_ENTRIES", 5)
+    monkeypatch.setattr(pretokens, "CACHE_IDS", 40)
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    lengths, ids = pretokens.Lengths(BYTE, {"x": 1}), pretokens.Ids(WORD)
+    for text in [*_odd_texts()[:100], "q" * 5_000, "a " + "z" * 101, "z" * 100]:
+        assert lengths.count(text) == len(byte.encode(text, add_special_tokens=False).ids)
+        assert ids.batch([text], 1)[0].tolist() == [*word.encode(text, add_special_tokens=False).ids, 1]
+        assert len(lengths) <= 6 and max(map(len, lengths)) <= pretokens.LONGEST
+
+
+def test_the_frequent_table_is_drawn_from_all_rows(spark, monkeypatch):
+    """The first rows differ from the others, which are most."""
+    monkeypatch.setattr(op7_token_counts, "SAMPLE_TEXTS", 300)
+    monkeypatch.setattr(op7_token_counts, "TABLE_ENTRIES", 2)
+    late = F.when(F.col("id") < 2_000, F.lit("first")).otherwise(F.concat(F.lit("later"), F.repeat(F.lit(" later"), 4)))
+    docs = spark.range(6_000).select(F.col("id").alias("doc_id"), late.alias("text"))
+    table = op7_token_counts.frequent_lengths(docs, BYTE)
+    byte = Tokenizer.from_file(BYTE)
+    assert set(table) == {" later", "later"} and all(n == len(byte.encode(p, add_special_tokens=False).ids) for p, n in table.items())
+
+
 def test_token_counts(spark, hard, empty, hard_docs):
     byte = Tokenizer.from_file(BYTE)
     got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(spark, hard, BYTE).collect()), key=repr)
