@@ -4,7 +4,8 @@ A text is aligned with a licence template by patience: words that are unique bot
 the text and in the template are anchors, the longest increasing subsequence of them is
 kept, and the gaps between them are aligned in the same way, after the equal words at
 their ends; a gap without anchors is done. The share of the template's words that are
-aligned is its coverage. A template fits from ``COVERAGE`` on.
+aligned is its coverage. A template fits from ``COVERAGE`` on; one of fewer than ``SHORT``
+words, where a single word tells one licence from another, only as a whole.
 
 Before the alignment a bound tells which templates can fit at all: a text has no more
 aligned words than words in common, each counted as often as it is in both. Fits are
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices
 
-COVERAGE, DENSITY = 0.8, 0.1
+COVERAGE, DENSITY, SHORT = 0.8, 0.1, 20
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 # Notices and texts of public licences.
@@ -45,19 +46,35 @@ TEMPLATES = {
     "GPL-3.0 header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
     "GPL-2.0 header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
     "LGPL-2.1 header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "LGPL-3.0 header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "AGPL-3.0 header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "MPL-2.0 header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "MIT notice": "Released under the MIT License.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
-    "CC-BY-4.0 notice": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0 statement": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0 statement": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0 statement": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
+# The conditions of Creative Commons licences, and how versions name their reach.
+CONDITIONS = {"": "", "-SA": "-ShareAlike", "-NC": "-NonCommercial", "-ND": "-NoDerivatives", "-NC-SA": "-NonCommercial-ShareAlike", "-NC-ND": "-NonCommercial-NoDerivatives"}
+REACH = {"3.0": "Unported", "4.0": "International"}
+
+
+def _creative_commons() -> dict[str, str]:
+    out = {}
+    for short, full in CONDITIONS.items():
+        for version, reach in REACH.items():
+            named = full if version == "4.0" else full.replace("NoDerivatives", "NoDerivs")
+            out[f"CC-BY{short}-{version} notice"] = f"Licensed under CC BY{short} {version}."
+            out[f"CC-BY{short}-{version} statement"] = f"This work is licensed under a Creative Commons Attribution{named} {version} {reach} License."
+    return out
+
+
+TEMPLATES |= _creative_commons()
+
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
@@ -117,13 +134,17 @@ class Scanner:
         self.templates = [(name, w, Counter(w)) for name, w in sorted(((n, words(t)) for n, t in templates.items()), key=lambda x: (-len(x[1]), x[0]))]
         self.known = frozenset().union(*(c for _, _, c in self.templates))
 
+    def least(self, template: list[str]) -> float:
+        """How many words of a template a fit has at least."""
+        return self.coverage * len(template) if len(template) >= SHORT else len(template)
+
     def windows(self, text: list[str], template: list[str], n: Counter) -> tuple[list[tuple[int, int]], list[int]]:
         """Stretches of the text, of up to three template lengths, in which the template could lie
         whole: an anchor there is unique even if the word occurs again far away. And the places of
         the words that each fit must have one of, the rarest first."""
         rare = Counter(w for w in text if w in n)
         marks = sorted(n, key=lambda w: (rare[w], w))
-        allowed = len(template) - int(-(-self.coverage * len(template) // 1))
+        allowed = len(template) - int(-(-self.least(template) // 1))
         left, out = allowed, []
         for w in marks:  # without all of these words the rest can't reach the coverage
             out += [i for i, x in enumerate(text) if x == w] if rare[w] else []
@@ -147,7 +168,7 @@ class Scanner:
             low, high = todo.pop()
             part = text[low:high]
             held = Counter(w for w in part if w in n)
-            if sum(min(k, held[w]) for w, k in n.items()) < self.coverage * len(template):
+            if sum(min(k, held[w]) for w, k in n.items()) < self.least(template):
                 continue
             at = [low + a for a, _ in aligned(part, template)]
             if self.fits(at, template):
@@ -156,7 +177,7 @@ class Scanner:
         return out
 
     def fits(self, at: list[int], template: list[str]) -> bool:
-        return len(at) >= self.coverage * len(template) and len(at) >= DENSITY * (at[-1] - at[0] + 1)
+        return len(at) >= self.least(template) and len(at) >= DENSITY * (at[-1] - at[0] + 1)
 
     def near(self, text: list[str], template: list[str], n: Counter) -> list[list[int]]:
         """Fits in the stretches around the template's marks.
@@ -195,7 +216,7 @@ class Scanner:
         seen = words(text)
         n, fits = Counter(w for w in seen if w in self.known), []
         for name, template, own in self.templates if n else ():
-            if sum(min(k, n[w]) for w, k in own.items()) >= self.coverage * len(template):
+            if sum(min(k, n[w]) for w, k in own.items()) >= self.least(template):
                 fits += [(at, len(at) / len(template), name) for at in self.places(seen, template, own)]
         fits.sort(key=lambda x: (-len(x[0]), -x[1]))
         taken: dict[int, set] = {}

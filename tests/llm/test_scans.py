@@ -176,6 +176,15 @@ def test_licenses(spark, hard, empty, words):
     assert op6_licenses.licenses(spark, empty).count() == 0
 
 
+def test_one_word_tells_licences_apart(spark):
+    """Each template is found as itself; a notice of a licence that none names is no other one."""
+    rows = [*enumerate(op6_licenses.TEMPLATES.values()), (900, "Licensed under CC BY 2.0."), (901, "Released under the BSD License."), (902, "Licensed under CC BY-NC-ND 4.0, not CC BY")]
+    got: dict = {}
+    for r in op6_licenses.licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert got == {k: [name] for k, name in enumerate(op6_licenses.TEMPLATES)} | {900: [None], 901: [None], 902: ["CC-BY-NC-ND-4.0 notice"]}
+
+
 def test_every_licence_of_a_text(spark, words):
     rng, of = random.Random(8), op6_licenses.TEMPLATES
     n = {k: len(op6_licenses.words(t)) for k, t in of.items()}
